@@ -11,7 +11,10 @@
    enough are confirmed on the full sets, and their components are found.
 4. Members of one list that are still in different components are counted coordinate by
    coordinate, in blocks, each pair at its first common list alone; pairs within a component
-   are skipped, since they can change nothing. What passes is confirmed on full sets too.
+   are skipped, since they can change nothing, and so are pairs whose known distances to the
+   list's central member differ by more than a link allows (distances of sets obey the
+   triangle inequality). A longer sketch rules out most of the rest with the same rare
+   misses. What passes is confirmed on full sets too.
 
 So groups of near copies cost about as much as their size, and lists are never expanded
 into pairs of one component. Tables between steps lie in the shared folder.
@@ -39,37 +42,54 @@ class Near:
     percent: int = 80
     shingle: int = 5
     coordinates: int = 64
+    sketch: int = 512
     block: int = 192
 
+    def _bar(self, n: int, p: float) -> int:
+        """The count of agreements, of n with chance p each, that is missed about once in a million."""
+        return max(1, int(n * p - 4.75 * (n * p * (1 - p)) ** 0.5))
+
     @property
     def matches(self) -> int:
+        return self._bar(self.coordinates, self.percent / 100)
+
+    @property
+    def sketch_matches(self) -> int:
+        """The same for the sketch, whose bytes also agree by chance."""
         p = self.percent / 100
-        return max(1, int(self.coordinates * p - 4.75 * (self.coordinates * p * (1 - p)) ** 0.5))
+        return self._bar(self.sketch, p + (1 - p) / 256)
 
     @property
     def prefix(self) -> int:
         return self.coordinates - self.matches + 1
 
 
-def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
+def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def signatures(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Tokens of each run of shingles: in column c, c in the top 6 bits, then the least value's lower 58; zero for an empty run."""
-    out = np.zeros((len(first) - 1, n), np.int64)
+def _least(h: np.ndarray, first: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Least values of each run of shingles under n hash functions; zero for an empty run."""
+    out = np.zeros((len(first) - 1, n), np.uint64)
     full = np.flatnonzero(np.diff(first) > 0)
     if len(full):
-        for c, (a, x) in enumerate(zip(*_constants(n))):
+        for c, (a, x) in enumerate(zip(*_constants(n, seed))):
             v = (h ^ x) * a
             v ^= v >> np.uint64(32)
             v *= np.uint64(0x9E3779B97F4A7C15)
-            least = np.minimum.reduceat(v, first[:-1][full]) & np.uint64((1 << 58) - 1)
-            out[full, c] = (least | np.uint64(c << 58)).view(np.int64)
+            out[full, c] = np.minimum.reduceat(v, first[:-1][full])
     return out
 
 
+def signatures(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Tokens of each run of shingles: in column c, c in the top 6 bits, then the least value's lower 58; zero for an empty run."""
+    least = _least(h, first, n, 20240229) & np.uint64((1 << 58) - 1)
+    tokens = (least | (np.arange(n, dtype=np.uint64) << np.uint64(58))).view(np.int64)
+    tokens[np.diff(first) == 0] = 0
+    return tokens
+
+
 def _signed(df: DataFrame, rule: Near) -> DataFrame:
     """(id, n, k1, k2, sig) of each row of (id, text); k1 and k2 name the set."""
     kind = df.schema["id"].dataType.simpleString()
@@ -92,35 +112,37 @@ def _signed(df: DataFrame, rule: Near) -> DataFrame:
 
 
 def _sets(df: DataFrame, rule: Near) -> DataFrame:
-    """(rep, shingles): the sorted set of each row of (rep, text), as bytes."""
+    """(rep, shingles, sketch) of each row of (rep, text), as bytes: the sorted set, and one byte of each of more least values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, first = shingle_sets(*text_words(part.column(1)), rule.shingle)
                 blobs = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["rep", "shingles"])
+                sketch = [x.tobytes() for x in _least(h, first, rule.sketch, 19970611).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), pa.array(sketch, pa.binary())], names=["rep", "shingles", "sketch"])
 
-    return df.mapInArrow(run, f"rep {df.schema['rep'].dataType.simpleString()}, shingles binary")
+    return df.mapInArrow(run, f"rep {df.schema['rep'].dataType.simpleString()}, shingles binary, sketch binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Near) -> DataFrame:
-    """The pairs (a, b) that hold on the full sets."""
+def _measured(pairs: DataFrame, sets: DataFrame, rule: Near) -> DataFrame:
+    """(a, b, distance, link) of pairs: one minus the similarity of the full sets, and whether it links them."""
     kind = pairs.schema["a"].dataType.simpleString()
+    sets = sets.select("rep", "shingles")
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            far, good = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 z = np.sort(np.concatenate([p, q]))
                 common = int((z[1:] == z[:-1]).sum())
+                far.append(1 - common / (len(z) - common))
                 good.append(100 * common >= rule.percent * (len(z) - common))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(good, pa.bool_())], names=["a", "b", "distance", "link"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, distance double, link boolean")
 
 
 def _agree(x: str, y: str):
@@ -134,12 +156,13 @@ def _across(lists: DataFrame, rule: Near) -> DataFrame:
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     # block i meets block j at the key (i, j), i <= j
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component", "n", "sig", "mask")
+    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component", "n", "sig", "mask", "distance", "sketch")
     keys = ["token", "i", "j"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        reach = 1 - rule.percent / 100 + 1e-9
         a_out: list[int] = []
         b_out: list[int] = []
         for table in sorted_groups(batches, keys):
@@ -150,16 +173,21 @@ def _across(lists: DataFrame, rule: Near) -> DataFrame:
             coordinate = (token >> 58) & 63
             rep, n, part = (table.column(c).to_numpy() for c in ("rep", "n", "part"))
             sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
             mask = (table.column("mask").to_numpy().view(np.uint64)[:, None] & bits[: sig.shape[1]]) != 0
+            # distances of sets obey the triangle inequality; an unknown one (NaN) rules nothing out
+            far = table.column("distance").to_numpy()
             left = np.flatnonzero(part == i)
             right = left if i == j else np.flatnonzero(part == j)
             for x in left:
                 y = right[right > x] if i == j else right
                 y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x]))]
+                y = y[~(np.abs(far[y] - far[x]) > reach)]
                 if len(y):
                     same = sig[y] == sig[x]
                     first = (same & mask[y] & mask[x]).argmax(1)
                     y = y[(same.sum(1) >= rule.matches) & (first == coordinate)]
+                    y = y[(sketch[y] == sketch[x]).sum(1) >= rule.sketch_matches]
                     a_out += np.minimum(rep[x], rep[y]).tolist()
                     b_out += np.maximum(rep[x], rep[y]).tolist()
             if len(a_out) >= 10_000:
@@ -201,12 +229,16 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     sig = found.select("rep", "sig")
     near = near.join(sig.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "y"}), "b").where(_agree("x", "y") >= rule.matches).select("a", "b")
     full = space.stow(_sets(docs.join(found.select(F.col("rep").alias("id")), "id").groupBy("id").agg(F.first("text").alias("text")).select(F.col("id").alias("rep"), "text"), rule), "sets")
-    links = space.stow(_confirmed(near, full, rule), "links")
+    measured = space.stow(_measured(near, full, rule), "measured")
+    links = measured.where("link").select("a", "b")
 
     groups = components(links, space).withColumnRenamed("node", "rep")
     members = found.join(groups, "rep", "left").select("rep", "n", "sig", "mask", "posts", F.coalesce("component", "rep").alias("component"))
     posted = members.select("rep", "n", "sig", "mask", "component", F.explode("posts").alias("p")).select("rep", "n", "sig", "mask", "component", "p.token")
-    more = space.stow(_confirmed(_across(space.stow(posted, "posted"), rule), full, rule), "links")
+    posted = posted.join(centre.select("token", F.col("c.rep").alias("b")), "token").join(measured.select(F.col("a").alias("rep"), "b", "distance"), ["rep", "b"], "left")
+    posted = posted.withColumn("distance", F.when(F.col("rep") == F.col("b"), F.lit(0.0)).otherwise(F.coalesce("distance", F.lit(float("nan"))))).drop("b")
+    posted = posted.join(full.select("rep", "sketch"), "rep")
+    more = space.stow(_measured(_across(space.stow(posted, "posted"), rule), full, rule), "more").where("link").select("a", "b")
     every = reduce(DataFrame.unionByName, [links, more])
     groups = components(every, space).withColumnRenamed("node", "rep")
 
