@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 19
 
 
 class Workspace:
@@ -147,7 +148,7 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     inverse = pow(int(_BASE), -1, 1 << 64)
     at = 0
     while at < len(begin):
-        stop = max(at + 1, int(np.searchsorted(end, begin[at] + SLICE_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(end, begin[at] + HASH_BYTES, side="right")))
         lo, hi = begin[at], end[stop - 1]
         total = np.empty(hi - lo + 1, np.uint64)
         total[0] = 0

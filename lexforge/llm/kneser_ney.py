@@ -174,10 +174,10 @@ def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, la
                 keys.append(key)
                 counts.append(n)
                 held += len(key)
-                if held > 3_000_000:
+                if held > 1_500_000:
                     key, n, _ = _summed(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [key], [n], len(key)
-                    if held > 1_500_000:
+                    if held > 750_000:
                         yield flush(key, n)
                         keys, counts, held = [], [], 0
         if keys:
@@ -225,7 +225,7 @@ def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, la
                 v = _before(w, starts)
                 key, n, at = _summed(_pair_keys(v, w, bits, hot), np.ones(len(w), np.int64))
                 held.append((key, n, v[at], w[at]))
-                if sum(len(x[0]) for x in held) > 2_500_000:
+                if sum(len(x[0]) for x in held) > 1_500_000:
                     yield flush(*merged())
                     held = []
         if held:
