@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
@@ -33,6 +34,7 @@ def dense_top(docs: DataFrame, queries: DataFrame, doc_id: str, doc_vector: str,
     rows = docs if where is None else docs.where(where)
     rows = rows.select(F.col(doc_id).alias("doc"), F.col(doc_vector).cast("array<double>").alias("v")).where("v is not null")
     asked = queries.select(F.col(query_id).alias("query"), F.col(query_vector).cast("array<double>").alias("q")).where("q is not null")
+    asked_type = to_arrow_type(asked.schema["query"].dataType)
     doc_kind, query_kind = (rows.schema["doc"].dataType.simpleString(), asked.schema["query"].dataType.simpleString())
     parts: list[DataFrame] = []
     for block in _blocks(asked):
@@ -41,12 +43,12 @@ def dense_top(docs: DataFrame, queries: DataFrame, doc_id: str, doc_vector: str,
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
-            best_score, best_doc = None, None
+            best_score, best_doc, kind = None, None, None
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                doc = np.array(batch.column(0).to_pylist())
+                doc, kind = np.array(batch.column(0).to_pylist()), batch.column(0).type
                 s = matrix @ v.T
                 d = np.broadcast_to(doc, s.shape)
                 if best_score is not None:
@@ -56,7 +58,7 @@ def dense_top(docs: DataFrame, queries: DataFrame, doc_id: str, doc_vector: str,
             if best_score is not None:
                 n = best_score.shape[1]
                 query = [i for i in ids for _ in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(best_doc.reshape(-1).tolist()), pa.array(best_score.reshape(-1))], names=["query", "doc", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(query, asked_type), pa.array(best_doc.reshape(-1).tolist(), kind), pa.array(best_score.reshape(-1))], names=["query", "doc", "score"])
 
         parts.append(rows.mapInArrow(run, f"query {query_kind}, doc {doc_kind}, score double"))
     if not parts:

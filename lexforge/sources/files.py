@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +76,8 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     Files are read by Spark's own reader, so ``folder`` may lie in any store. The decoding is
     Python's, since the JVM's decoder lacks GBK; each task streams its files.
     """
-    columns = [x.split()[0] for x in SCHEMA.split(", ")]
+    columns = dict(x.split() for x in SCHEMA.split(", "))
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         empty = spark.createDataFrame([], SCHEMA + ", source string")
@@ -85,17 +86,17 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(rf"(?i)\.(?:{ending})$"))
     reader = _pdf_reader
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
-            for path, data, time in zip(batch["path"], batch["content"], batch["time"]):
+            for path, data, time in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     out += _rows(path, data, KINDS[path.rsplit(".", 1)[1].lower()], int(time), reader)
                 except Exception as e:  # one bad file is a row of failures
                     out.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in ("page_number", "total_pages", "timestamp", "paragraph_count", "slide_count", "char_count")})
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in out], types[k]) for c, k in columns.items()], names=list(columns))
 
-    rows = files.select("path", "content", F.unix_timestamp("modificationTime").alias("time")).mapInPandas(run, SCHEMA)
+    rows = files.select("path", "content", F.unix_timestamp("modificationTime").alias("time")).mapInArrow(run, SCHEMA)
     good = rows.where("error is null and content is not null and content <> ''").drop("error")
     return good.withColumn("source", source_label(F.col("path"), folder.split("://")[-1])), rows.where("error is not null").select("path", "error")
 
