@@ -26,6 +26,8 @@ from .common import Workspace
 
 #: Parts of a source's permutation; the top 12 bits of a row's hash name its part.
 BUCKETS = 4096
+#: Most sources whose budgets are broadcast: a few MB.
+BROADCAST_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -104,38 +106,40 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     key = [F.col(f"`{c}`") for c in (id_col, text_col)]
     chance = F.xxhash64(F.lit(target.seed), *key)
     rows = df.select(
-        *[F.col(f"`{c}`") for c in keep], tokens.cast("long").alias("mix_tokens"), F.col(source_col).alias("_s"),
-        F.shiftrightunsigned(chance, 52).cast("int").alias("_bucket"), chance.alias("_chance"),
+        *[F.col(f"`{c}`") for c in keep], tokens.cast("long").alias("mix_tokens"), F.col(source_col).alias("mix_s"),
+        F.shiftrightunsigned(chance, 52).cast("int").alias("mix_bucket"), chance.alias("mix_chance"),
     )
     space = Workspace(df.sparkSession, "mix")
-    sizes = space.stow(rows.groupBy("_s", "_bucket").agg(F.sum("mix_tokens").alias("_n")), "sizes")  # BUCKETS rows a source
-    totals = {r[0]: r[1] for r in sizes.groupBy("_s").agg(F.sum("_n")).collect()}  # a row a source
+    sizes = space.stow(rows.groupBy("mix_s", "mix_bucket").agg(F.sum("mix_tokens").alias("mix_n")), "sizes")  # BUCKETS rows a source
+    totals = {r[0]: r[1] for r in sizes.groupBy("mix_s").agg(F.sum("mix_n")).collect()}  # a row a source
     budgets = plan(totals, target)
-    kind = T.StructType([T.StructField("_s2", df.schema[source_col].dataType), T.StructField("_total", T.LongType()), T.StructField("_budget", T.LongType())])
+    kind = T.StructType([T.StructField("mix_s2", df.schema[source_col].dataType), T.StructField("mix_total", T.LongType()), T.StructField("mix_budget", T.LongType())])
     table = df.sparkSession.createDataFrame([(s, totals[s], b) for s, (_, b) in budgets.items()], kind)
-    table = table.withColumn("_whole", F.expr("_budget div _total")).withColumn("_part", F.expr("_budget % _total"))
+    table = table.withColumn("mix_whole", F.expr("mix_budget div mix_total")).withColumn("mix_part", F.expr("mix_budget % mix_total"))
 
     # the bucket in which the last, partial permutation of a source ends, and the tokens left for it
-    w = Window.partitionBy("_s").orderBy("_bucket")
-    upto = sizes.withColumn("_upto", F.sum("_n").over(w)).join(table, F.col("_s").eqNullSafe(F.col("_s2")))
-    ends = upto.where("_upto - _n < _part and _part <= _upto")
-    ends = {r[0]: (r[1], r[2]) for r in ends.select("_s", "_bucket", F.expr("_part - _upto + _n")).collect()}  # a row a source
-    kind = T.StructType([*table.schema.fields, T.StructField("_end", T.IntegerType()), T.StructField("_left", T.LongType())])
+    w = Window.partitionBy("mix_s").orderBy("mix_bucket")
+    upto = sizes.withColumn("mix_upto", F.sum("mix_n").over(w)).join(table, F.col("mix_s").eqNullSafe(F.col("mix_s2")))
+    ends = upto.where("mix_upto - mix_n < mix_part and mix_part <= mix_upto")
+    ends = {r[0]: (r[1], r[2]) for r in ends.select("mix_s", "mix_bucket", F.expr("mix_part - mix_upto + mix_n")).collect()}  # a row a source
+    kind = T.StructType([*table.schema.fields, T.StructField("mix_end", T.IntegerType()), T.StructField("mix_left", T.LongType())])
     known = [(s, totals[s], b, b // totals[s], b % totals[s], *ends.get(s, (-1, 0))) for s, (_, b) in budgets.items()]
     table = df.sparkSession.createDataFrame(known, kind)
 
-    joined = rows.join(table, F.col("_s").eqNullSafe(F.col("_s2")))
-    sure = F.col("_whole") + F.when(F.col("_bucket") < F.col("_end"), 1).otherwise(0)
+    # one row a source: sent to every task while it is small, joined by shuffle beyond that
+    table = F.broadcast(table) if len(known) <= BROADCAST_ROWS else table
+    joined = rows.join(table, F.col("mix_s").eqNullSafe(F.col("mix_s2")))
+    sure = F.col("mix_whole") + F.when(F.col("mix_bucket") < F.col("mix_end"), 1).otherwise(0)
     whole = joined.where(sure > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), (sure - 1).cast("int"))))
-    inner = Window.partitionBy("_s").orderBy("_chance", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    part = joined.where("_bucket = _end")  # one bucket in BUCKETS
-    part = part.withColumn("_before", F.coalesce(F.sum("mix_tokens").over(inner), F.lit(0))).where("_before < _left").drop("_before")
-    both = whole.unionByName(part.withColumn("mix_epoch", F.col("_whole").cast("int")))
+    inner = Window.partitionBy("mix_s").orderBy("mix_chance", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    part = joined.where("mix_bucket = mix_end")  # one bucket in BUCKETS
+    part = part.withColumn("mix_before", F.coalesce(F.sum("mix_tokens").over(inner), F.lit(0))).where("mix_before < mix_left").drop("mix_before")
+    both = whole.unionByName(part.withColumn("mix_epoch", F.col("mix_whole").cast("int")))
 
     order = F.xxhash64(F.lit(target.seed + 1), F.col("mix_epoch"), *key)
     place = F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))
     # the passes of a source follow each other through the blocks in proportion to its budget
-    start = F.col("mix_epoch") * F.col("_total")
-    along = (start + place * F.least(F.col("_total"), F.col("_budget") - start)) / F.col("_budget")
+    start = F.col("mix_epoch") * F.col("mix_total")
+    along = (start + place * F.least(F.col("mix_total"), F.col("mix_budget") - start)) / F.col("mix_budget")
     block = F.least((along * target.blocks).cast("int"), F.lit(target.blocks - 1))
     return both.select(*[F.col(f"`{c}`") for c in keep], "mix_epoch", block.alias("mix_block"), order.alias("mix_order"), "mix_tokens")
