@@ -29,9 +29,9 @@ STEPS = 12
 class Fit:
     sample: int = 6000
     rank: int = 8
-    epochs: int = 12
+    epochs: int = 16
     rate: float = 0.08
-    decay: float = 1e-5
+    decay: float = 1e-3
     seed: int = 3
 
 
