@@ -322,6 +322,9 @@ SELECT user_id AS session_id, event_id AS id, (least(n, 5) - b + 1)::INT AS posi
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations)
 SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) ORDER BY turn) AS history FROM r WHERE b <= 3 GROUP BY conv_id""",
     "prior_messages": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b > 1",
+    "cache_alive": f"""
+WITH {_CACHE} SELECT value, count(*) AS n, count(*) FILTER (WHERE expires_at IS NULL) AS forever FROM stored
+WHERE expires_at IS NULL OR expires_at > (SELECT min(ts) FROM events WHERE event_type = 'error') GROUP BY value""",
     "cache_put_get": f"""
 WITH {_CACHE}, fresh AS (SELECT 'k' || event_id AS key FROM events WHERE value < 20)
 SELECT 'k' || e.event_id AS key, CASE WHEN f.key IS NOT NULL THEN 'new' WHEN s.key NOT LIKE 'k9%' THEN s.value END AS value

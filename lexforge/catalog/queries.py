@@ -695,7 +695,7 @@ def _cache(spark, sf, now):
 
 @query
 def cache_alive(spark, sf):
-    now = F.lit(table(spark, sf, "events").agg(F.percentile_approx("ts", 0.5)).first()[0])
+    now = F.lit(table(spark, sf, "events").where("event_type = 'error'").agg(F.min("ts")).first()[0])
     return cache.alive(_cache(spark, sf, now), now).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("expires_at").isNull()).alias("forever"))
 
 
