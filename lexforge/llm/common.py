@@ -6,6 +6,7 @@ slice (or by one text, if it alone is longer), never by a partition.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 HASH_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 
 
 class Workspace:
@@ -33,6 +35,13 @@ class Workspace:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        folder, fs = self._hadoop(self.root)
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)  # when the application ends; until then plans may read it
+
+    def _hadoop(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,11 +63,20 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by ``stow`` that no later plan reads."""
-        jvm = self.spark._jvm
         for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            fs.delete(folder, True)
+            path, fs = self._hadoop(file)
+            fs.delete(path.getParent(), True)
+
+
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most ``size`` bytes in this session: both the JVM and its Python workers hold a
+    batch at a time, and rows here are whole texts. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None) or "64m"
+    digits = "".join(c for c in now if c.isdigit())
+    unit = {"k": 10, "m": 20, "g": 30}.get(now.lower().removesuffix("b")[-1:], 0)
+    if int(digits or 0) << unit > size or now.startswith("-"):
+        spark.conf.set(name, str(size))
 
 
 def bucket_of(id_col: str, n: int):
@@ -68,6 +86,14 @@ def bucket_of(id_col: str, n: int):
 
 # ---------------------------------------------------------------- Arrow text
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, beside a large JVM."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def text_parts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string array's texts end to end, and where each starts (n + 1); null is empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -93,6 +119,7 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         end = min(max(end, at + 1), n)
         yield batch.slice(at, end - at)
         at = end
+    trim()
 
 
 GAP = np.zeros(256, bool)
@@ -229,3 +256,4 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         rest = table.slice(cuts[-1])
     if rest is not None:
         yield rest
+    trim()

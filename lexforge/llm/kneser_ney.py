@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix64, slices, sorted_groups, sums, text_words
+from .common import Workspace, bound_batches, mix64, slices, sorted_groups, sums, text_words
 
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x8F14E45FCEEA167A)
 TEXT = [("shard", pa.int32()), ("blob", pa.binary())]
@@ -152,6 +152,7 @@ def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, la
     """A model of all rows of ``df``. Null texts are empty ones: their end is their one token."""
     spark = df.sparkSession
     space = Workspace(spark, label)
+    bound_batches(spark)
     folder = space.local("arrays")
     os.makedirs(folder, exist_ok=True)
     docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published splitting pattern of that vocabulary.
@@ -85,6 +87,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Ef
     Null and empty texts have no spans. Repeated rows are scanned each; other columns are
     dropped, so their names cannot clash. Null ids stay null.
     """
+    bound_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
@@ -102,6 +105,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Ef
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rule: Efficiency = Efficiency()) -> DataFrame:
     """The same rows and columns, each secret in ``text_col`` replaced by ``mask``; nulls stay null."""
 
+    bound_batches(df.sparkSession)
+
     def clean(text: str | None, encoder) -> str | None:
         if not text:
             return text
