@@ -15,7 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: A line of words needs a sentence's end somewhere.
+#: A line of a few words needs a sentence's end; longer ones may be lines of wrapped prose.
+FEW = 4
 SENTENCE_END = r"""[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}]["'\x{201D}\x{2019}\x{00BB})\]]*(?:[\x20\x09-\x0D]|\z)"""
 #: Shouting, and rows of symbols that stand for words.
 SHOUTING = r"[!?]{2}"
@@ -39,7 +40,7 @@ def count(text: Column, pattern: str) -> Column:
 def passes(line: Column) -> Column:
     """The three rules; a line without a word passes, there is nothing to judge."""
     n = count(line, WORD)
-    punctuation = line.rlike(SENTENCE_END) & (2 * count(line, SYMBOL) <= n) & (count(line, SHOUTING) * 4 <= n + 3)
+    punctuation = ((n >= FEW) | line.rlike(SENTENCE_END)) & (2 * count(line, SYMBOL) <= n) & (count(line, SHOUTING) * 4 <= n + 3)
     navigation = ~line.rlike(MENU) & (4 * count(line, SEPARATOR) <= n)
     return (n == 0) | (punctuation & navigation & ~line.rlike(NOTICE))
 

@@ -14,7 +14,7 @@ WITH d AS (
   SELECT r, k, l, len(regexp_extract_all(l, '{_WORDS}')) AS n FROM line
 ), verdict AS (
   SELECT r, k, l, n, n = 0 OR (
-    regexp_matches(l, '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}]["''\x{{201D}}\x{{2019}}\x{{00BB}})\]]*(?:[\x20\x09-\x0D]|\z)')
+    (n >= 4 OR regexp_matches(l, '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}]["''\x{{201D}}\x{{2019}}\x{{00BB}})\]]*(?:[\x20\x09-\x0D]|\z)'))
     AND 2 * len(regexp_extract_all(l, '[#*$%&|<>~^=_]+')) <= n
     AND 4 * len(regexp_extract_all(l, '[!?]{{2}}')) <= n + 3
     AND NOT regexp_matches(l, '(?i)\A[\x20\x09-\x0D]*(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|back|back to top|read more|skip to content|site ?map|contact(?: us)?|about(?: us)?|share|print|subscribe)[\x20\x09-\x0D.:>|]*\z')

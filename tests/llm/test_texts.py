@@ -128,6 +128,14 @@ def test_quality_verdicts(spark):
     assert quality_rules.clean(clashing(spark, texts)).count() == 2
 
 
+def test_wrapped_prose_is_left_alone(spark):
+    random.seed(12)
+    text = " ".join(("w" + str(random.randint(0, 5000))) + ("." if k % 17 == 16 else "") for k in range(400))
+    lines = [" ".join(text.split()[i : i + 11]) for i in range(0, 400, 11)]
+    row = quality_rules.judge(docs(spark, ["\n".join(lines)])).first()
+    assert row.kept and row.n_lines_removed <= 1
+
+
 # ------------------------------------------------------------------- mixing
 
 def test_exponent():
