@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, shingle_sets, slices, sorted_groups, text_words
+from .common import Workspace, bound_batches, shingle_sets, slices, sorted_groups, text_words
 from .graph import components
 
 
@@ -43,7 +43,7 @@ class Near:
     shingle: int = 5
     coordinates: int = 64
     sketch: int = 512
-    block: int = 192
+    block: int = 384
 
     def _bar(self, n: int, p: float) -> int:
         """The count of agreements, of n with chance p each, that is missed about once in a million."""
@@ -150,14 +150,26 @@ def _agree(x: str, y: str):
 
 
 def _across(lists: DataFrame, rule: Near) -> DataFrame:
-    """Pairs (a, b) of one list and two components that agree often enough, each once."""
-    n_lists = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = lists.join(n_lists.select("token", F.ceil(F.col("size") / rule.block).cast("int").alias("parts")), "token")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    # block i meets block j at the key (i, j), i <= j
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component", "n", "sig", "mask", "distance", "sketch")
-    keys = ["token", "i", "j"]
+    """Pairs (a, b) of one list and two components that agree often enough, each once.
+
+    A list's largest component meets the others, and the others meet each other; both
+    sides are cut into blocks. A list that is one component but for a few members costs
+    as many rows as it has, times the few members' blocks.
+    """
+    sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.max("n").alias("most"), F.sum("n").alias("all")).where("`all` > most")
+    blocks = lambda n: F.ceil(n / rule.block).cast("int")
+    rows = lists.join(sizes.select("token", "home", blocks(F.col("most")).alias("home_parts"), blocks(F.col("all") - F.col("most")).alias("parts")), "token")
+    rows = rows.withColumn("at_home", F.col("component") == F.col("home"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("at_home"), F.col("home_parts")).otherwise(F.col("parts"))).cast("int"))
+    # kind 0: block i of the largest component meets block j of the others; kind 1: blocks i <= j of the others
+    key = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    part = F.col("part")
+    abroad = F.concat(F.transform(upto("home_parts"), lambda k: key(0, k, part)), F.transform(upto("parts"), lambda k: key(1, F.least(part, k), F.greatest(part, k))))
+    rows = rows.withColumn("key", F.explode(F.when(F.col("at_home"), F.transform(upto("parts"), lambda k: key(0, part, k))).otherwise(abroad)))
+    keys = ["token", "kind", "i", "j"]
+    rows = rows.select("token", "key.*", "part", "at_home", "rep", "component", "n", "sig", "mask", "distance", "sketch")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +181,7 @@ def _across(lists: DataFrame, rule: Near) -> DataFrame:
             comp = table.column("component").to_numpy()
             if (comp == comp[0]).all():
                 continue
-            token, i, j = (table.column(c)[0].as_py() for c in keys)
+            token, kind, i, j = (table.column(c)[0].as_py() for c in keys)
             coordinate = (token >> 58) & 63
             rep, n, part = (table.column(c).to_numpy() for c in ("rep", "n", "part"))
             sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
@@ -177,10 +189,13 @@ def _across(lists: DataFrame, rule: Near) -> DataFrame:
             mask = (table.column("mask").to_numpy().view(np.uint64)[:, None] & bits[: sig.shape[1]]) != 0
             # distances of sets obey the triangle inequality; an unknown one (NaN) rules nothing out
             far = table.column("distance").to_numpy()
-            left = np.flatnonzero(part == i)
-            right = left if i == j else np.flatnonzero(part == j)
+            if kind == 0:
+                home = table.column("at_home").to_numpy()
+                left, right = np.flatnonzero(~home), np.flatnonzero(home)
+            else:
+                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
             for x in left:
-                y = right[right > x] if i == j else right
+                y = right[right > x] if kind and i == j else right
                 y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x]))]
                 y = y[~(np.abs(far[y] - far[x]) > reach)]
                 if len(y):
@@ -203,10 +218,11 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     reachable by links (its own included), and whether that is its own.
 
     Texts that are null or have no word have empty sets and link with nothing. A null id links
-    with nothing, has a null component and is kept. Rows that repeat an id are classed each,
-    and kept alike. Ids are integers. Other columns are dropped, so names cannot clash.
+    with nothing, has a null component and is kept. Rows that repeat an id (and so its text)
+    are classed each, and kept alike. Ids are integers. Other columns are dropped, so names cannot clash.
     """
     space = Workspace(df.sparkSession, "near-text")
+    bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = space.stow(_signed(docs, rule), "signed")
 
@@ -228,7 +244,9 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     near = near.where(100 * F.least("n", "c.n") >= rule.percent * F.greatest("n", "c.n")).select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).distinct()
     sig = found.select("rep", "sig")
     near = near.join(sig.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "y"}), "b").where(_agree("x", "y") >= rule.matches).select("a", "b")
-    full = space.stow(_sets(docs.join(found.select(F.col("rep").alias("id")), "id").groupBy("id").agg(F.first("text").alias("text")).select(F.col("id").alias("rep"), "text"), rule), "sets")
+    # a hash of ids is built and texts stream by it: they need no sort
+    texts = docs.join(found.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id").select(F.col("id").alias("rep"), "text")
+    full = space.stow(_sets(texts, rule), "sets")
     measured = space.stow(_measured(near, full, rule), "measured")
     links = measured.where("link").select("a", "b")
 
