@@ -59,7 +59,9 @@ def clean_documents(df: DataFrame, text_col: str = "content") -> DataFrame:
     lines = df.withColumn("_lines", candidate_lines(F.col(text_col)))
     lines = lines.withColumn("_lines", F.filter("_lines", has_letter))
     text = F.when(F.col(text_col).isNull() | (F.col(text_col) == ""), F.col(text_col)).otherwise(joined(clean_lines(F.col("_lines"))))
-    return lines.withColumn(text_col, text).drop("_lines")
+    # a generator of one row: what follows reads the text, the planner cannot put its expression there again
+    columns = [F.explode(F.array(text)).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return lines.select(*columns)
 
 
 def clean_markdown_lines(text: Column) -> Column:
