@@ -4,7 +4,8 @@ Three fixed patterns give the base spans. The method adds strings that a tiktoke
 vocabulary spells badly: text of any language takes few tokens for its length, a random
 string takes many, so a low number of characters per token exposes it. Strings known to
 be harmless are excluded first: digests of usual lengths, UUIDs, numbers, and identifiers
-made of words.
+made of words. The shape of a word is not enough: its parts must be spelt well by the
+vocabulary, together and each long one by itself.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ class Efficiency:
 
     vocabulary: str = VOCABULARY
     ratio: float = 2.2
+    #: Letters from which a part of an identifier is judged, with the other parts and alone: one or two letters are a token or two in any text.
+    part: int = 3
+    long_part: int = 12
 
 
 def _encoder(rule: Efficiency):
@@ -54,12 +58,25 @@ def _encoder(rule: Efficiency):
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def excluded(run: str) -> bool:
-    """Known digests and identifiers, which are no secrets however badly they are spelt."""
+def known(run: str) -> bool:
+    """Digests and UUIDs, which are no secrets however badly they are spelt."""
     core = run.strip("+/_=-")
-    if len(core) in DIGESTS and DIGEST.fullmatch(core) or UUID.fullmatch(core):
-        return True
-    return all(not p or p.isdigit() or WORD.fullmatch(p) for p in re.split(r"[+/_=-]+", core))
+    return bool(len(core) in DIGESTS and DIGEST.fullmatch(core) or UUID.fullmatch(core))
+
+
+def is_random(run: str, rule: Efficiency, encoder) -> bool:
+    """Too few characters a token, of an identifier's words or else of the whole run."""
+    parts = [p for p in re.split(r"[+/_=-]+", run) if p and not p.isdigit()]
+    if not all(map(WORD.fullmatch, parts)):
+        return len(run) < rule.ratio * len(encoder.encode_ordinary(run))
+    letters = tokens = 0
+    for p in parts:
+        if len(p) >= rule.part:
+            n = min(len(encoder.encode_ordinary(x)) for x in {p, p.lower()})  # capitals spell a word badly
+            if len(p) >= rule.long_part and len(p) < rule.ratio * n:
+                return True
+            letters, tokens = letters + len(p), tokens + n
+    return letters < rule.ratio * tokens
 
 
 def find(text: str, rule: Efficiency, encoder) -> list[tuple[int, int, int]]:
@@ -71,9 +88,8 @@ def find(text: str, rule: Efficiency, encoder) -> list[tuple[int, int, int]]:
     base = sorted(spans)
     for m in RUN.finditer(text):
         run = m[0]
-        if not excluded(run) and not any(a <= m.start() and m.end() <= b for a, _, b in base):
-            if len(run) < rule.ratio * len(encoder.encode_ordinary(run)):
-                spans.append((m.start(), 3, m.end()))
+        if not known(run) and not any(a <= m.start() and m.end() <= b for a, _, b in base) and is_random(run, rule, encoder):
+            spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 
 

@@ -87,6 +87,17 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_in_the_shape_of_words(spark):
+    """One letter case, or groups of it, is no identifier unless it is spelt as words are."""
+    planted = ["qzxkvjwpmtrbnclqxzdhfgys", "QZXKVJWPMTRBNCLQXZDHFGYS", "qzxkvjwp-mtrbnclq-xzdhfgys-4821", "qzxk_vjwp_mtrb_nclq_xzdh", "production-database-qzxkvjwpmtrb"]
+    words = ["some_long_snake_case_identifier_name", "MAX_CONNECTIONS_PER_HOST_DEFAULT", "Rechtsschutzversicherungsgesellschaften", "src/main/java/org/apache/commons/lang", "en-us-de-fr-es-it-pt-nl-sv", "getElementsByTagNameAndNamespace", "2024-01-02/2024-01-03"]
+    got = {r.doc_id: r for r in secret_scan.scan(docs(spark, [f"a {x} b" for x in planted + words])).collect()}
+    assert [got[i].spans for i in range(len(planted))] == [f"random:2:{2 + len(x)}" for x in planted]
+    assert all(got[len(planted) + i].spans == "" for i in range(len(words)))
+    out = secret_scan.redact(docs(spark, [f"a {x} b" for x in planted])).collect()
+    assert {r.text for r in out} == {"a [SECRET] b"}
+
+
 # ------------------------------------------------------------ quality rules
 
 def figures(text):
