@@ -7,9 +7,12 @@ the content (the text of the whole branch). A branch that looks and reads alike
 pages has a low importance and is cut from every page, with all below it. Pages with
 the same content count once, so copies don't make an article look like a template.
 
-Nodes that name their purpose (menus, footers, forms, adverts, reader comments and so on)
-have no importance whatever their entropy, which is all there is to go by on a host of few
-pages; where a page marks its article, what lies outside has none either.
+Elements that are never the article (menus, footers and so on) have no importance. A name
+in an id or class (advert, sidebar, comments) and a form are no more than a prior against a
+branch: its importance is its entropy, plus the part of the page's text that it holds, less
+the prior; on a host of few pages a fixed entropy is assumed. A branch around a main element,
+or around the only article, stands whatever its name. Where a page marks its article, and
+that holds a good part of the text, what lies outside has no importance.
 
 Statistics are summed by (host, path, value) before they meet by (host, path), so a large
 host is no large task; the cut branches of a host are one row.
@@ -42,8 +45,10 @@ EMPTY = frozenset("area base br col embed hr img input link meta source track wb
 #: A start of the first ends an open one of the second.
 ENDS = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 #: Elements and roles that are never the article.
-FRAME = frozenset("head nav aside footer form menu dialog button select title".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+FRAME = frozenset("head nav aside footer menu dialog button select title".split())
+ROLES = frozenset("navigation banner contentinfo complementary alertdialog dialog menu menubar toolbar".split())
+#: Roles that may hold a whole page, as a form may.
+SOFT_ROLES = frozenset("search form alert".split())
 #: Words of ids and classes that name a purpose other than the article.
 PURPOSE = frozenset(
     "ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored menu nav navbar navigation breadcrumb breadcrumbs "
@@ -52,18 +57,26 @@ PURPOSE = frozenset(
     "form search pagination pager skip copyright disclaimer".split()
 )
 COMMENT = frozenset("comment comments reply replies".split())
+#: Names of what readers write, which may be longer than the article.
+READERS = COMMENT | frozenset("commentlist discussion disqus respond".split())
 
 
 @dataclass(frozen=True)
 class Cut:
     """Least importance of a branch, and least pages for it to be judged: inside a marked
-    article, and on pages that mark none. ``presentation``: its part of the importance."""
+    article, and on pages that mark none. ``presentation``: its part of the importance.
+    ``name``, ``readers``: the priors against named branches; ``unknown``: the entropy of a
+    branch on too few pages (none outside of an article with text); ``trust``: least part of the text in articles that are trusted."""
 
     inside: float = 0.3
     inside_pages: int = 8
     outside: float = 0.5
     outside_pages: int = 5
     presentation: float = 0.1
+    name: float = 0.75
+    readers: float = 1.15
+    unknown: float = 0.75
+    trust: float = 0.3
 
 
 def _h(text: str, seed: int = 0) -> int:
@@ -71,14 +84,17 @@ def _h(text: str, seed: int = 0) -> int:
 
 
 class Page:
-    """Blocks of a page: (text, paths of the nodes that hold it, in its article, framed)."""
+    """Blocks of a page: (text, paths of the nodes that hold it, those of them with a name, in its article, framed)."""
 
-    def __init__(self, html: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
+    def __init__(self, html: str, rule: Cut = Cut()):
+        self.rule = rule
+        self.blocks: list[tuple[str, tuple[int, ...], tuple[int, ...], bool, bool]] = []
         self.children: dict[int, list[str]] = {}
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, path, article, framed
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # tag, path, article, framed, named
         self.held: list[str] = []
-        self.marked = False
+        self.named: dict[int, float] = {}
+        self.apart: set[int] = set()  # named branches outside of an article
+        self.around: tuple[set[int], set[int]] = (set(), set())  # named branches that hold an article, a main element
         for m in TOKEN.finditer(html):
             token = m[0]
             if token[0] != "<" or len(token) == 1:
@@ -89,14 +105,40 @@ class Page:
                 # at the end of a cut page a tag may be open: it is no text
                 self.start(m[3].lower(), m[4] or "")
         self.flush()
+        self.measure()
+
+    def measure(self) -> None:
+        """The parts of the page's text in named branches, and the branches that stand by what they hold."""
+        total = held = 0
+        chars = dict.fromkeys(self.named, 0)
+        for text, _, named, article, framed in self.blocks:
+            if not framed:
+                total += len(text)
+                held += len(text) if article and not named else 0
+                for p in set(named):
+                    chars[p] += len(text)
+        self.part = {p: n / max(total, 1) for p, n in chars.items()}
+        articles, mains = self.around
+        self.unknown = self.rule.unknown, 0.0 if held else self.rule.unknown
+        self.stands = mains if held and held >= self.rule.trust * total else mains | articles
+
+    def cut(self, good: frozenset[int] = frozenset(), bad: frozenset[int] = frozenset()) -> set[int]:
+        """Named branches without importance; those of ``good`` and ``bad`` are judged by their host."""
+        rule = self.rule
+        return {p for p, prior in self.named.items() if p not in self.stands and p not in good and (p in bad or self.unknown[p in self.apart] + self.part[p] - prior < rule.outside)}
+
+    def marked(self, cut: set[int]) -> bool:
+        free = [(len(text), article) for text, _, named, article, framed in self.blocks if not framed and cut.isdisjoint(named)]
+        held = sum(n for n, article in free if article)
+        return held > 0 and held >= self.rule.trust * sum(n for n, _ in free)
 
     def flush(self) -> None:
         if self.held:
             text = " ".join(references.unescape("".join(self.held)).split())
             self.held = []
             if text:
-                top = self.stack[-1] if self.stack else ("", 0, False, False)
-                self.blocks.append((text, tuple(x[1] for x in self.stack), top[2], top[3]))
+                top = self.stack[-1] if self.stack else ("", 0, False, False, ())
+                self.blocks.append((text, tuple(x[1] for x in self.stack), top[4], top[2], top[3]))
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -104,12 +146,14 @@ class Page:
             return
         named = {a.lower(): (b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
         words = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}".lower()))
-        framed = tag in FRAME or named.get("role", "").lower() in ROLES or "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower()
-        framed |= bool(words & (COMMENT if tag in ("article", "main") else frozenset() if tag in ("html", "body") else PURPOSE))
+        role = named.get("role", "").lower()
+        framed = tag in FRAME or role in ROLES or "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower()
+        words &= COMMENT if tag in ("article", "main") else frozenset() if tag in ("html", "body") else PURPOSE
+        prior = self.rule.readers if words & READERS else self.rule.name if words or tag == "form" or role in SOFT_ROLES else 0.0
         if tag not in BLOCKS:
-            if framed and tag not in EMPTY:  # a framed inline element is a branch as well
+            if (framed or prior) and tag not in EMPTY:  # a framed inline element is a branch as well
                 self.flush()
-                self.push(tag, named, framed)
+                self.push(tag, named, framed, prior)
             return
         self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
@@ -120,18 +164,24 @@ class Page:
             if open_tag not in ("dd", "dt", "li") and tag not in ENDS or open_tag in ("ul", "ol", "dl", "table"):
                 break
         if tag not in EMPTY:
-            self.push(tag, named, framed)
+            self.push(tag, named, framed, prior)
 
-    def push(self, tag: str, named: dict[str, str], framed: bool) -> None:
-        up = self.stack[-1] if self.stack else ("", 0, False, False)
-        style = f"{tag}#{named.get('id', '')}.{named.get('class', '')}"
+    def push(self, tag: str, named: dict[str, str], framed: bool, prior: float) -> None:
+        up = self.stack[-1] if self.stack else ("", 0, False, False, ())
+        style = f"{tag}#{named.get('id', '')}.{named.get('class', '')}" + (f"@{named['role']}" if named.get("role", "").lower() in SOFT_ROLES else "")
         row = self.children.setdefault(up[1], [])
         if not row or row[-1] != style:
             row.append(style)
-        article = up[2] or tag in ("article", "main") or named.get("role", "").lower() == "main"
-        framed |= tag == "header" and not up[2]
-        self.marked |= article and not (framed or up[3])
-        self.stack.append((tag, _h(f"{up[1]}/{style}"), article, up[3] or framed))
+        main = tag == "main" or named.get("role", "").lower() == "main"
+        framed |= up[3] or tag == "header" and not up[2]
+        if (main or tag == "article") and not framed and not prior:
+            self.around[main].update(up[4])
+        path = _h(f"{up[1]}/{style}")
+        if prior:
+            self.named[path] = prior
+            if not up[2] and not main and tag != "article":
+                self.apart.add(path)
+        self.stack.append((tag, path, up[2] or main or tag == "article", framed, (*up[4], path) if prior else up[4]))
 
     def end(self, tag: str) -> None:
         if tag in BLOCKS or any(x[0] == tag for x in self.stack):
@@ -141,20 +191,28 @@ class Page:
                     del self.stack[k:]
                     break
 
-    def main(self, low: frozenset[int] | set[int]) -> str:
-        """Blocks that are neither framed, nor outside a marked article, nor in a branch of ``low``."""
-        return " ".join(t for t, paths, article, framed in self.blocks if not framed and (article or not self.marked) and not (low and low.intersection(paths)))
+    def main(self, low: frozenset[int] | set[int], good: frozenset[int] = frozenset(), bad: frozenset[int] = frozenset()) -> str:
+        """Blocks that are neither framed, nor outside a marked article, nor in a branch of ``low`` or a named one without importance."""
+        cut = self.cut(good, bad)
+        marked = self.marked(cut)
+        return " ".join(t for t, paths, named, article, framed in self.blocks if not framed and (article or not marked) and cut.isdisjoint(named) and not (low and low.intersection(paths)))
 
-    def branches(self) -> Iterator[tuple[int, int, int, bool]]:
-        """(path, content, presentation, in the article) of each path that isn't framed."""
+    def branches(self) -> Iterator[tuple[int, int, int, bool, float, float]]:
+        """(path, content, presentation, in the article, part of the text, prior) of each path that isn't framed.
+
+        The last two are 0 of a path without a name. Text of a cut branch counts in that branch alone.
+        """
+        cut = self.cut()
+        marked = self.marked(cut)
         content: dict[int, int] = {}
-        for text, paths, article, framed in self.blocks:
-            if not framed and (article or not self.marked):
+        for text, paths, named, article, framed in self.blocks:
+            if not framed and (article or not marked):
                 h = _h(text)
-                for p in dict.fromkeys(paths):
+                top = next((paths.index(p) for p in named if p in cut), 0)
+                for p in dict.fromkeys(paths[top:]):
                     content[p] = _h(f"{content.get(p, 0)} {h}")
         for p, h in content.items():
-            yield p, h, _h("|".join(self.children.get(p, ()))), self.marked
+            yield p, h, _h("|".join(self.children.get(p, ()))), marked, self.part.get(p, 0.0), self.named.get(p, 0.0)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rule: Cut = Cut()) -> DataFrame:
@@ -172,33 +230,36 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                page = Page(html)
+                page = Page(html, rule)
                 whole = _h(page.main(frozenset()))
-                for path, content, style, marked in page.branches():
-                    for k, x in enumerate((name, path, whole, content, style, marked)):
+                for path, content, style, marked, part, prior in page.branches():
+                    for k, x in enumerate((name, path, whole, content, style, marked, part, prior)):
                         out[k].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["host", "path", "page", "content", "style", "marked"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64()))], names=["host", "path", "page", "content", "style", "marked", "part", "prior"])
 
-    seen = pages.select("host", "html").mapInArrow(read, "host string, path long, page long, content long, style long, marked boolean")
-    seen = space.stow(seen.groupBy("host", "path", "page").agg(F.first("content").alias("content"), F.first("style").alias("style"), F.max("marked").alias("marked")), "seen")
+    seen = pages.select("host", "html").mapInArrow(read, "host string, path long, page long, content long, style long, marked boolean, part double, prior double")
+    seen = space.stow(seen.groupBy("host", "path", "page").agg(F.first("content").alias("content"), F.first("style").alias("style"), F.max("marked").alias("marked"), F.max("part").alias("part"), F.max("prior").alias("prior")), "seen")
 
     def entropy(value: str) -> DataFrame:
-        n = seen.groupBy("host", "path", value).agg(F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked"))
-        total = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("marked").alias("marked"))
+        n = seen.groupBy("host", "path", value).agg(F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked"), F.sum("part").alias("part"), F.max("prior").alias("prior"))
+        total = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("marked").alias("marked"), F.round(F.sum("part") / F.sum("n"), 9).alias("part"), F.max("prior").alias("prior"))
         h = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-        return total.select("host", "path", "pages", "marked", h.alias(f"{value}_entropy"))
+        return total.select("host", "path", "pages", "marked", "part", "prior", h.alias(f"{value}_entropy"))
 
     tree = entropy("content").join(entropy("style").select("host", "path", "style_entropy"), ["host", "path"])
     value = (1 - rule.presentation) * F.col("content_entropy") + rule.presentation * F.col("style_entropy")
     low = (F.col("marked") & (value < rule.inside) & (F.col("pages") >= rule.inside_pages)) | (~F.col("marked") & (value < rule.outside) & (F.col("pages") >= rule.outside_pages))
-    cut = space.stow(tree.where(low).groupBy("host").agg(F.collect_list("path").alias("low")), "cut")  # templates of a host: as many as its styles
+    judged = (F.col("prior") > 0) & (F.col("pages") >= rule.outside_pages)
+    stands = value + F.col("part") - F.col("prior") >= rule.outside
+    lists = [F.collect_list(F.when(x, F.col("path"))).alias(name) for name, x in (("low", low), ("good", judged & stands), ("bad", judged & ~stands))]
+    cut = space.stow(tree.where(low | judged).groupBy("host").agg(*lists), "cut")  # templates of a host: as many as its styles
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(html).main(frozenset(low or ())) for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [Page(html, rule).main(*(frozenset(x or ()) for x in lists)) for html, *lists in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = pages.join(cut, "host", "left").select("id", "url", "html", "low").mapInArrow(keep, f"id {kind}, url string, text string")
+    out = pages.join(cut, "host", "left").select("id", "url", "html", "low", "good", "bad").mapInArrow(keep, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

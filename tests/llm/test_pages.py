@@ -59,3 +59,27 @@ def test_edges(spark):
     assert texts(spark, rows, schema) == {1: "a", None: ""}
     df = spark.createDataFrame(rows, schema)
     assert site_style.extract(df.limit(0)).count() == 0
+
+
+def test_names_do_not_override_an_article(spark):
+    """A word in a wrapper's id or class, or a form around the page, leaves the article inside alone."""
+    side = '<div class="sidebar">Side links</div>'
+    wrapped = [
+        f'<div class="content-sidebar-wrap"><main><p>Long story of the day</p></main>{side}</div>',
+        f'<div class="layout has-sidebar"><article><p>Long story of the day</p></article>{side}</div>',
+        f'<div id="search-page"><p>Long story of the day</p></div>{side}',
+        f'<form action="/"><nav>Menu</nav><div><p>Long story of the day</p></div>{side}</form>',
+        f'<main><div class="layout has-sidebar"><p>Long story of the day</p></div></main>{side}',
+        '<article><p>Teaser</p></article><div><p>Long story of the day</p></div>' + side,
+        '<article><p>Long story of the day</p></article><section class="comments"><article>Reader one</article></section>',
+        '<div class="ad">Buy all of this at once, and then buy some more of it again</div><article><p>Long story of the day</p></article>',
+    ]
+    got = texts(spark, [(i, f"https://h{i}.example/", page(b)) for i, b in enumerate(wrapped)])
+    assert got == {i: ("Teaser " if i == 5 else "") + "Long story of the day" for i in range(len(wrapped))}
+
+
+def test_names_are_a_prior_on_entropy(spark):
+    """On a host of many pages: a named branch with much text of its own stays, one with little or always the same goes."""
+    body = '<div class="search-box-left"><p>{0} unique story number {0} of some more words</p></div><div class="x2"><p>{0} another unique story {0}</p></div><div class="ad">Buy {0}</div><div class="banner">Always the same words</div>'
+    rows = [(i, f"https://one.example/{i}", page(body.format(i))) for i in range(20)]
+    assert texts(spark, rows) == {i: f"{i} unique story number {i} of some more words {i} another unique story {i}" for i in range(20)}
