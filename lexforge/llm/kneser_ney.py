@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney model of word pairs.
+"""An interpolated modified Kneser-Ney model of word pairs or triples.
 
 Counting runs in Spark in two passes. The first counts words, the second word pairs; each
 task sums what it has read before it is shuffled, packed as sorted runs of hashes, so a
@@ -10,6 +10,13 @@ Nothing but totals and the few frequent words reaches the driver.
 
 p(w) = (N(.w) - D) / N(..) + spare / (V + 1);  p(w|v) = (c(vw) - D) / c(v.) + spare(v) p(w),
 with N: distinct pairs, D: the modified discounts of one, two, and three or more.
+
+With order 3 the second pass counts triples, dealt by their middle word, so that what a pair
+is followed by and what it follows meet in one place. Those of a frequent middle word are
+dealt by their first two words, or by the triple if both are frequent; what their pairs sum
+to is then dealt again. p(w|uv) = (c(uvw) - D) / c(uv.) + spare(uv) p(w|v), and the pairs
+below count distinct words before them: p(w|v) = (N(.vw) - D) / N(.v.) + spare(v) p(w). A
+text's first word has nothing before it; its pair keeps its count, and no triple is made.
 """
 
 from __future__ import annotations
@@ -43,6 +50,8 @@ class Model:
     word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     word_spread: tuple[int, int, int] = (0, 0, 0)
     hot: dict[int, tuple[int, int, int, int]] = field(default_factory=dict)
+    order: int = 2
+    triple_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -142,14 +151,76 @@ def _pair_keys(v: np.ndarray, w: np.ndarray, bits: int, hot: np.ndarray) -> np.n
     return (shard << np.uint64(64 - bits)) | (key & np.uint64((1 << (64 - bits)) - 1))
 
 
+def _is_hot(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
+    return hot[at] == v
+
+
+def _contexts(u: np.ndarray, v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Hashes of 48 bits of the first two words; the lowest bit says that both are hot."""
+    c = _low(mix64(u * np.uint64(0x9E3779B97F4A7C15) + v))
+    return (c & ~np.uint64(1)) | (_is_hot(u, hot) & _is_hot(v, hot)).astype(np.uint64)
+
+
+def _in_shard(shard: np.ndarray | int, key: np.ndarray, bits: int) -> np.ndarray:
+    return (np.asarray(shard).astype(np.uint64) << np.uint64(64 - bits)) | (key & np.uint64((1 << (64 - bits)) - 1))
+
+
+def _triple_keys(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(c * np.uint64(0x9E3779B97F4A7C15) + _low(w))
+
+
+def _context_shards(c: np.ndarray, v: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """Where a context's sums lie: by its middle word, or by itself if that is hot."""
+    return np.where(_is_hot(v, hot), c >> np.uint64(48 - bits), v >> np.uint64(64 - bits))
+
+
+def _triple_shards(c: np.ndarray, v: np.ndarray, w: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    return np.where(c & np.uint64(1), _triple_keys(c, w) >> np.uint64(64 - bits), _context_shards(c, v, bits, hot))
+
+
+def _save_counts(folder: str, keys: str, values: str, shard: int, key: np.ndarray, n: np.ndarray) -> None:
+    """Sorted keys with counts of a byte; larger counts lie apart, by the name of ``keys``."""
+    _save(folder, f"{keys}-{shard}", key)
+    _save(folder, f"{values}-{shard}", np.minimum(n, 255).astype(np.uint8))
+    large = np.flatnonzero(n >= 255)
+    _save(folder, f"large-{keys}-{shard}", np.stack([key[large], n[large].astype(np.uint64)]))
+
+
+def _save_stats(folder: str, keys: str, shard: int, key: np.ndarray, stats: np.ndarray) -> None:
+    """Sorted keys with rows of statistics, which are few distinct ones: a table and places in it."""
+    row = np.zeros(len(key), np.uint64)
+    for x in stats:
+        row = mix64(row * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64))
+    _, at, place = np.unique(row, return_index=True, return_inverse=True)
+    _save(folder, f"{keys}-{shard}", key)
+    _save(folder, f"{keys}-rows-{shard}", stats.T[at].astype(np.int64))
+    _save(folder, f"{keys}-places-{shard}", place.astype(np.uint16 if len(at) < 1 << 16 else np.uint32))
+
+
+def _stats(n: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    return np.stack([sums(x.astype(np.int64), cut) for x in (n, n == 1, n == 2, n >= 3)])
+
+
+def _cuts(sorted_key: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_key), bool)
+    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    return np.append(np.flatnonzero(new), len(sorted_key))
+
+
 def _spread(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
 # ---------------------------------------------------------------- training
 
-def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, label: str = "kneser-ney") -> Model:
-    """A model of all rows of ``df``. Null texts are empty ones: their end is their one token."""
+def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, label: str = "kneser-ney", order: int = 2) -> Model:
+    """A model of all rows of ``df``. Null texts are empty ones: their end is their one token.
+
+    ``order``: 2 for word pairs, 3 for triples above pairs.
+    """
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     spark = df.sparkSession
     space = Workspace(spark, label)
     bound_batches(spark)
@@ -158,7 +229,7 @@ def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, la
     docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n_bytes = int(size[0] or 0)
-    bits = max(6, (n_bytes // shard_bytes).bit_length())
+    bits = max(6, (n_bytes // (shard_bytes >> (order - 2))).bit_length())
     shards = 1 << bits
     often = max(64, n_bytes // (96 * shards))  # about 15 tokens in 1000 of a shard: at most 16 x shards words reach it
 
@@ -232,41 +303,122 @@ def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, la
         if held:
             yield flush(*merged())
 
-    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
-        names = ["shard", "blob", "spread", "frequent"]
-        for group in sorted_groups(batches, ["shard"]):
-            shard = group.column("shard")[0].as_py()
-            v, w, n = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py(), "hc") for b in group.column("blob"))))
-            key, n, at = _summed(_pair_keys(v, w, bits, hot), n)
-            v, w = v[at], w[at]
-            small = np.minimum(n, 255).astype(np.uint8)
-            _save(folder, f"pairs-{shard}", key)
-            _save(folder, f"pair-counts-{shard}", small)
-            large = np.flatnonzero(n >= 255)
-            _save(folder, f"large-{shard}", np.stack([key[large], n[large].astype(np.uint64)]))
-            order = np.argsort(v, kind="stable")
-            vs, ns = v[order], n[order]
-            new = np.ones(len(vs), bool)
-            new[1:] = vs[1:] != vs[:-1]
-            cut = np.append(np.flatnonzero(new), len(vs))
-            stats = np.stack([sums(x.astype(np.int64), cut) for x in (ns, ns == 1, ns == 2, ns >= 3)])
-            vs = vs[cut[:-1]]
-            is_hot = np.isin(vs, hot)
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+    names = ["part", "shard", "blob", "spread", "frequent"]
+    schema = "part string, shard int, blob binary, spread array<long>, frequent array<array<long>>"
+
+    def totals(part: str, spread: list[int], frequent: list | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, None, None, spread, frequent), kinds)], names=names)
+
+    def blobs(part: str, shard_of: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        """Columns dealt to shards, each in the order of its first."""
+        order = np.lexsort((columns[0], shard_of))
+        cut = np.searchsorted(shard_of[order].astype(np.int64), np.arange(shards + 1))
+        full = [k for k in range(shards) if cut[k + 1] > cut[k]]
+        packed = [_packed(*(x[order[cut[k] : cut[k + 1]]] for x in columns)) for k in full]
+        nothing = [None] * len(full)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([part] * len(full), full, packed, nothing, nothing), kinds)], names=names)
+
+    def settle(shard: int, key: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, hot_ones: str = "") -> Iterator[pa.RecordBatch]:
+        """Write the distinct pairs of a shard and what their first words sum to; then the words they end in."""
+        _save_counts(folder, f"{hot_ones}pairs", f"{hot_ones}pair-counts", shard, key, n)
+        order = np.argsort(v, kind="stable")
+        vs, ns = v[order], n[order]
+        cut = _cuts(vs)
+        stats, vs = _stats(ns, cut), vs[cut[:-1]]
+        is_hot = np.isin(vs, hot)
+        if not hot_ones:
             _save(folder, f"firsts-{shard}", vs[~is_hot])
-            _save(folder, f"first-stats-{shard}", stats[:, ~is_hot].astype(np.uint32) if stats.max() < 1 << 32 else stats[:, ~is_hot])
-            frequent = np.concatenate([vs[is_hot].view(np.int64)[:, None], stats[:, is_hot].T], 1).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([None], kinds[0]), pa.array([None], kinds[1]), pa.array([_spread(n) + [len(n)]], kinds[2]), pa.array([frequent], kinds[3])], names=names)
-            # words that the pairs end in, by the top of their low 48 bits
-            u, c = np.unique(w, return_counts=True)
-            top = (u >> np.uint64(48 - bits)).astype(np.int64)
-            cut = np.searchsorted(top, np.arange(shards + 1))
-            full = [k for k in range(shards) if cut[k + 1] > cut[k]]
-            blobs = [_packed(u[cut[k] : cut[k + 1]], c[cut[k] : cut[k + 1]]) for k in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, kinds[0]), pa.array(blobs, kinds[1]), pa.array([None] * len(full), kinds[2]), pa.array([None] * len(full), kinds[3])], names=names)
+            _save(folder, f"first-stats-{shard}", stats[:, ~is_hot].astype(np.uint32) if stats.max(initial=0) < 1 << 32 else stats[:, ~is_hot])
+        yield totals("tables", _spread(n) + [len(n)], np.concatenate([vs[is_hot].view(np.int64)[:, None], stats[:, is_hot].T], 1).tolist())
+        # words that the pairs end in, by the top of their low 48 bits
+        u, c = np.unique(w, return_counts=True)
+        yield blobs("tables", u >> np.uint64(48 - bits), u, c)
+
+    def merge_pairs(hot_ones: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in sorted_groups(batches, ["shard"]):
+                v, w, n = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py(), "hc") for b in group.column("blob"))))
+                key, n, at = _summed(_pair_keys(v, w, bits, hot), n)
+                yield from settle(group.column("shard")[0].as_py(), key, v[at], w[at], n, hot_ones)
+
+        return run
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def summed(v, c, w, n):
+            _, n, at = _summed(_triple_keys(c, w), n)
+            return v[at], c[at], w[at], n
 
-    dealt = docs.mapInArrow(count_pairs, "shard int, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    pairs = space.stow(dealt.mapInArrow(merge_pairs, "shard int, blob binary, spread array<long>, frequent array<array<long>>"), "pairs")
+        def flush():
+            v, c, w, n = summed(*(np.concatenate(x) for x in zip(*held)))
+            return blobs("triples", _triple_shards(c, v, w, bits, hot), v, c, w, n)
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w, starts = _tokens(part)
+                v = _before(w, starts)
+                held.append(summed(v, _contexts(_before(v, starts), v, hot), w, np.ones(len(w), np.int64)))
+                if sum(len(x[0]) for x in held) > 1_500_000:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    def merge_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["shard"]):
+            shard = group.column("shard")[0].as_py()
+            v, c, w, n = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py(), "hhc") for b in group.column("blob"))))
+            key, n, at = _summed(_in_shard(shard, _triple_keys(c, w), bits), n)
+            v, c, w = v[at], c[at], w[at]
+            whole = v != BEGIN
+            _save_counts(folder, "triples", "triple-counts", shard, key[whole], n[whole])
+            yield totals("triples", _spread(n[whole]) + [int(whole.sum())])
+            # what follows a context
+            place = np.flatnonzero(whole)[np.argsort(c[whole], kind="stable")]
+            cut = _cuts(c[place])
+            stats, cs = _stats(n[place], cut), c[place][cut[:-1]]
+            both = (cs & np.uint64(1)).astype(bool)
+            mine = _in_shard(shard, cs[~both], bits)
+            order = np.argsort(mine, kind="stable")
+            _save_stats(folder, "contexts", shard, mine[order], stats[:, ~both][:, order])
+            if both.any():
+                yield blobs("contexts", cs[both] >> np.uint64(48 - bits), cs[both], *stats[:, both])
+            # distinct words before a pair; a text's first word keeps its count
+            before = np.where(whole, 1, n)
+            is_hot = _is_hot(v, hot)
+            if is_hot.any():
+                k, m, at = _summed(_pair_keys(v[is_hot], w[is_hot], bits, hot), before[is_hot])
+                yield blobs("pairs", k >> np.uint64(64 - bits), v[is_hot][at], w[is_hot][at], m)
+            k, m, at = _summed(_pair_keys(v[~is_hot], w[~is_hot], bits, hot), before[~is_hot])
+            yield from settle(shard, k, v[~is_hot][at], w[~is_hot][at], m)
+
+    def merge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["shard"]):
+            shard = group.column("shard")[0].as_py()
+            c, *stats = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py(), "cccc") for b in group.column("blob"))))
+            order = np.argsort(c, kind="stable")
+            cut = _cuts(c[order])
+            stats = np.stack([sums(x[order], cut) for x in stats])
+            c = c[order][cut[:-1]]
+            key = _in_shard(shard, c, bits)
+            order = np.argsort(key, kind="stable")
+            _save_stats(folder, "hot-contexts", shard, key[order], stats[:, order])
+            yield pa.RecordBatch.from_arrays([pa.array([len(c)])], names=["n"])
+
+    def by_shard(df: DataFrame) -> DataFrame:
+        return df.select("shard", "blob").repartition(shards, "shard").sortWithinPartitions("shard")
+
+    triple_spread = np.zeros(5, np.int64)
+    if order == 2:
+        pairs = space.stow(by_shard(docs.mapInArrow(count_pairs, "shard int, blob binary")).mapInArrow(merge_pairs(""), schema), "pairs")
+    else:
+        triples = space.stow(by_shard(docs.mapInArrow(count_triples, schema)).mapInArrow(merge_triples, schema), "triples")
+        triple_spread = np.array([r[0] for r in triples.where("part = 'triples'").select("spread").collect()], np.int64).reshape(-1, 5).sum(0)  # a row a shard
+        by_shard(triples.where("part = 'contexts'")).mapInArrow(merge_contexts, "n long").agg(F.sum("n")).first()
+        hot_pairs = space.stow(by_shard(triples.where("part = 'pairs'")).mapInArrow(merge_pairs("hot-"), schema), "pairs")
+        pairs = triples.where("part = 'tables'").unionByName(hot_pairs)
     spread = np.array([r[0] for r in pairs.where("spread is not null").select("spread").collect()], np.int64).reshape(-1, 5).sum(0)  # a row a shard
     frequent: dict[int, np.ndarray] = {}
     for r in pairs.where("frequent is not null").select(F.explode("frequent").alias("f")).groupBy(F.col("f")[0].alias("v")).agg(*[F.sum(F.col("f")[k]) for k in (1, 2, 3, 4)]).collect():
@@ -284,10 +436,12 @@ def train(df: DataFrame, text_col: str = "text", shard_bytes: int = 64 << 20, la
     dealt = pairs.where("shard is not null").select("shard", "blob").repartition(shards, "shard").sortWithinPartitions("shard")
     ends = space.stow(dealt.mapInArrow(merge_ends, "spread array<long>"), "ends")
     words_spread = np.array([r[0] for r in ends.collect()], np.int64).reshape(-1, 5).sum(0)
-    space.drop(pairs)
+    for written in (pairs,) if order == 2 else (triples, hot_pairs):
+        space.drop(written)
     return Model(
         folder, bits, int(total[0] or 0), int(total[1] or 0), int(spread[4]), discounts(spread[:4].tolist()),
-        discounts(words_spread[:4].tolist()), (int(words_spread[0]), int(words_spread[1]), int(words_spread[4])), frequent,
+        discounts(words_spread[:4].tolist()), (int(words_spread[0]), int(words_spread[1]), int(words_spread[4])), frequent, order,
+        discounts(triple_spread[:4].tolist()),
     )
 
 
@@ -325,6 +479,40 @@ class Reader:
             out[..., a:b] = np.where(have[at] == query[a:b], value[..., at], 0)
         return np.zeros(len(query), np.int64) if out is None else out
 
+    def counts(self, key: np.ndarray, keys: str, values: str) -> np.ndarray:
+        """Counts of keys in any order."""
+        order = np.argsort(key, kind="stable")
+        asked = key[order]
+        c = self.find(asked, keys, values)
+        for k in np.flatnonzero(c == 255):
+            large = self.array(f"large-{keys}-{int(asked[k] >> np.uint64(64 - self.m.bits))}")
+            c[k] = int(large[1, np.searchsorted(large[0], asked[k])])
+        n = np.empty(len(c), np.int64)
+        n[order] = c
+        return n
+
+    def stats(self, key: np.ndarray, keys: str) -> np.ndarray:
+        """Four statistics of each key, in any order; 0 where unknown."""
+        asked, inv = np.unique(key, return_inverse=True)
+        out = np.zeros((4, len(asked)), np.int64)
+        cut = np.searchsorted(asked >> np.uint64(64 - self.m.bits), np.arange((1 << self.m.bits) + 1, dtype=np.uint64))
+        for k in range(1 << self.m.bits):
+            a, b = cut[k], cut[k + 1]
+            have = self.array(f"{keys}-{k}") if b > a else None
+            if have is None or not len(have):
+                continue
+            at = np.minimum(np.searchsorted(have, asked[a:b]), len(have) - 1)
+            rows = self.array(f"{keys}-rows-{k}")[self.array(f"{keys}-places-{k}")[at]]
+            out[:, a:b] = np.where(have[at] == asked[a:b], rows.T, 0)
+        return out[:, inv]
+
+    @staticmethod
+    def mixed(n: np.ndarray, stats: np.ndarray, discount: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+        total, one, two, more = stats
+        d = np.array([0.0, *discount])
+        spare = d[1] * one + d[2] * two + d[3] * more
+        return np.where(total > 0, (n - d[np.minimum(n, 3)] + spare * lower) / np.maximum(total, 1), lower)
+
     def score(self, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: known tokens, base score and log10 probability."""
         m = self.m
@@ -348,20 +536,22 @@ class Reader:
             at = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
             stats = np.where(self.hot[at] == first, self.hot_stats[at].T, stats)
         key = _pair_keys(v, w, m.bits, self.routes)
-        order = np.argsort(key, kind="stable")
-        asked = key[order]
-        c = self.find(asked, "pairs", "pair-counts")
-        for k in np.flatnonzero(c == 255):
-            large = self.array(f"large-{int(asked[k] >> np.uint64(64 - m.bits))}")
-            c[k] = int(large[1, np.searchsorted(large[0], asked[k])])
-        n = np.empty(len(c), np.int64)
-        n[order] = c
-        total, one, two, more = stats[:, inv_v]
-        d = np.array([0.0, *m.pair_discounts])
-        lower = p1[inv]
-        seen = total > 0
-        spare = d[1] * one + d[2] * two + d[3] * more
-        p = np.where(seen, (n - d[np.minimum(n, 3)] + spare * lower) / np.maximum(total, 1), lower)
+        if m.order == 2:
+            n = self.counts(key, "pairs", "pair-counts")
+        else:
+            n, is_hot = np.empty(len(key), np.int64), _is_hot(v, self.routes)
+            n[is_hot] = self.counts(key[is_hot], "hot-pairs", "hot-pair-counts")
+            n[~is_hot] = self.counts(key[~is_hot], "pairs", "pair-counts")
+        p = self.mixed(n, stats[:, inv_v], m.pair_discounts, p1[inv])
+        if m.order == 3:
+            c = _contexts(_before(v, starts), v, self.routes)
+            key = _in_shard(_triple_shards(c, v, w, m.bits, self.routes), _triple_keys(c, w), m.bits)
+            own = _in_shard(_context_shards(c, v, m.bits, self.routes), c, m.bits)
+            both = (c & np.uint64(1)).astype(bool)
+            after = np.empty((4, len(c)), np.int64)
+            after[:, both] = self.stats(own[both], "hot-contexts")
+            after[:, ~both] = self.stats(own[~both], "contexts")
+            p = self.mixed(self.counts(key, "triples", "triple-counts"), after, m.triple_discounts, p)
         return sums((count > 0).astype(np.int64)[inv], starts), sums(base[inv], starts), sums(np.log10(p), starts)
 
 

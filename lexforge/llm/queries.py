@@ -50,7 +50,7 @@ def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs.where(bucket_of("doc_id", 10) != 0))
+    model = kneser_ney.train(docs.where(bucket_of("doc_id", 10) != 0), order=3)
     out = kneser_ney.score(docs, model)
     return out.select("doc_id", (bucket_of("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 

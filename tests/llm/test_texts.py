@@ -374,6 +374,58 @@ def test_kneser_ney(spark):
     assert kneser_ney.score(docs(spark, []), model).count() == 0
 
 
+def brute_triples(train, text):
+    """The model of order 3, by dictionaries: log10 of a text, and p(w | a, b)."""
+    tokens = lambda t: [*(t or "").lower().encode().split(), "</s>"]
+    uni, triples, pairs = Counter(), Counter(), Counter()
+    for t in train:
+        w = tokens(t)
+        uni.update(w)
+        pairs["<s>", w[0]] += 1
+        triples.update(zip(["<s>", *w], w, w[1:]))
+    pairs.update((b, w) for _, b, w in triples)
+    ends = Counter(w for _, w in pairs)
+    spread = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+    d3, d2, d1 = (kneser_ney.discounts(spread(c)) for c in (triples, pairs, ends))
+    cut = lambda d, c: d[min(c, 3) - 1] if c else 0.0
+    sums = [Counter() for _ in range(4)]
+    for (b, _), c in pairs.items():
+        sums[0][b] += c
+        sums[1][b] += cut(d2, c)
+    for (a, b, _), c in triples.items():
+        sums[2][a, b] += c
+        sums[3][a, b] += cut(d3, c)
+    low_spare = sum(cut(d1, c) for c in ends.values()) / len(pairs)
+
+    def p(a, b, w):
+        x = (ends[w] - cut(d1, ends[w])) / len(pairs) + low_spare / (len(uni) + 1)
+        if sums[0][b]:
+            x = (pairs[b, w] - cut(d2, pairs[b, w]) + sums[1][b] * x) / sums[0][b]
+        if sums[2][a, b]:
+            x = (triples[a, b, w] - cut(d3, triples[a, b, w]) + sums[3][a, b] * x) / sums[2][a, b]
+        return x
+
+    w = tokens(text)
+    return sum(math.log10(p(*x)) for x in zip(["", "<s>", *w], ["<s>", *w], w)), p, uni
+
+
+def test_kneser_ney_triples(spark):
+    random.seed(9)
+    train = [" ".join(random.choices(["the", "a", "b", "c", "dd", "E"], weights=[400, 3, 3, 2, 2, 1], k=random.randint(0, 60))) for _ in range(80)] + ["the the " * 400, "a b c", "a b c", None]
+    train += [" ".join(random.choices([f"w{k}" for k in range(40)], k=30)) for _ in range(60)]
+    model = kneser_ney.train(docs(spark, train), order=3)
+    texts = [*train[:10], *train[-10:], *EDGES, "the THE unknown the", "zz yy", "a b c", "b a b dd"]
+    got = kneser_ney.score(docs(spark, texts), model).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        want, p, uni = brute_triples(train, t)
+        assert abs(r.score - want) < 1e-6 * max(1, r.n_tokens)
+    for a, b in (("a", "b"), ("the", "the"), ("", "<s>"), ("<s>", "the"), ("never", "a"), ("w1", "w2")):
+        assert abs(sum(p(a, b, w) for w in [*uni, "unknown"]) - 1) < 1e-9
+    assert math.isfinite(kneser_ney.score(docs(spark, ["a b"]), kneser_ney.train(docs(spark, []), order=3)).first().score)
+    with pytest.raises(ValueError):
+        kneser_ney.train(docs(spark, train), order=4)
+
+
 def test_discounts_stay_in_range():
     for n in ([0, 0, 0, 0], [10, 3, 2, 1], [1, 50, 50, 50], [100, 1, 0, 9]):
         assert all(0 < d < k for d, k in zip(kneser_ney.discounts(n), (1, 2, 3)))
