@@ -99,9 +99,11 @@ class Languages:
     def word_scores(self, data, begin, end, word_script) -> np.ndarray:
         bucket, first = trigrams(data, begin, end)
         s = sums(self.table[bucket], first)
-        s[~self.use[np.maximum(word_script, 0)] & (word_script >= 0)[:, None]] -= 50
+        out = ~self.use[np.maximum(word_script, 0)] & (word_script >= 0)[:, None]
+        s[out] = -np.inf
         s -= s.max(1, keepdims=True) if s.shape[1] else 0
         s = np.maximum(s, -self.rule.most)
+        s[out] -= 50  # after the bound: trigrams may be outweighed by the words around, a script may not
         s[word_script < 0] = 0
         return s
 

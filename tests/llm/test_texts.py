@@ -310,6 +310,16 @@ def test_languages(spark):
     assert language_spans.label(docs(spark, []), langs).count() == 0
 
 
+def test_a_word_of_another_script_is_a_span(spark):
+    sets = {"aa": "abcdefg", "bb": "nopqrstu", "cy": "абвгдежз"}
+    rows = [(t, lang) for k, (lang, letters) in enumerate(sets.items()) for t in corpus_of(letters, 30, k)]
+    langs = language_spans.learn(spark.createDataFrame(rows, "text string, lang string"))
+    a, foreign = corpus_of("abcdefg", 1, 7)[0], corpus_of("абвгдежз", 1, 8)[0].split()
+    texts = [f"{a} {foreign[0]} {a}", f"{a} {foreign[0]} {foreign[1]} {a}", f"{a} {foreign[0]}", a]
+    got = language_spans.label(docs(spark, texts), langs).orderBy("doc_id").collect()
+    assert [len(r.lang_spans) for r in got] == [3, 3, 2, 1] and all(r.lang_pred == "aa" for r in got)
+
+
 def test_viterbi():
     rng = np.random.default_rng(1)
     langs = language_spans.Languages(["a", "b", "c"], np.ones((3, 1 << language_spans.BITS)), np.ones((3, language_spans.N_SCRIPTS)), language_spans.Rule(penalty=1.0))
