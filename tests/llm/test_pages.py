@@ -1,5 +1,11 @@
 """Main text of pages: known pages, broken markup, and templates found by their style."""
 
+import math
+import random
+from collections import Counter
+
+import pytest
+
 from lexforge.llm import site_style
 
 ROW = "page_id long, url string, html string"
@@ -83,3 +89,51 @@ def test_names_are_a_prior_on_entropy(spark):
     body = '<div class="search-box-left"><p>{0} unique story number {0} of some more words</p></div><div class="x2"><p>{0} another unique story {0}</p></div><div class="ad">Buy {0}</div><div class="banner">Always the same words</div>'
     rows = [(i, f"https://one.example/{i}", page(body.format(i))) for i in range(20)]
     assert texts(spark, rows) == {i: f"{i} unique story number {i} of some more words {i} another unique story {i}" for i in range(20)}
+
+
+def drawn(n, seed=3):
+    """Pages of one host without a name or mark: a menu and a footer drawn from 12 texts, an article of its own, and every one's number of paragraphs."""
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta", "omega")) + str(k) for _ in range(4)) for k in range(12)]
+    out = []
+    for i in range(n):
+        story = [f"story {i} part {k} of number {rng.random():.6f}" for k in range(rng.randint(1, 6))]
+        menu = "".join(f"<li>{w}</li>" for w in rng.choice(pool).split())
+        out.append((i, f"https://h.example/{i}", page(f"<div><ul>{menu}</ul></div><div>{''.join(f'<p>{s}</p>' for s in story)}</div><div>{rng.choice(pool)}</div>"), " ".join(story)))
+    return out
+
+
+@pytest.mark.parametrize("n", [25, 300])
+def test_entropy_alone_finds_the_article(spark, n):
+    rows = drawn(n)
+    got = texts(spark, [r[:3] for r in rows])
+    assert got == {i: story for i, _, _, story in rows}
+    assert texts(spark, [r[:3] for r in rows[:4]]) == {i: " ".join(" ".join(site_style.Page(html).blocks[k][0] for k in range(len(site_style.Page(html).blocks))).split()) for i, _, html, _ in rows[:4]}
+
+
+def test_entropies_equal_brute_force(spark):
+    rows = drawn(40) + [(100, "https://h.example/x", drawn(40)[0][2], "")]  # one page twice
+    rule = site_style.Cut()
+    by_path, seen_texts = {}, set()
+    for _, _, html, _ in rows:
+        p = site_style.Page(html, rule)
+        if p.main() not in seen_texts:
+            seen_texts.add(p.main())
+            for path, content, style, *_ in p.branches():
+                by_path.setdefault(path, []).append((content, style))
+    pages = spark.createDataFrame([("h", html) for _, _, html, _ in rows], "host string, html string")
+    got = {r.path: r for r in site_style.style_tree(site_style._seen(pages, rule), rule).collect()}
+    assert got.keys() == by_path.keys()
+    for path, values in by_path.items():
+        n = len(values)
+        content, style = (Counter(v[k] for v in values) for k in (0, 1))
+        shown = 1 - sum(c == 1 for c in content.values()) / n
+        h = math.log(n) - sum(c * math.log(c) for c in style.values()) / n
+        c = None if shown == 0 else -sum(shown * m / n * math.log(shown * m / n) / (1 - (1 - shown * m / n) ** n) for m in content.values())
+        own = 1.0 if c is None else min(1.0, c / (2 * math.log(rule.variants)))
+        leaf = set(style) == {0}
+        want = own if leaf else (1 - rule.gamma ** math.exp(h)) * (1 - math.exp(-h)) + rule.gamma ** math.exp(h) * own
+        r = got[path]
+        assert r.pages == n and abs(r.style_entropy - h) < 1e-8 and abs(r.importance - want) < 1e-7
+        assert (r.content_entropy is None) == (c is None) and (c is None or abs(r.content_entropy - c) < 1e-8)
+    assert {round(r.content_entropy, 1) for r in got.values() if r.content_entropy is not None}  # the menu and the footer repeat
