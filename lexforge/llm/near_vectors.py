@@ -1,17 +1,25 @@
-"""Near-duplicate vectors by collision counting on one-dimensional projections.
+"""Near-duplicate vectors by collision counting on sorted one-dimensional projections.
 
 Equal vectors with equal labels form a class, counted once with its size. Unit vectors are
-projected on ``projections`` random directions. Two vectors collide on a direction if one
-lies in the window of half-width ``window`` centred on the other. A pair with the least
-cosine differs by a normal variable of known spread on each direction, so the number of
-its collisions is binomial: the count that it reaches but for one pair in ``1 / miss`` is
-the bar (calibrated recall), and pairs at the bar are verified in double precision.
-
-Which pairs are counted at all: directions are taken in tables of ``joint``, each cut
-at a random offset into cells that are wide against the spread; a pair is counted in
-the first table that has both in one cell. Cells are sorted and read in blocks; a block
-gives sums per vector and a spanning forest of its links, never the pairs, so a large group
-of near vectors gives as many rows as it has members in each block.
+projected on random directions. The difference of two vectors on a direction is a normal
+variable whose spread is their distance, so all windows are set in spreads of a pair at
+the least cosine, and all chances of a miss are known.
+
+1. Directions are taken in tables of a few. On each direction but the last a table cuts the
+   sorted values into ranges; a vector whose value lies near the lower end of its range
+   visits the range below as well. So two vectors within ``reach`` of each other on all these
+   directions meet in one list of the table, and in one alone: where their lower ranges meet.
+   As vectors become more, tables take more directions, so that lists stay short.
+2. A list is sorted by the last direction. A window centred on each vector runs along it; the
+   vectors inside are its candidates in this table.
+3. For each candidate pair, in the first table where it meets, collisions are counted: the
+   directions on which one lies in the ``window`` centred on the other. The count that a pair
+   at the least cosine reaches but for one in ``1 / miss`` is the bar (calibrated recall).
+4. Pairs at the bar are verified in double precision.
+
+Lists are made of ids; vectors travel once, to lists that hold two or more. Long lists are
+read in blocks, and a block gives sums per vector and a spanning forest of its links, never
+the pairs, so a large group of near vectors gives as many rows as it has members in each block.
 """
 
 from __future__ import annotations
@@ -31,53 +39,128 @@ from .graph import components
 
 @dataclass(frozen=True)
 class Collisions:
+    """``near`` and ``far``: half-widths of ``window`` and ``reach`` in spreads. ``width``: of
+    the ranges, in reaches. ``rows``: the length that lists of unlike vectors should have."""
+
     cosine: float = 0.98
     projections: int = 64
-    tables: int = 24
-    joint: int = 5
+    near: float = 1.5
+    far: float = 3.5
+    width: float = 4.0
+    rows: int = 32
     miss: float = 1e-6
     block: int = 256
     seed: int = 5
 
     @property
     def distance(self) -> float:
+        """Of two unit vectors at the least cosine, and the spread of their difference on a direction."""
         return math.sqrt(max(0.0, 2 - 2 * self.cosine)) or 1e-6
 
     @property
     def window(self) -> float:
-        """One and a half spreads of a difference at the least cosine."""
-        return 1.5 * self.distance
+        return self.near * self.distance
+
+    @property
+    def reach(self) -> float:
+        return self.far * self.distance
 
     @property
     def bar(self) -> int:
-        """The greatest count that a pair at the least cosine misses with a chance below ``miss``."""
-        p, n, below, k = math.erf(1.5 / math.sqrt(2)), self.projections, 0.0, 0
+        """The greatest count that a pair at the least cosine misses with a chance below half of ``miss``."""
+        p, n, below, k = math.erf(self.near / math.sqrt(2)), self.projections, 0.0, 0
         while k < n:
             below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-            if below > self.miss:
+            if below > self.miss / 2:
                 break
             k += 1
         return k
 
+    def tables(self, most: int) -> list[np.ndarray]:
+        """Directions of each table, the sorted one last, for ``most`` vectors of a label.
+
+        Ranges of a standard normal value hold a vector and another at random together with
+        a chance of about 0.4. There are as many tables as make the chance that a pair meets
+        in none at most half of ``miss``, if there are directions enough; else the tables
+        have fewer directions and the lists are longer.
+        """
+        joint = max(1, math.ceil(math.log(max(most, 2) / self.rows) / math.log(2.5)))
+        while True:
+            apart = 1 - math.erf(self.far / math.sqrt(2)) ** (joint + 1)
+            n = max(1, math.ceil(math.log(self.miss / 2) / math.log(apart)))
+            if n * (joint + 1) <= self.projections or joint == 1:
+                break
+            joint -= 1
+        deal = np.random.default_rng(self.seed + 1).permutation(self.projections)
+        return [np.resize(np.roll(deal, -t * (joint + 1)), joint + 1) for t in range(n)]
+
+
+_drawn: dict[tuple, np.ndarray] = {}
+
 
 def directions(rule: Collisions, size: int) -> np.ndarray:
-    return np.random.default_rng(rule.seed).standard_normal((size, rule.projections))
+    key = rule.seed, rule.projections, size
+    if key not in _drawn:
+        _drawn[key] = np.random.default_rng(rule.seed).standard_normal((size, rule.projections))
+    return _drawn[key]
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def cells(projected: np.ndarray, rule: Collisions) -> np.ndarray:
-    """Hashed cell of each row in each table."""
-    rng = np.random.default_rng(rule.seed + 1)
-    width = 6 * rule.distance
-    out = np.empty((len(projected), rule.tables), np.int64)
-    for t in range(rule.tables):
-        use = rng.choice(rule.projections, rule.joint, replace=False)
-        cell = np.floor(projected[:, use] / width + rng.random(rule.joint)).astype(np.int64)
-        h = np.full(len(cell), t, np.uint64)
-        for c in cell.T:
-            h = (h ^ (c.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) + (h << np.uint64(6)) + (h >> np.uint64(2)))) * np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(32)
-        out[:, t] = h.view(np.int64)
-    return out
+def posts(projected: np.ndarray, use: np.ndarray, table: int, rule: Collisions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, lists (hashed) and visits (a bit for each direction) of one table."""
+    width = rule.width * rule.reach
+    start = np.random.default_rng(rule.seed + 2 + table).random(len(use))
+    x = projected[:, use[:-1]] / width + start[:-1]
+    cell = np.floor(x)
+    low = (x - cell) * width <= rule.reach * (1 + 1e-9)
+    row, visit = np.arange(len(projected)), np.zeros(len(projected), np.int64)
+    for j in range(len(use) - 1):
+        more = low[row, j]
+        row, visit = np.concatenate([row, row[more]]), np.concatenate([visit, visit[more] | 1 << j])
+    where = cell.astype(np.int64)[row] - (visit[:, None] >> np.arange(len(use) - 1) & 1)
+    h = np.full(len(row), table, np.uint64)
+    for c in where.T:
+        h = (h ^ (np.ascontiguousarray(c).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) + (h << np.uint64(6)) + (h >> np.uint64(2)))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return row, h.view(np.int64), visit
+
+
+def linked(v: np.ndarray, part: np.ndarray, visit: np.ndarray, table: int, tables: list[np.ndarray], rule: Collisions, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that link and are first met in this table; of unlike parts if ``cross``.
+
+    The block is sorted by the table's last direction, and windows run along it.
+    """
+    p = v @ directions(rule, v.shape[1])
+    reach, window = rule.reach, rule.window
+    order = np.argsort(p[:, tables[table][-1]], kind="stable")
+    value = p[order, tables[table][-1]]
+    ahead = np.searchsorted(value, value + reach, side="right") - np.arange(len(value)) - 1
+    upto = np.concatenate([[0], np.cumsum(ahead)])
+    xs, ys, at = [], [], 0
+    while at < len(value):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + 16_384, side="right")) - 1)
+        n = ahead[at:stop]
+        x = np.repeat(np.arange(at, stop), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(upto[at:stop] - upto[at], n)
+        x, y = order[x], order[y]
+        own = (visit[x] & visit[y]) == 0
+        if cross:
+            own &= part[x] != part[y]
+        x, y = x[own], y[own]
+        near = np.abs(p[x] - p[y])
+        met = (near[:, tables[table]] <= reach).all(1) & ((near <= window).sum(1) >= rule.bar)
+        for earlier in tables[:table]:
+            met &= ~(near[:, earlier] <= reach).all(1)
+        x, y = x[met], y[met]
+        good = (v[x] * v[y]).sum(1) >= rule.cosine
+        xs.append(x[good])
+        ys.append(y[good])
+        at = stop
+    return np.concatenate(xs or [order[:0]]), np.concatenate(ys or [order[:0]])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -85,51 +168,56 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(rows, -1)
 
 
-def _placed(classes: DataFrame, rule: Collisions) -> DataFrame:
-    """(label, rep, size, v, p, cells) of each class; vectors of unlike lengths get unlike cells."""
+def _posted(classes: DataFrame, tables: list[np.ndarray], rule: Collisions) -> DataFrame:
+    """(label, dim, table, cell, visit, rep, key): the lists of each class of (label, rep, key, v), by ids alone."""
     label = classes.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(3)
-            lengths = np.diff(np.asarray(vectors.offsets))
+            lengths = np.diff(np.asarray(batch.column(3).offsets))
             for size in np.unique(lengths):
-                part = batch.filter(pa.array(lengths == size))
-                v = _matrix(part.column(3), part.num_rows)
-                unit = v / np.abs(v).max(1, keepdims=True)
-                unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                p = unit @ directions(rule, size)
-                where = cells(p, rule) ^ np.int64(size)
-                lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1))) for x in (unit, p.astype(np.float32), where)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists], names=["label", "rep", "size", "v", "p", "cells"])
+                some = batch.filter(pa.array(lengths == size))
+                for at in range(0, some.num_rows, 1024):
+                    part = some.slice(at, 1024)
+                    p = unit(_matrix(part.column(3), part.num_rows)) @ directions(rule, int(size))
+                    for t, use in enumerate(tables):
+                        row, cell, visit = posts(p, use, t, rule)
+                        n = len(row)
+                        ids = part.take(pa.array(row))
+                        columns = [ids.column(0), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cell), pa.array(visit), ids.column(1), ids.column(2)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["label", "dim", "table", "cell", "visit", "rep", "key"])
 
-    return classes.mapInArrow(run, f"label {label}, rep long, size long, v array<double>, p array<float>, cells array<long>")
+    return classes.mapInArrow(run, f"label {label}, dim int, table int, cell long, visit long, rep long, key long")
 
 
-def _forest(link: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what a symmetric link matrix joins: each member with its component's first."""
-    n = len(link)
+def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first member of each of ``n`` members' components."""
     label = np.arange(n)
     while True:
-        near = np.where(link, label[None, :], n).min(1, initial=n)
-        new = np.minimum(label, near)
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
         new = np.minimum(new, new[new])
         if (new == label).all():
-            return [(int(i), int(c)) for i, c in enumerate(label) if i != c]
+            return label
         label = new
 
 
-def _counted(placed: DataFrame, rule: Collisions) -> DataFrame:
+def _counted(classes: DataFrame, rule: Collisions) -> DataFrame:
     """(rep, links, with): per block and vector, the linked vectors and one of the block's component."""
-    rows = placed.select("label", "rep", "size", "v", "p", "cells", F.posexplode("cells").alias("table", "cell"))
-    full = rows.groupBy("label", "table", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = full.select("label", "table", "cell", F.ceil(F.col("n") / rule.block).cast("int").alias("parts"))
-    rows = rows.join(full, ["label", "table", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    # one row: the vectors of the largest label
+    most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    tables = rule.tables(most)
+    where = ["label", "dim", "table", "cell"]
+    rows = _posted(classes.select("label", "rep", "key", "v"), tables, rule)
+    full = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(full.select(*where, F.ceil(F.col("n") / rule.block).cast("int").alias("parts")), where)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("label", "table", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "size", "v", "p", "cells")
-    keys = ["label", "table", "cell", "i", "j"]
+    rows = rows.select(*where, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "visit", "rep", "key")
+    rows = rows.join(classes, ["label", "rep", "key"])
+    keys = [*where, "i", "j"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    bar, window, cosine = rule.bar, np.float32(rule.window * (1 + 1e-6)), rule.cosine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, keys):
@@ -137,25 +225,15 @@ def _counted(placed: DataFrame, rule: Collisions) -> DataFrame:
             if n < 2:
                 continue
             table, i, j = (group.column(c)[0].as_py() for c in ("table", "i", "j"))
-            part, rep, size = (group.column(c).to_numpy() for c in ("part", "rep", "size"))
-            v, p, cell = (_matrix(group.column(c), n) for c in ("v", "p", "cells"))
-            link = np.zeros((n, n), bool)
-            for a in range(n):
-                b = np.arange(a + 1, n)
-                if i != j:
-                    b = b[part[b] != part[a]]
-                if not len(b):
-                    continue
-                b = b[(np.abs(p[b] - p[a]) <= window).sum(1) >= bar]
-                b = b[(cell[b] == cell[a]).argmax(1) == table] if len(b) else b
-                if len(b):
-                    link[a, b[(v[b] * v[a]).sum(1) >= cosine]] = True
-            link |= link.T
-            if link.any():
-                near = link @ size
-                joined = dict(_forest(link))
+            part, visit, rep, size = (group.column(c).to_numpy() for c in ("part", "visit", "rep", "size"))
+            x, y = linked(unit(_matrix(group.column("v"), n)), part, visit, table, tables, rule, i != j)
+            if len(x):
+                near = np.zeros(n, np.int64)
+                np.add.at(near, x, size[y])
+                np.add.at(near, y, size[x])
+                joined = _forest(n, x, y)
                 at = np.flatnonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at], pa.int64()), pa.array(near[at], pa.int64()), pa.array([int(rep[joined.get(int(k), int(k))]) for k in at], pa.int64())], names=["rep", "links", "with"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(near[at]), pa.array(rep[joined[at]])], names=["rep", "links", "with"])
 
     return dealt.mapInArrow(run, "rep long, links long, `with` long")
 
@@ -181,8 +259,7 @@ def classify(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
     by = ["label", "key", "key2"]
     classes = space.stow(rows.where("fit").groupBy(*by).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v")), "classes")
-    placed = space.stow(_placed(classes.select("label", "rep", "size", "v"), rule), "placed")
-    counted = space.stow(_counted(placed, rule), "counted")
+    counted = space.stow(_counted(classes.select("label", "rep", "key", "size", "v"), rule), "counted")
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(counted.select(F.col("rep").alias("a"), F.col("with").alias("b")).distinct(), space).withColumnRenamed("node", "rep")
     named = classes.select(*by, "rep", "size").join(links, "rep", "left").join(groups, "rep", "left")

@@ -146,3 +146,27 @@ def test_calibration():
     rng = np.random.default_rng(0)
     hit = np.abs(rng.normal(0, rule.distance, (20_000, rule.projections))) <= rule.window
     assert (hit.sum(1) >= rule.bar).mean() > 0.9999 and rule.bar > rule.projections / 2
+
+
+@pytest.mark.parametrize("most", [50, 6_000, 5_000_000])
+def test_pairs_at_the_threshold_meet_once(most):
+    """Recall over 4000 pairs just above the least cosine, among vectors at random; no pair is found twice."""
+    rule = near_vectors.Collisions()
+    tables = rule.tables(most)
+    assert len(tables) * len(tables[0]) <= rule.projections and len({int(d) for t in tables for d in t}) == len(tables) * len(tables[0])
+    rng = np.random.default_rng(most)
+    a = near_vectors.unit(rng.normal(size=(4000, 64)))
+    turn = rng.normal(size=a.shape)
+    turn = near_vectors.unit(turn - (turn * a).sum(1, keepdims=True) * a)
+    cosine = 0.98 + 1e-9
+    v = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * turn])
+    p = v @ near_vectors.directions(rule, 64)
+    found = []
+    for t, use in enumerate(tables):
+        row, cell, visit = near_vectors.posts(p, use, t, rule)
+        order = np.argsort(cell, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            x, y = near_vectors.linked(v[row[some]], np.zeros(len(some), int), visit[some], t, tables, rule, False)
+            found += [tuple(sorted(q)) for q in zip(row[some][x].tolist(), row[some][y].tolist())]
+    assert len(found) == len(set(found))
+    assert {(i, i + 4000) for i in range(4000)} == set(found)
