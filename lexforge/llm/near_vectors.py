@@ -49,7 +49,7 @@ class Collisions:
     width: float = 4.0
     rows: int = 32
     miss: float = 1e-6
-    block: int = 256
+    block: int = 1024
     seed: int = 5
 
     @property
