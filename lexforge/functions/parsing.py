@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .scores import valid_or_null
-from .text import evidence_paragraphs, ustrip
+from .text import WS, evidence_paragraphs, ustrip
 
 #: Names of retrieval strategies as models may write them.
 STRATEGIES = {
@@ -73,46 +69,35 @@ def qa_pairs(raw: Column) -> Column:
     return F.coalesce(full, F.from_json(F.lit("[]"), "array<struct<question: string, reference_answer: string>>"))
 
 
-def _supported(check: object, n: int, context: str) -> bool:
-    """A check names a claim, says whether it holds, and holds only with evidence there is."""
-    if not isinstance(check, dict):
-        return False
-    holds, claim = check.get("supported"), check.get("claim")
-    if not isinstance(holds, bool) or not isinstance(claim, str) or not claim.strip():
-        return False
-    if "evidence_ids" in check:
-        ids = check["evidence_ids"]
-        proper = isinstance(ids, list) and all(isinstance(i, int) and not isinstance(i, bool) and 0 < i <= n for i in ids)
-        return proper and bool(ids or not holds)
-    quote = check.get("evidence")
-    if not isinstance(quote, str):
-        return False
-    quote = "".join(quote.split())
-    return not holds or bool(quote) and quote in context
-
-
-def _review(raw: str | None, paragraphs, context: str | None) -> str | None:
-    try:
-        review = json.loads(raw or "")
-    except ValueError:
-        return None
-    answer = review.get("final_answer") if isinstance(review, dict) else None
-    checks = review.get("checks") if isinstance(review, dict) else None
-    if not isinstance(answer, str) or not answer.strip() or not isinstance(checks, list) or not checks:
-        return None
-    packed = "".join((context or "").split())
-    return answer.strip() if all(_supported(c, len(paragraphs), packed) for c in checks) else None
+def _typed(value: Column, path: str, kind: str, shapes: tuple[str, ...]) -> Column:
+    """A variant's part as a column of ``kind``, null unless JSON wrote it in one of ``shapes``: a cast alone blurs 1, true and "1"."""
+    part = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(part).isin(*shapes), F.try_variant_get(value, path, kind))
 
 
 def reviewed_answer(raw: Column, context: Column) -> Column:
     """The answer of a review whose checks all hold against the context; else null.
 
-    JSON types must be told apart (a number is no boolean), which SQL's readers blur.
+    A review has an answer that isn't blank and one check at least. A check has a claim and
+    says whether it is supported; then it cites paragraphs that there are, by number, or, if
+    it has no such list, quotes the context, white space apart. What isn't supported needs
+    no evidence, but a list of numbers must be one. Numbers, booleans and strings are told
+    apart. Null and broken reviews give null.
     """
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for raws, parts, contexts in batches:
-            yield pd.Series([_review(r, p if p is not None else [], c) for r, p, c in zip(raws, parts, contexts)], dtype=object)
-
-    return run(raw, evidence_paragraphs(context), context)
+    review = F.try_parse_json(raw)
+    packed = F.regexp_replace(F.coalesce(context, F.lit("")), WS, "")
+    last = F.coalesce(F.size(evidence_paragraphs(context)), F.lit(0))
+    text = lambda value, path: ustrip(_typed(value, path, "string", ("STRING",)))
+
+    def sound(check: Column) -> Column:
+        stands = _typed(check, "$.supported", "boolean", ("BOOLEAN",))
+        cited = _typed(check, "$.evidence_ids", "array<bigint>", ("ARRAY<BIGINT>", "ARRAY<VOID>"))
+        quote = F.regexp_replace(_typed(check, "$.evidence", "string", ("STRING",)), WS, "")
+        by_number = F.forall(cited, lambda k: k.between(1, last)) & (F.size(cited) >= stands.cast("int"))
+        by_words = ~stands | (quote != "") & F.contains(packed, quote)
+        listed = F.try_variant_get(check, "$.evidence_ids", "variant").isNotNull()
+        proof = F.when(listed, by_number).otherwise(quote.isNotNull() & by_words)
+        return F.coalesce((text(check, "$.claim") != "") & stands.isNotNull() & proof, F.lit(False))
+
+    checks, answer = F.try_variant_get(review, "$.checks", "array<variant>"), text(review, "$.final_answer")
+    return F.when((answer != "") & (F.size(checks) > 0) & F.forall(checks, sound), answer)

@@ -64,12 +64,6 @@ def clean_documents(df: DataFrame, text_col: str = "content") -> DataFrame:
     return lines.select(*columns)
 
 
-def clean_markdown_lines(text: Column) -> Column:
-    """Markdown keeps its lines: characters are cleaned, line ends stripped, blank runs cut to one."""
-    lines = F.transform(F.split(clean_characters(text), "\n"), lambda x: F.regexp_replace(x, rf"{WS}+\z", ""))
-    return ustrip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
-
-
 def title(text: Column) -> Column:
     """Of the first ten lines, the first that is a heading or a short line that begins with a capital."""
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 10), ustrip)
@@ -114,38 +108,50 @@ BODIES = ("协会", "基金会", "研究所", "中心", "网络", "组织", "机
 NAMES = ("CDC", "AAP", "AAFP", "ECDC", "NIH", "WHO", "FDA", "美国国家", "美国")
 
 
+#: How an author's block, a notice of rights and a reference to another page are written.
+AUTHOR = rf"(?s){WS}*作者[：:].*?浏览专业版{WS}*"
+RIGHTS = (rf"Co\.,?{WS}*Inc\.?,?{WS}*Rahway,?{WS}*NJ,?{WS}*USA[^。]*?保留所有权利。?", "(?:保留所有权利|版权所有)。?")
+ELSEWHERE = ("（请参阅[^）]*?。）", r"\(请参阅[^)]*?\)")
+#: A last sentence lists organisations if it has so many colons and characters, so many of
+#: their words and characters, or one of them with a colon near its start; a footer is so near the end.
+COLONS, COLON_CHARS, WORDS, WORD_CHARS, NEAR_START, NEAR_END = 2, 20, 2, 60, 60, 150
+
+
 def clean_answer(text: Column) -> Column:
     """An answer without author blocks, notices, interface words, section rows, lists of organisations and cross references."""
-    t = F.regexp_replace(text, rf"(?s){WS}*作者[：:].*?浏览专业版{WS}*", " ")
-    t = F.regexp_replace(t, rf"Co\.,?{WS}*Inc\.?,?{WS}*Rahway,?{WS}*NJ,?{WS}*USA[^。]*?保留所有权利。?", "")
-    t = F.regexp_replace(t, "(?:保留所有权利|版权所有)。?", "")
-    for word in INTERFACE:
-        t = F.regexp_replace(t, f"{WS}*{word}{WS}*", " ")
+    gone = [(AUTHOR, " "), *((p, "") for p in RIGHTS), *((f"{WS}*{word}{WS}*", " ") for word in INTERFACE)]
+    t = _each(text, gone)
     section = "(?:" + "|".join(sorted(SECTIONS, key=len, reverse=True)) + ")"
     t = F.regexp_replace(F.concat(F.lit(" "), t), f"(?<=[。]|{WS}){section}(?:{WS}+{section})+{WS}*", " ")
     t = _let(ustrip(t), _without_tail)
     t = _let(t, _without_footer)
-    t = F.regexp_replace(F.regexp_replace(t, "（请参阅[^）]*?。）", ""), r"\(请参阅[^)]*?\)", "")
+    t = _each(t, [(p, "") for p in ELSEWHERE])
     return F.when(text.isNull() | (text == ""), text).otherwise(ustrip(F.regexp_replace(t, f"{WS}+", " ")))
 
 
+def _each(text: Column, changes: list[tuple[str, str]]) -> Column:
+    for pattern, instead in changes:
+        text = F.regexp_replace(text, pattern, instead)
+    return text
+
+
 def _without_tail(t: Column) -> Column:
     """What follows the last full stop goes if it lists organisations."""
     body, tail = F.regexp_extract(t, r"(?s)\A(.*。)", 1), ustrip(F.regexp_extract(t, r"(?s)。([^。]*)\z", 1))
     bodies = F.lit(0)
     for word in BODIES:
         bodies = bodies + F.contains(tail, F.lit(word)).cast("int")
-    named = F.substring(tail, 1, 60).rlike(f"(?:{'|'.join(BODIES)}){WS}*[：:]")
-    listed = ((F.regexp_count(tail, F.lit("[：:]")) >= 2) & (F.length(tail) > 20)) | ((bodies >= 2) & (F.length(tail) > 60)) | named
+    named = F.substring(tail, 1, NEAR_START).rlike(f"(?:{'|'.join(BODIES)}){WS}*[：:]")
+    listed = ((F.regexp_count(tail, F.lit("[：:]")) >= COLONS) & (F.length(tail) > COLON_CHARS)) | ((bodies >= WORDS) & (F.length(tail) > WORD_CHARS)) | named
     return F.when((body != "") & (tail != "") & listed, body).otherwise(t)
 
 
 def _without_footer(t: Column) -> Column:
-    """An organisation and colon within the last 150 characters: cut at the full stop before the last one."""
+    """An organisation and colon near the end: cut at the full stop before the last one."""
     terms = "|".join(sorted((*BODIES, *NAMES), key=len, reverse=True))
     # the last place where a term and a colon begin; a shorter term may begin later than a longer one
     head = F.regexp_extract(t, rf"(?s)\A(.*)(?:{terms}){WS}*[：:]", 1)
-    found = t.rlike(f"(?:{terms}){WS}*[：:]") & (F.length(head) > F.length(t) - 150)
+    found = t.rlike(f"(?:{terms}){WS}*[：:]") & (F.length(head) > F.length(t) - NEAR_END)
     body = F.regexp_extract(head, r"(?s)\A(.*。)", 1)
     return F.when(~found, t).when(body != "", body).otherwise(F.regexp_replace(head, r"[ 。，]+\z", ""))
 

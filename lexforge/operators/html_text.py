@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -100,20 +101,7 @@ def article(html: str, title: str | None = None) -> Node | None:
         node.kids = [k for k in node.kids if not (isinstance(k, str) and k.strip() in LABELS)]
         if node.tag == "h1":
             node.tag = "h2"
-    return _unwrapped(found)
-
-
-def _unwrapped(node: Node) -> Node:
-    """Layout elements give way to what they hold."""
-    kids: list[Node | str] = []
-    for k in node.kids:
-        if isinstance(k, str):
-            kids.append(k)
-        else:
-            inner = _unwrapped(k)
-            kids += inner.kids if k.tag in LAYOUT else [inner]
-    node.kids = kids
-    return node
+    return found
 
 
 def article_lines(html: str) -> str:
@@ -134,153 +122,336 @@ def chaptered(html: str, chapters: tuple[str, ...] = (), junk: frozenset[str] =
 
 # ---------------------------------------------------------------- Markdown
 
-INLINE = frozenset("a abbr b code del em i s small span strong u center".split())
-
-
-def render(node: Node | str, depth: int = 0, ordered: bool = False) -> str:
-    """Markdown of a node: headings, lists, tables and labels; no link targets or attributes."""
-    if isinstance(node, str):
-        return node
-    tag = node.tag
-    if tag in ("script", "style"):
-        return ""
-    if tag == "br":
-        return "\n"
-    if tag == "img":
-        return node.attrs.get("alt", "")
-    if tag == "table":
-        return table(node)
-    if tag in ("ul", "ol"):
-        inner = "".join(render(k, depth + 1, tag == "ol") for k in node.kids)
-        return "\n" + inner.strip("\n") + "\n"
-    inner = "".join(render(k, depth, ordered) for k in node.kids)
-    if tag == "li":
-        return "\n" + "  " * max(0, depth - 1) + ("1. " if ordered else "- ") + inner.strip() + "\n"
-    if tag == "sup":
-        return "^" + inner
-    if tag == "sub":
-        return "_" + inner
-    if re.fullmatch("h[1-6]", tag):
-        return f"\n\n{'#' * int(tag[1])} {inner.strip()}\n\n"
-    return inner if tag in INLINE or not tag else f"\n\n{inner.strip()}\n\n"
-
-
-def _own(node: Node, tags: tuple[str, ...]) -> list[Node]:
-    """Descendants of those tags that no inner table holds."""
-    out: list[Node] = []
-    for k in node.kids:
-        if isinstance(k, Node) and k.tag != "table":
-            out += [k] if k.tag in tags else _own(k, tags)
-    return out
-
-
-def _span(cell: Node, name: str) -> int:
-    value = cell.attrs.get(name, "1").strip()
-    return max(1, int(value)) if value.isdigit() else 1
-
-
-def table(node: Node) -> str:
+#: Elements that are markup in a Markdown text; any other tag is text.
+TAGS = frozenset(
+    "a abbr b blockquote br caption center code col colgroup dd del div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img li ol p pre s "
+    "script section small span strong style sub sup table tbody td tfoot th thead tr u ul".split()
+)
+#: Fixed value: the heading of a column without one, and its number.
+COLUMN = "列"
+BLOCKS = ("p", "div", "section", "blockquote", "dl", "figure", "figcaption")
+
+
+class _Open:
+    """An element whose end has not come: what it holds so far, and the rows of a table."""
+
+    __slots__ = ("tag", "attrs", "out", "rows", "lead")
+
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.out = tag, attrs, []
+        self.rows: list[list[tuple[str, _Open]]] = []
+        self.lead: str | None = None
+
+
+class Writer(HTMLParser):
+    """Markdown from a parser's events. ``literal`` gets the text of tags that are no markup and gives what stands for it; without it they vanish."""
+
+    def __init__(self, literal: Callable[[str], str] | None = None):
+        super().__init__(convert_charrefs=True)
+        self.literal, self.open = literal, [_Open("", {})]
+
+    def nearest(self, *tags: str) -> _Open | None:
+        return next((x for x in reversed(self.open) if x.tag in tags), None)
+
+    def put(self, text: str) -> None:
+        self.open[-1].out.append(text)
+
+    def handle_data(self, data):
+        if self.open[-1].tag not in ("script", "style"):
+            self.put(data)
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in TAGS:
+            if self.literal:
+                self.put(self.literal(self.get_starttag_text()))
+        elif tag in VOID:
+            values = {k: v or "" for k, v in attrs}
+            self.put({"br": "\n", "hr": "\n\n"}.get(tag, values.get("alt", "") if tag == "img" else ""))
+        else:
+            self.open.append(_Open(tag, {k: v or "" for k, v in attrs}))
+            if tag == "tr" and (home := self.nearest("table")):
+                home.rows.append([])
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag in TAGS and tag not in VOID:
+            self.handle_endtag(tag)
+
+    def parse_endtag(self, i):
+        self.ended = i
+        return super().parse_endtag(i)
+
+    def handle_endtag(self, tag):
+        if tag not in TAGS:
+            if self.literal:
+                self.put(self.literal(self.rawdata[self.ended : self.rawdata.find(">", self.ended) + 1]))
+        elif any(x.tag == tag for x in self.open):
+            while self.shut() != tag:
+                pass
+
+    def shut(self) -> str:
+        last = self.open.pop()
+        self.put(SHUT.get(last.tag, _plain)(self, last, "".join(last.out)))
+        return last.tag
+
+    def written(self) -> str:
+        while len(self.open) > 1:
+            self.shut()
+        return "".join(self.open[0].out)
+
+
+def _plain(writer: Writer, own: _Open, inner: str) -> str:
+    return inner
+
+
+def _nothing(writer: Writer, own: _Open, inner: str) -> str:
+    return ""
+
+
+def _block(writer: Writer, own: _Open, inner: str) -> str:
+    return f"\n\n{inner.strip()}\n\n"
+
+
+def _heading(writer: Writer, own: _Open, inner: str) -> str:
+    return f"\n\n{'#' * int(own.tag[1])} {inner.strip()}\n\n"
+
+
+def _list(writer: Writer, own: _Open, inner: str) -> str:
+    return "\n" + inner.strip("\n") + "\n"
+
+
+def _item(writer: Writer, own: _Open, inner: str) -> str:
+    lists = [x.tag for x in writer.open if x.tag in ("ul", "ol")]
+    return "\n" + "  " * (len(lists) - 1) + ("1. " if lists[-1:] == ["ol"] else "- ") + inner.strip() + "\n"
+
+
+def _cell(writer: Writer, own: _Open, inner: str) -> str:
+    home = writer.nearest("table", "tr")
+    if home is None or home.tag != "tr" or writer.open[-1] is not home:
+        return inner
+    if (table := writer.nearest("table")) is not None:
+        table.rows[-1].append((" ".join(inner.split()).replace("|", r"\|"), own))
+    return inner
+
+
+def _caption(writer: Writer, own: _Open, inner: str) -> str:
+    if writer.open[-1].tag == "table" and writer.open[-1].lead is None:
+        writer.open[-1].lead = inner.strip()
+    return inner
+
+
+def _times(cell: _Open, name: str) -> int:
+    value = cell.attrs.get(name, "").strip()
+    return max(1, int(value)) if value.isdecimal() else 1
+
+
+def _table(writer: Writer, own: _Open, inner: str) -> str:
     """A pipe table; a cell that spans rows or columns is repeated in each of them."""
     grid: dict[tuple[int, int], str] = {}
-    rows = _own(node, ("tr",))
-    used = 0
-    for y, row in enumerate(rows):
+    for y, row in enumerate(own.rows):
         x = 0
-        for cell in _own(row, ("td", "th")):
+        for text, cell in row:
             while (y, x) in grid:
                 x += 1
-            text = re.sub(r"\s+", " ", "".join(render(k) for k in cell.kids)).strip().replace("|", r"\|")
-            for dy in range(min(_span(cell, "rowspan"), len(rows) - y)):
-                for dx in range(_span(cell, "colspan")):
-                    grid.setdefault((y + dy, x + dx), text)
-            x += _span(cell, "colspan")
-        used = max(used, x)
-    captions = _own(node, ("caption",))
-    lead = "".join(render(k) for k in captions[0].kids).strip() + "\n\n" if captions else ""
+            wide = _times(cell, "colspan")
+            for down in range(min(_times(cell, "rowspan"), len(own.rows) - y)):
+                grid.update({(y + down, x + k): text for k in range(wide) if down == 0 or (y + down, x + k) not in grid})
+            x += wide
+    lead = own.lead + "\n\n" if own.lead is not None else ""
     if not grid:
-        return f"\n\n{lead}{node.text()}\n\n"
-    width = max(x for _, x in grid) + 1
-    lines = [[grid.get((y, x), "") for x in range(width)] for y in sorted({y for y, _ in grid})]
-    if not _own(rows[0], ("th",)):
-        lines.insert(0, [f"列{i + 1}" for i in range(width)])
-    lines.insert(1, ["---"] * width)
-    return "\n\n" + lead + "\n".join(f"| {' | '.join(line)} |" for line in lines) + "\n\n"
+        return f"\n\n{' '.join(inner.split())}\n\n"
+    columns = range(1 + max(x for _, x in grid))
+    lines = [[grid.get((y, x), "") for x in columns] for y in sorted({y for y, _ in grid})]
+    if all(cell.tag != "th" for _, cell in own.rows[0]):
+        lines.insert(0, [f"{COLUMN}{x + 1}" for x in columns])
+    lines.insert(1, ["---" for _ in columns])
+    return "\n\n" + lead + "\n".join("| " + " | ".join(line) + " |" for line in lines) + "\n\n"
+
+
+#: What an element's end makes of what it holds; elements that are not here give it as it is.
+SHUT: dict[str, Callable[[Writer, _Open, str], str]] = {
+    **dict.fromkeys(BLOCKS, _block), **{f"h{k}": _heading for k in range(1, 7)}, **dict.fromkeys(("ul", "ol"), _list), **dict.fromkeys(("td", "th"), _cell),
+    **dict.fromkeys(("script", "style"), _nothing), "li": _item, "table": _table, "caption": _caption, "sup": lambda w, o, x: "^" + x, "sub": lambda w, o, x: "_" + x,
+}
+
+
+def render(root: Node) -> str:
+    """Markdown of a tree; layout elements give way to what they hold."""
+    writer = Writer()
+    todo: list[Node | str | tuple[str]] = [root]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            writer.handle_data(item)
+        elif isinstance(item, tuple):
+            writer.handle_endtag(item[0])
+        else:
+            use = item.tag in TAGS and item.tag not in LAYOUT
+            if use:
+                writer.handle_starttag(item.tag, list(item.attrs.items()))
+            todo += [(item.tag,)] * (use and item.tag not in VOID) + item.kids[::-1]
+    return writer.written()
 
 
 def article_markdown(html: str, title: str | None = None) -> str:
     found = article(html, title)
-    return "" if found is None else re.sub(r"\n{3,}", "\n\n", render(found)).strip()
-
-
-CODE = re.compile(r"(?m)^ {0,3}(?P<fence>`{3,}|~{3,})[^\n]*\n(?s:.*?)^ {0,3}(?P=fence)[^\n]*$|(?<!`)(?P<tick>`+)(?!`)(?s:.+?)(?<!`)(?P=tick)(?!`)")
-TAGS = frozenset((*VOID, *INLINE, *LAYOUT, *"blockquote br caption col colgroup dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr img li ol p pre sub sup table tbody td th thead tfoot tr ul script style".split())) - {"main", "article", "button", "input", "link", "meta", "source", "track", "wbr", "area", "base", "embed"}
-MARK = re.compile(r"</?([A-Za-z][\w:-]*)\b[^>]*>|<[A-Za-z][^>\s]*>")
-DEFINITION = re.compile(r"(?m)^ {0,3}\[([^\]\n]+)\]:[ \t]*\S+[^\n]*\n?")
-
-
-def _labels(text: str, known: set[str]) -> str:
-    """Links and images become their labels: [label](target), [label][name], [name] of a known name."""
-
-    def scan(value: str) -> str:
-        out, i = [], 0
-        while i < len(value):
-            image = value.startswith("![", i)
-            if value[i] == "[" or image:
-                begin = i + 1 + image
-                end = _closing(value, begin, "[", "]")
-                if end > 0:
-                    label, after = value[begin:end], _target(value, end + 1, value[begin:end], known)
-                    if after > 0:
-                        out.append(scan(label))
-                        i = after
-                        continue
-            out.append(value[i])
-            i += 1
+    return "" if found is None else _few_blank_lines(render(found)).strip()
+
+
+def _few_blank_lines(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", text)
+
+
+class Held:
+    """Parts of a text that stand aside while the rest is changed; two private characters stand for each."""
+
+    FIRST, SIZE = 0x100000, 60_000
+
+    def __init__(self, text: str):
+        if any(ord(c) >= self.FIRST for c in text):
+            raise ValueError("the text has characters that mark held parts")
+        self.parts: list[str] = []
+
+    def hold(self, part: str) -> str:
+        self.parts.append(part)
+        high, low = divmod(len(self.parts) - 1, self.SIZE)
+        return chr(self.FIRST + high) + chr(self.FIRST + low)
+
+    def restore(self, text: str) -> str:
+        out, it = [], iter(text)
+        for c in it:
+            out.append(c if ord(c) < self.FIRST else self.parts[(ord(c) - self.FIRST) * self.SIZE + ord(next(it)) - self.FIRST])
         return "".join(out)
 
-    return scan(text)
 
+def _fence(line: str) -> str:
+    """The run of marks that a line begins with, if it can open or close a block of code."""
+    body = line.lstrip(" ")
+    run = len(body) - len(body.lstrip(body[:1])) if body[:1] in ("`", "~") else 0
+    return body[:run] if run >= 3 and len(line) - len(body) <= 3 else ""
 
-def _closing(value: str, at: int, opener: str, closer: str) -> int:
-    depth = 1
-    for i in range(at, len(value)):
-        if value.startswith("\n\n", i):
-            return -1
-        depth += (value[i] == opener) - (value[i] == closer)
-        if depth == 0:
-            return i
+
+def hold_code(text: str, held: Held) -> str:
+    """Blocks of code between fences, then code in backticks, each held as it is; what never closes is text."""
+    lines, out, k = text.split("\n"), [], 0
+    while k < len(lines):
+        mark = _fence(lines[k])
+        end = next((j for j in range(k + 1, len(lines)) if _fence(lines[j]).startswith(mark)), None) if mark else None
+        if end is None:
+            out.append(lines[k])
+        else:
+            out.append(held.hold("\n".join(lines[k : end + 1])))
+            k = end
+        k += 1
+    value = "\n".join(out)
+    runs = [(m.start(), m.end()) for m in re.finditer("`+", value)]
+    later: dict[int, list[int]] = {}
+    for k, (a, b) in enumerate(runs):
+        later.setdefault(b - a, []).append(k)
+    parts, at, k = [], 0, 0
+    while k < len(runs):
+        a, b = runs[k]
+        same = later[b - a]
+        place = bisect.bisect_right(same, k)
+        if place < len(same):
+            k = same[place]
+            parts += [value[at:a], held.hold(value[a : runs[k][1]])]
+            at = runs[k][1]
+        k += 1
+    return "".join(parts) + value[at:]
+
+
+def _take_definitions(text: str) -> tuple[str, set[str]]:
+    """The text without definitions of link targets, and the names that they define, in lower case."""
+    names, out, lines = set(), [], text.split("\n")
+    k = 0
+    while k < len(lines):
+        body = lines[k].lstrip(" ")
+        name, colon, target = body[1:].partition("]:")
+        if len(lines[k]) - len(body) <= 3 and body[:1] == "[" and colon and name.strip() and "]" not in name and target.strip():
+            names.add(name.strip().lower())
+            title = lines[k + 1] if k + 1 < len(lines) else ""
+            inner = title.strip(" ")
+            k += 1 <= len(title) - len(title.lstrip(" ")) <= 3 and len(inner) > 1 and inner[0] in "\"'(" and inner[-1] in "\"')"
+        else:
+            out.append(lines[k])
+        k += 1
+    return "\n".join(out), names
+
+
+def _past(text: str, at: int) -> int:
+    """Where the bracket that opens at ``at`` has closed, on the same paragraph; -1 if it never does."""
+    shut, depth = {"(": ")", "[": "]"}[text[at]], 0
+    for k in range(at, len(text)):
+        if text[k] == "\n" and text[k + 1 : k + 2] == "\n":
+            break
+        depth += (text[k] == text[at]) - (text[k] == shut)
+        if not depth:
+            return k + 1
     return -1
 
 
-def _target(value: str, at: int, label: str, known: set[str]) -> int:
-    """Where a link's target ends; 0 if there is none."""
-    if value.startswith("(", at):
-        end = _closing(value, at + 1, "(", ")")
-        return end + 1 if end > 0 else 0
-    named = re.compile(r" ?\[([^\]\n]*)\]").match(value, at)
-    if named and (named[1] or label).strip().lower() in known:
-        return named.end()
-    return at if label.strip().lower() in known else 0
+def _labels(text: str, names: set[str]) -> str:
+    """Links and images become their labels: [label](target), [label][name], [name] of a defined name.
+
+    One pass with a stack of open brackets, so inner labels are done when an outer one closes.
+    """
+    out: list[str] = []
+    stack: list[int] = []  # places of open brackets in out
+    k = 0
+    while k < len(text):
+        c = text[k]
+        if c == "\\" and k + 1 < len(text):
+            out.append(text[k : k + 2])
+            k += 2
+            continue
+        if c == "\n" and text[k + 1 : k + 2] == "\n":
+            stack.clear()
+        if c == "[":
+            stack.append(len(out))
+        elif c == "]" and stack:
+            begin = stack.pop()
+            label = "".join(out[begin + 1 :])
+            after = k + 1
+            spaced = after + (text[after : after + 2] == " [")
+            if text[after : after + 1] == "(":
+                after = _past(text, after)
+            elif text[spaced : spaced + 1] == "[" and (end := _past(text, spaced)) > 0 and (text[spaced + 1 : end - 1].strip() or label.strip()).lower() in names:
+                after = end
+            elif label.strip().lower() not in names:
+                after = -1
+            if after > 0:
+                image = begin > 0 and out[begin - 1] == "!"
+                out[begin - image :] = [label]
+                k = after
+                continue
+        out.append(c)
+        k += 1
+    return "".join(out)
 
 
 def normalize_markdown(text: str) -> str:
     """Markdown without HTML and link targets; code stays byte for byte, unknown tags stay as text."""
-    held: list[str] = []
+    held = Held(text)
+    writer = Writer(held.hold)
+    writer.feed(hold_code(text, held))
+    writer.close()
+    value, names = _take_definitions(writer.written())
+    if "[" in value:
+        value = _labels(value, names)
+    return held.restore(_few_blank_lines(value)).strip()
+
 
-    def hold(m: re.Match) -> str:
-        held.append(m[0])
-        return f"\ufdd0{len(held) - 1}\ufdd1"
+#: Control characters, byte order marks, zero-width characters and soft hyphens, which carry no text.
+UNSEEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufeff\u200b-\u200d\xad]")
 
-    if "\ufdd0" in text or "\ufdd1" in text:
-        raise ValueError("the text has characters that mark held parts")
-    value = CODE.sub(hold, text)
-    value = MARK.sub(lambda m: m[0] if m[1] and m[1].lower() in TAGS else hold(m), value)
-    value = re.sub(r"<(?![A-Za-z/!])", "&lt;", value)
-    value = "".join(render(k) for k in tree(value).kids)
-    known = {m[1].strip().lower() for m in DEFINITION.finditer(value)}
-    value = _labels(DEFINITION.sub("", value), known)
-    value = re.sub(r"\n{3,}", "\n\n", value)
-    return re.sub("\ufdd0([0-9]+)\ufdd1", lambda m: held[int(m[1])], value).strip()
+
+def tidy_markdown(text: str) -> str:
+    """One kind of line end, no unseen characters, line ends stripped, blank runs cut to one; code stays as it is."""
+    held = Held(text)
+    prose = UNSEEN.sub("", hold_code(text, held).replace("\r\n", "\n").replace("\r", "\n"))
+    lines = "\n".join(line.rstrip() for line in prose.split("\n"))
+    return held.restore(_few_blank_lines(lines).strip())
 
 
 # -------------------------------------------------------------------- UDFs
@@ -298,6 +469,11 @@ def html_lines(html: Column) -> Column:
     return _texts(article_lines)(html)
 
 
+def html_chapters(html: Column, chapters: tuple[str, ...] = (), junk: frozenset[str] = frozenset()) -> Column:
+    """The older extraction as a column; a null or empty page gives an empty text."""
+    return _texts(lambda t: chaptered(t, chapters, junk))(html)
+
+
 def html_markdown(html: Column, title: Column) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -310,3 +486,8 @@ def html_markdown(html: Column, title: Column) -> Column:
 def markdown_text(text: Column) -> Column:
     """A failure fails the job: raw markup must not be taken for clean text."""
     return _texts(normalize_markdown)(text)
+
+
+def clean_markdown(text: Column) -> Column:
+    """Normalised and tidied; null and empty texts are empty, and a failure fails the job."""
+    return _texts(lambda t: tidy_markdown(normalize_markdown(t)))(text)

@@ -14,35 +14,39 @@ from ..functions.text import WS, ustrip
 
 
 def _titles(node) -> Iterator[tuple[str, str]]:
+    """(id, title) of all nodes that have both, in the order in which they are written."""
     stack = [node]
     while stack:
         x = stack.pop()
         if isinstance(x, dict):
             if "TopicId" in x and "Title" in x:
                 yield str(x["TopicId"]).strip("{}").lower(), str(x["Title"]).strip()
-            stack += x.values()
+            stack += reversed(x.values())
         elif isinstance(x, list):
-            stack += x
+            stack += reversed(x)
 
 
-def titles(chapters: DataFrame, json_col: str = "value") -> DataFrame:
+def titles(chapters: DataFrame, json_col: str = "value", order_col: str | None = None) -> DataFrame:
     """(topic_id, title) of all nodes, however deep, of chapters' JSON; unreadable chapters give none.
 
-    Nesting without a fixed depth has no schema to read it by, hence Python. An id has one title: the last by order.
+    Nesting without a fixed depth has no schema to read it by, hence Python. An id has one
+    title: the last in order of ``order_col`` (by default the chapter's text) and within a chapter.
     """
+    order = F.col(order_col or json_col)
+    kind = chapters.select(order).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[str, str]] = []
-            for text in batch[json_col]:
+            out: list[tuple] = []
+            for place, text in zip(batch["order"], batch["text"]):
                 try:
-                    out += _titles(json.loads((text or "").lstrip("﻿")))
+                    out += [(place, k, *pair) for k, pair in enumerate(_titles(json.loads((text or "").lstrip("\ufeff"))))]
                 except ValueError:
                     continue
-            yield pd.DataFrame(out, columns=["topic_id", "title"])
+            yield pd.DataFrame(out, columns=["order", "k", "topic_id", "title"])
 
-    rows = chapters.select(json_col).mapInPandas(run, "topic_id string, title string")
-    return rows.groupBy("topic_id").agg(F.max("title").alias("title"))
+    rows = chapters.select(order.alias("order"), F.col(json_col).alias("text")).mapInPandas(run, f"order {kind}, k long, topic_id string, title string")
+    return rows.groupBy("topic_id").agg(F.max_by("title", F.struct("order", "k")).alias("title"))
 
 
 def topic_id(path: Column) -> Column:
