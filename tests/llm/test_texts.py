@@ -98,6 +98,35 @@ def test_secrets_in_the_shape_of_words(spark):
     assert {r.text for r in out} == {"a [SECRET] b"}
 
 
+def test_secrets_in_paths_values_and_short_runs(spark):
+    key, short = "aB3dE9xQ7mZ2kL5pR8tV", "x9Kq2Lm7Vb4Zt1Wp6"
+    texts = {
+        f"https://hooks.example.com/services/plain/words/T0{key}/deliver/now": key,
+        f"run {short} now": short,
+        f"https://a.example/download/{hashlib.sha1(b'x').hexdigest().upper()}/file": None,
+        "password: Xk9#mQ2$vL7!pR4z.": "Xk9#mQ2$vL7!pR4z",
+        "password = (see-the-manual-of-the-house)": None,
+        f"?session={key}==&next=home": key + "==",
+        "v1/api2/x3/y4/z5/w6/q7/r8/t9": None,
+        "path/to/123e4567-e89b-12d3-a456-426614174000/of/things": None,
+    }
+    for r, (text, want) in zip(secret_scan.scan(docs(spark, list(texts))).orderBy("doc_id").collect(), texts.items()):
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("random")]
+        got = [text[int(a) : int(b)] for _, a, b in spans]
+        assert len(got) == (want is not None) and (want is None or want in got[0] and len(got[0]) <= len(want) + 2), (text, got)
+
+
+def test_share_of_random_strings_found():
+    random.seed(11)
+    rule = secret_scan.Efficiency()
+    encoder = secret_scan._encoder(rule)
+    alphabets = {"abcdefghijklmnopqrstuvwxyz": (24, 0.98), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": (20, 0.99), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": (16, 0.99), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/": (40, 0.99)}
+    for letters, (n, share) in alphabets.items():
+        keys = ["".join(random.choices(letters, k=n)) for _ in range(500)]
+        got = [[x for x in secret_scan.find(f"see {k} there", rule, encoder) if x[1] == 3] for k in keys]
+        assert sum(len(g) == 1 and g[0][2] - g[0][0] >= 0.8 * n for g in got) >= share * 500, (letters, n)
+
+
 # ------------------------------------------------------------ quality rules
 
 def figures(text):
