@@ -34,11 +34,14 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is as long as it can be, so this is [0-9a-f]+ of 16 or more
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]+")
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]"
 #: A run's segments: what lies between slashes or before an assignment; marks that pad a key stay with it.
 SEGMENT = re.compile(r"[^/=]+=*")
 #: What is assigned to a name of the first pattern, with any marks but quotes.
-VALUE = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([\x21\x23-\x26\x28-\x7E]+)""", re.ASCII | re.IGNORECASE)
+NAMED = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+VALUE = re.compile(NAMED + r"""\x20*["']?([\x21\x23-\x26\x28-\x7E]+)""", re.ASCII | re.IGNORECASE)
+#: What all matches of the first pattern and of VALUE begin with.
+NAMED = re.compile(NAMED, re.ASCII | re.IGNORECASE)
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -103,8 +106,6 @@ def stretch(run: str, rule: Efficiency, encoder) -> tuple[int, int] | None:
     Known strings split a run; the stretch begins and ends with a random segment, and one of
     its random segments is long, so short names with digits don't add up to a key.
     """
-    if len(run) < rule.least:
-        return None
     best, now = (0.0, 0, 0, False, True), None
     for m in SEGMENT.finditer(run):
         if known(m[0]):
@@ -122,15 +123,16 @@ def stretch(run: str, rule: Efficiency, encoder) -> tuple[int, int] | None:
 
 def find(text: str, rule: Efficiency, encoder) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind's place in KINDS, end), sorted."""
-    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    named = NAMED.search(text)
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if named else []
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(spans)
-    found = {(m.start() + at[0], m.start() + at[1]) for m in RUN.finditer(text) if (at := stretch(m[0], rule, encoder))}
-    for m in VALUE.finditer(text):
+    found = {(m.start() + at[0], m.start() + at[1]) for m in re.finditer(f"{RUN}{{{rule.least},}}", text) if (at := stretch(m[0], rule, encoder))}
+    for m in VALUE.finditer(text) if named else ():
         value = m[1].rstrip(".,;:!?)]}>")
-        if len(value) >= rule.least_value and not RUN.fullmatch(value) and excess(value, rule, encoder)[0] > 0:
+        if len(value) >= rule.least_value and not re.fullmatch(f"{RUN}+", value) and excess(value, rule, encoder)[0] > 0:
             found = {x for x in found if x[1] <= m.start(1) or x[0] >= m.start(1) + len(value)} | {(m.start(1), m.start(1) + len(value))}
     spans += [(x, 3, y) for x, y in found if not any(a <= x and y <= b for a, _, b in base)]
     return sorted(spans)
