@@ -6,7 +6,10 @@ slice (or by one text, if it alone is longer), never by a partition.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,20 +22,32 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 HASH_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
+#: With this setting a query's shuffle files are removed when it ends, not when the driver collects garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@functools.cache
+def _own_folder() -> str:
+    """A temporary folder of this process, for sessions on one machine alone; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="lexforge-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 class Workspace:
     """A folder below ``spark.checkpoint.dir`` for tables that cut lineage.
 
-    The folder is the cluster's shared one; only a session that names none (tests)
-    gets a temporary folder. Written tables survive the loss of executors.
+    The folder is the cluster's shared one. A session on one machine that names none
+    (tests) gets a temporary folder, and its settings stay as they are; on a cluster that is
+    an error. Written tables survive the loss of executors.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="lexforge-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            base = _own_folder()
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         folder, fs = self._hadoop(self.root)
@@ -56,9 +71,14 @@ class Workspace:
         return path
 
     def stow(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: lineage ends here."""
+        """Write ``df`` as Parquet and read it back: lineage ends here, and its shuffles go with the write."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(SHUFFLES_GO, None)
+        conf.set(SHUFFLES_GO, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(SHUFFLES_GO) if before is None else conf.set(SHUFFLES_GO, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
@@ -79,6 +99,14 @@ def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
         spark.conf.set(name, str(size))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(id_col: str, n: int):
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -4,7 +4,7 @@
    each class goes on as one representative.
 2. A signature has ``coordinates`` least values. Each (coordinate, value) is a posting list.
    A pair at the threshold agrees in ``matches`` coordinates at least, but for a chance of
-   about one in a million, so it shares one of any ``coordinates - matches + 1`` lists:
+   half of ``miss`` (the exact binomial tail), so it shares one of any ``coordinates - matches + 1`` lists:
    representatives are posted under their rarest values only (prefix), and those whose
    values hardly occur elsewhere are skipped.
 3. Every list's members meet the list's most central member first. Pairs that agree often
@@ -22,16 +22,16 @@ into pairs of one component. Tables between steps lie in the shared folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bound_batches, shingle_sets, slices, sorted_groups, text_words
+from .common import Workspace, bound_batches, fresh, shingle_sets, slices, sorted_groups, text_words
 from .graph import components
 
 
@@ -45,9 +45,17 @@ class Near:
     sketch: int = 512
     block: int = 384
 
+    miss: float = 1e-6
+
     def _bar(self, n: int, p: float) -> int:
-        """The count of agreements, of n with chance p each, that is missed about once in a million."""
-        return max(1, int(n * p - 4.75 * (n * p * (1 - p)) ** 0.5))
+        """The greatest count of agreements, of n with chance p each, that is missed with a chance of half of ``miss`` at most."""
+        below, k = 0.0, 0
+        while k < n:
+            below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if below > self.miss / 2:
+                break
+            k += 1
+        return max(1, k)
 
     @property
     def matches(self) -> int:
@@ -219,7 +227,10 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
     Texts that are null or have no word have empty sets and link with nothing. A null id links
     with nothing, has a null component and is kept. Rows that repeat an id (and so its text)
-    are classed each, and kept alike. Ids are integers. Other columns are dropped, so names cannot clash.
+    are classed each, and kept alike. Ids are integers. A pair at the very threshold links; of
+    equal ids none is smaller, so there is no tie to break. An empty table gives an empty one.
+    Other columns are dropped, so names cannot clash. A text is read whole: a worker holds a
+    slice of texts or the longest one, with about 100 bytes a word of it.
     """
     space = Workspace(df.sparkSession, "near-text")
     bound_batches(df.sparkSession)
@@ -256,9 +267,13 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     posted = posted.join(centre.select("token", F.col("c.rep").alias("b")), "token").join(measured.select(F.col("a").alias("rep"), "b", "distance"), ["rep", "b"], "left")
     posted = posted.withColumn("distance", F.when(F.col("rep") == F.col("b"), F.lit(0.0)).otherwise(F.coalesce("distance", F.lit(float("nan"))))).drop("b")
     posted = posted.join(full.select("rep", "sketch"), "rep")
-    more = space.stow(_measured(_across(space.stow(posted, "posted"), rule), full, rule), "more").where("link").select("a", "b")
-    every = reduce(DataFrame.unionByName, [links, more])
-    groups = components(every, space).withColumnRenamed("node", "rep")
+    posted = space.stow(posted, "posted")
+    more = space.stow(_measured(_across(posted, rule), full, rule), "more")
+    for done in (posted, full, found):
+        space.drop(done)
+    groups = components(links.unionByName(more.where("link").select("a", "b")), space).withColumnRenamed("node", "rep")
+    for done in (measured, more):
+        space.drop(done)
 
     named = classes.select("k1", "k2", "n", "rep").join(groups, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "k1", "k2").join(named.withColumnRenamed("n", "n2"), ["k1", "k2"], "left").where("n2 is null or n = n2 or n = 0")
@@ -268,6 +283,11 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def thin(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Near = Near()) -> DataFrame:
-    """The rows of ``df`` whose document stays: one of each group; columns as they were."""
-    gone = classify(df, id_col, text_col, rule).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The rows of ``df`` whose document stays: one of each group, the smallest id; columns as they were, whatever their names.
+
+    Rows with a null id, and rows whose text is null or has no word, stay. Rows that repeat an
+    id stay or go together. An empty table gives an empty one.
+    """
+    gone = classify(df, id_col, text_col, rule).where("not kept").select(F.struct(F.col(id_col).alias("id")).alias(fresh(df, "gone"))).distinct()
+    name = gone.columns[0]
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name)["id"], "left_anti")

@@ -1,5 +1,6 @@
 """Near-duplicates against brute force over all pairs."""
 
+import math
 import random
 
 import numpy as np
@@ -95,6 +96,22 @@ def test_text_edges(spark):
     assert near_text.classify(df.limit(0), "id").count() == 0
 
 
+def test_thin_with_any_names(spark):
+    rows = [(1, "a b c d e f", "x", "y", 3), (2, "A b c d e f", "x", "y", 3), (3, None, "x", "y", 3), (None, "a b c d e f", "x", "y", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, gone string, gone_ int")
+    out = near_text.thin(df)
+    assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
+    assert near_text.thin(df.limit(0)).count() == 0
+
+
+def test_bars_are_exact_tails():
+    for percent in (80, 85):
+        rule = near_text.Near(percent=percent)
+        for n, p, bar in ((rule.coordinates, percent / 100, rule.matches), (rule.sketch, percent / 100 + (1 - percent / 100) / 256, rule.sketch_matches)):
+            tail = lambda k: sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k))  # noqa: B023, E731
+            assert tail(bar) <= rule.miss / 2 < tail(bar + 1)
+
+
 def brute_vectors(rows, cosine=0.98):
     unit = {}
     for i, v, label in rows:
