@@ -7,9 +7,11 @@ token budgets, and each source is realised as permutations of its documents, who
 first, then the part of one that the budget still holds. Documents fall into blocks that
 each have the mixture of the whole.
 
-Only totals per source reach the driver. No source is sorted as one group: a permutation
-is the order of a hash, and the one bucket of it where a budget ends is the only place
-where single documents are compared.
+Sources are rows of a table throughout: a round of the search is one aggregate over it, for
+many exponents at once, with exact decimal sums, so no order of rows changes a budget. What
+reaches the driver are sums. No source is sorted as one group: a permutation is the order of
+a hash, the place where a budget ends is sought by its leading bits, twice, and only the rows
+of that one part in 16 million are compared singly, by hashes and lengths alone.
 """
 
 from __future__ import annotations
@@ -17,17 +19,20 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Workspace
 
-#: Parts of a source's permutation; the top 12 bits of a row's hash name its part.
-BUCKETS = 4096
+#: Bits of a row's place in its source's permutation by which the end of a budget is sought, twice.
+BITS = 12
 #: Most sources whose budgets are broadcast: a few MB.
 BROADCAST_ROWS = 50_000
+#: Exponents that are tried at once, and how often: each round narrows the range so many times.
+TRIED, ROUNDS = 32, 8
+#: Columns that are added.
+ADDED = ("mix_epoch", "mix_block", "mix_order", "mix_tokens")
 
 
 @dataclass(frozen=True)
@@ -55,7 +60,7 @@ def entropy(weights: list[float]) -> float:
 
 
 def plan(tokens: dict, target: Target) -> dict:
-    """Source to (weight, budget) of its tokens; sources without tokens have none.
+    """Source to (weight, budget) of its tokens; sources without tokens have none: the rule for totals at hand.
 
     An exponent of 1 keeps the natural shares; 0 makes all equal. Entropy falls and
     repetition falls as the exponent rises, so both bounds are monotone: the exponent is the
@@ -91,55 +96,110 @@ def plan(tokens: dict, target: Target) -> dict:
     return {s: (w, int(math.floor(w * budget(weights) + 1e-6))) for s, w in zip(names, weights)}
 
 
+def _exponent(totals: DataFrame, target: Target) -> tuple[float, float, float]:
+    """Exponent, sum of the raised shares and whole budget for (s, total), a row a source; ``plan`` states the rule."""
+    most, least, sources = totals.agg(F.max("total"), F.min("total"), F.count(F.lit(1))).first()
+    if not sources:
+        return 1.0, 1.0, 0.0
+    log = F.log(F.col("total") / F.lit(float(most)))
+
+    def exact(x: Column) -> Column:
+        return F.sum((x * 1e15).cast("decimal(20,0)"))
+
+    def measured(exponents: list[float]) -> list[tuple[float, float]]:
+        """Of each exponent the entropy and the most repetitions."""
+        row = totals.agg(*[f(F.exp(log * a)) for a in exponents for f in (exact, lambda x: exact(x * log))]).first()
+        out = []
+        for a, z, e in zip(exponents, row[::2], row[1::2]):
+            z, e = float(z) / 1e15, float(e) / 1e15
+            budget = target.tokens if target.tokens is not None else most * z
+            out.append((math.log(z) - a * e / z, budget * (least / most) ** a / z / least))
+        return out
+
+    def search(holds, grid: list[float]) -> float:
+        """The last of a falling or rising range of exponents that holds, where all before it do."""
+        first, last = grid
+        if holds(measured([last])[0]):
+            return last
+        for _ in range(ROUNDS):
+            tried = [first + (last - first) * k / TRIED for k in range(1, TRIED)]
+            good = [holds(x) for x in measured(tried)]
+            k = good.index(False) if False in good else len(good)
+            first, last = ([first, *tried][k], [*tried, last][k])
+        return first
+
+    wanted = target.entropy * math.log(sources)
+    a = search(lambda x: x[0] >= wanted, [0.0, 1.0])
+    if measured([a])[0][1] > target.repeats:
+        a = search(lambda x: x[1] <= target.repeats, [1.0, 0.0])
+    z = float(totals.agg(exact(F.exp(log * a))).first()[0]) / 1e15
+    return a, z, float(target.tokens if target.tokens is not None else most * z)
+
+
+def _budgets(places: DataFrame, target: Target, space: Workspace) -> DataFrame:
+    """(s, total, budget, whole, last) of (s, chance, n): whole passes, and the last place of the partial one (-1 of none)."""
+    totals = space.stow(places.groupBy("s").agg(F.sum("n").alias("total")), "totals")
+    a, z, whole = _exponent(totals, target)
+    most = totals.agg(F.max("total")).first()[0] or 1
+    share = F.exp(F.log(F.col("total") / F.lit(float(most))) * a) / z
+    budgets = totals.withColumn("budget", F.floor(share * whole + 1e-6).cast("long"))
+    budgets = budgets.withColumn("whole", F.expr("budget div total")).withColumn("left", F.expr("budget % total"))
+
+    def end(rows: DataFrame, shift: int) -> DataFrame:
+        """(s, part, left): the part in which each source's tokens run out, and the tokens left for it."""
+        parts = rows.groupBy("s", "left", F.shiftright("chance", shift).alias("part")).agg(F.sum("n").alias("n"))
+        parts = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("part")))  # a source has 2^BITS parts at most
+        parts = parts.where("upto - n < left and left <= upto")
+        return parts.select(F.col("s").alias("s2"), "part", F.expr("left - upto + n").alias("left2"))
+
+    first, second = 63 - BITS, 63 - 2 * BITS
+    here = places.join(budgets.select(F.col("s").alias("s1"), "left").where("left > 0"), F.col("s").eqNullSafe(F.col("s1"))).drop("s1")
+    for shift in (first, second):
+        ends = space.stow(end(here, shift), "ends")
+        here = places.join(ends, F.col("s").eqNullSafe(F.col("s2")) & (F.shiftright("chance", shift) == F.col("part")))
+        here = here.select("s", "chance", "n", F.col("left2").alias("left"))
+    # rows with equal places (alike in id and text) stand together
+    before = F.sum("n").over(Window.partitionBy("s").orderBy("chance").rangeBetween(Window.unboundedPreceding, -1))
+    last = here.withColumn("before", F.coalesce(before, F.lit(0))).where("before < left").groupBy(F.col("s").alias("s3")).agg(F.max("chance").alias("last"))
+    out = budgets.join(last, F.col("s").eqNullSafe(F.col("s3")), "left")
+    return space.stow(out.select("s", "total", "budget", "whole", F.coalesce("last", F.lit(-1)).alias("last")), "budgets")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: Target = Target()) -> DataFrame:
     """Rows of ``df`` as often as the mixture has them.
 
     Columns: all of ``df``, then ``mix_epoch`` (0 is the first pass), ``mix_block`` and
-    ``mix_order`` (a hash: order within the block), ``mix_tokens``. A null source is a source
-    of its own. Null and empty texts have one token (a document's end), so no row is lost
-    while its source's budget is whole. Rows that are alike in every way tie; the ties are
-    broken by chance. Columns of ``df`` whose names begin with ``mix_`` are replaced. An
-    empty table gives an empty one.
+    ``mix_order`` (a hash: order within the block), ``mix_tokens``; columns of ``df`` with
+    these four names are replaced, any other stays. A null source is a source of its own.
+    Null and empty texts have one token (a document's end), so no row is lost while its
+    source's budget is whole. Null ids are ids like any other. Repeated rows, alike in id and
+    text, tie: where a budget ends among them all come in. An empty table gives an empty one.
     """
-    keep = [c for c in df.columns if not c.startswith("mix_")]
+    keep = [c for c in df.columns if c not in ADDED]
     tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
     key = [F.col(f"`{c}`") for c in (id_col, text_col)]
-    chance = F.xxhash64(F.lit(target.seed), *key)
     rows = df.select(
-        *[F.col(f"`{c}`") for c in keep], tokens.cast("long").alias("mix_tokens"), F.col(source_col).alias("mix_s"),
-        F.shiftrightunsigned(chance, 52).cast("int").alias("mix_bucket"), chance.alias("mix_chance"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("s"),
+        tokens.cast("long").alias("n"), F.shiftrightunsigned(F.xxhash64(F.lit(target.seed), *key), 1).alias("chance"),
     )
     space = Workspace(df.sparkSession, "mix")
-    sizes = space.stow(rows.groupBy("mix_s", "mix_bucket").agg(F.sum("mix_tokens").alias("mix_n")), "sizes")  # BUCKETS rows a source
-    totals = {r[0]: r[1] for r in sizes.groupBy("mix_s").agg(F.sum("mix_n")).collect()}  # a row a source
-    budgets = plan(totals, target)
-    kind = T.StructType([T.StructField("mix_s2", df.schema[source_col].dataType), T.StructField("mix_total", T.LongType()), T.StructField("mix_budget", T.LongType())])
-    table = df.sparkSession.createDataFrame([(s, totals[s], b) for s, (_, b) in budgets.items()], kind)
-    table = table.withColumn("mix_whole", F.expr("mix_budget div mix_total")).withColumn("mix_part", F.expr("mix_budget % mix_total"))
-
-    # the bucket in which the last, partial permutation of a source ends, and the tokens left for it
-    w = Window.partitionBy("mix_s").orderBy("mix_bucket")
-    upto = sizes.withColumn("mix_upto", F.sum("mix_n").over(w)).join(table, F.col("mix_s").eqNullSafe(F.col("mix_s2")))
-    ends = upto.where("mix_upto - mix_n < mix_part and mix_part <= mix_upto")
-    ends = {r[0]: (r[1], r[2]) for r in ends.select("mix_s", "mix_bucket", F.expr("mix_part - mix_upto + mix_n")).collect()}  # a row a source
-    kind = T.StructType([*table.schema.fields, T.StructField("mix_end", T.IntegerType()), T.StructField("mix_left", T.LongType())])
-    known = [(s, totals[s], b, b // totals[s], b % totals[s], *ends.get(s, (-1, 0))) for s, (_, b) in budgets.items()]
-    table = df.sparkSession.createDataFrame(known, kind)
-
-    # one row a source: sent to every task while it is small, joined by shuffle beyond that
-    table = F.broadcast(table) if len(known) <= BROADCAST_ROWS else table
-    joined = rows.join(table, F.col("mix_s").eqNullSafe(F.col("mix_s2")))
-    sure = F.col("mix_whole") + F.when(F.col("mix_bucket") < F.col("mix_end"), 1).otherwise(0)
-    whole = joined.where(sure > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), (sure - 1).cast("int"))))
-    inner = Window.partitionBy("mix_s").orderBy("mix_chance", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    part = joined.where("mix_bucket = mix_end")  # one bucket in BUCKETS
-    part = part.withColumn("mix_before", F.coalesce(F.sum("mix_tokens").over(inner), F.lit(0))).where("mix_before < mix_left").drop("mix_before")
-    both = whole.unionByName(part.withColumn("mix_epoch", F.col("mix_whole").cast("int")))
-
-    order = F.xxhash64(F.lit(target.seed + 1), F.col("mix_epoch"), *key)
+    places = space.stow(rows.select("s", "chance", "n"), "places")
+    budgets = _budgets(places, target, space).withColumnRenamed("s", "s2")
+    # one row a source: sent to every task while they are few, joined by shuffle beyond that
+    budgets = F.broadcast(budgets) if budgets.count() <= BROADCAST_ROWS else budgets
+    joined = rows.join(budgets, F.col("s").eqNullSafe(F.col("s2")))
+    passes = F.col("whole") + (F.col("chance") <= F.col("last")).cast("long")
+    taken = joined.where(passes > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (passes - 1).cast("int"))))
+
+    order = F.xxhash64(F.lit(target.seed + 1), "epoch", "id", "text")
     place = F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))
     # the passes of a source follow each other through the blocks in proportion to its budget
-    start = F.col("mix_epoch") * F.col("mix_total")
-    along = (start + place * F.least(F.col("mix_total"), F.col("mix_budget") - start)) / F.col("mix_budget")
+    start = F.col("epoch") * F.col("total")
+    along = (start + place * F.least(F.col("total"), F.col("budget") - start)) / F.col("budget")
     block = F.least((along * target.blocks).cast("int"), F.lit(target.blocks - 1))
-    return both.select(*[F.col(f"`{c}`") for c in keep], "mix_epoch", block.alias("mix_block"), order.alias("mix_order"), "mix_tokens")
+    return taken.select(*[F.col("row")[c].alias(c) for c in keep], F.col("epoch").alias("mix_epoch"), block.alias("mix_block"), order.alias("mix_order"), F.col("n").alias("mix_tokens"))
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` in the order of the mixture: partitions are runs of blocks, sorted within; columns stay."""
+    return mixed.repartitionByRange("mix_block", "mix_order").sortWithinPartitions("mix_block", "mix_order")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sorted_groups
+from .common import Workspace, sorted_groups
 
 
 @dataclass(frozen=True)
@@ -81,23 +81,34 @@ def pack(sizes: np.ndarray, bins: Bins) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None, bins: Bins = Bins()) -> DataFrame:
-    """One row per piece: the id (and ``copy``, from ``copy_col`` or 0), ``piece``, its
-    ``start`` and ``length`` in tokens of its text, and ``shard, bin, at, capacity``.
-
-    A bin is named by (shard, bin); ``at`` is the piece's place in it. Null and empty texts
-    have one token, their end. Repeated rows are packed each. An empty table gives no rows.
-    Other columns are dropped, so their names cannot clash.
+    """One row per piece: the id, ``copy``, ``piece``, its ``start`` and ``length`` in tokens of its text, and
+    ``shard, bin, at, capacity``.
+
+    ``copy`` is ``copy_col``, or numbers rows of one id from 0 (the longest text first, equal
+    ones by chance: they are packed alike), so (id, copy, piece) is unique. A bin is named by
+    (shard, bin); ``at`` is the piece's place in it. Null and empty texts have one token, their
+    end. Null ids are one id. Repeated rows are packed each. Pieces of equal length go in order
+    of id, copy and piece (ties). An empty table gives no rows. Other columns are dropped, so
+    their names cannot clash. Lengths are written to the shared folder once; a task holds one
+    shard of ``shard_rows`` pieces or so, whatever the texts' lengths.
     """
     longest = max(bins.lengths)
     tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    copy = F.col(copy_col) if copy_col else F.lit(0)
-    shards = -(-df.count() // bins.shard_rows) or 1
-    rows = df.select(F.col(id_col).alias("_id"), copy.cast("int").alias("copy"), tokens.cast("long").alias("_n"))
+    copy = F.col(f"`{copy_col}`").cast("int") if copy_col else F.lit(0)
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), copy.alias("copy"), tokens.cast("long").alias("_n"))
+    if copy_col is None:
+        # rows alike count before they meet, so an id with many rows is a row or two
+        alike = rows.groupBy("_id", "_n").agg(F.count(F.lit(1)).alias("k")).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "k"))).alias("all"))
+        copies = F.flatten(F.transform("all", lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["k"]), lambda _: -x["n"])))
+        rows = alike.select("_id", F.posexplode(copies).alias("copy", "_n"))
+    rows = Workspace(df.sparkSession, "packing").stow(rows, "lengths")
+    count = rows.agg(F.sum(F.expr(f"(_n - 1) div {longest} + 1"))).first()[0] or 0
+    shards = -(-count // bins.shard_rows) or 1
     pieces = rows.select("_id", "copy", F.col("_n"), F.explode(F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {longest} as int)"))).alias("piece"))
     length = F.least(F.lit(longest), F.col("_n") - F.col("piece") * longest).cast("int")
     pieces = pieces.select("_id", "copy", "piece", (F.col("piece") * F.lit(longest).cast("long")).alias("start"), length.alias("length"))
     shard = F.pmod(F.xxhash64("_id", "copy", "piece"), F.lit(shards)).cast("int")
-    dealt = pieces.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "_id", "copy", "piece")
+    dealt = pieces.withColumn("shard", shard).repartitionById(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "_id", "copy", "piece")
     fields = dealt.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `bin` long, `at` long, capacity long"
 

@@ -68,6 +68,7 @@ def test_stages(spark, tmp_path):
     assert placed == Counter({i: k * tokens(t) for (i, t), k in [((d, t), n) for (d, t), n in mixed.items()]})
     assert all(r["at"] + r.length <= r.capacity for r in seen["packing"])
 
+    assert len({(r.doc_id, r["copy"], r.piece) for r in seen["packing"]}) == len(seen["packing"])
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.piece, r.length) for r in got) == sorted((r.doc_id, r.piece, r.length) for r in seen["packing"])
 
@@ -76,3 +77,16 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Every stage but the last returns all columns, whatever their names."""
+    extra = ["_gone", "gone", "mix_block", "mix_order", "mix_tokens", "row", "id", "n", "s", "chance", "rep", "component", "kept", "n_words", "_row", "_body", "cleaned_text", "spans", "copy", "piece", "shard", "length", "epoch"]
+    table = [(*r, *range(len(extra))) for r in rows()]
+    now = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` int" for x in extra))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == COLUMNS + extra
+        now = spark.createDataFrame(now.collect(), now.schema)
+        assert now.count() and all(tuple(r)[len(COLUMNS) :] == tuple(range(len(extra))) for r in now.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count()

@@ -220,8 +220,68 @@ def test_budget_below_one_pass(spark):
     assert 600 <= sum(r.mix_tokens for r in out) < 600 + 3 * 5 and max(Counter(r.doc_id for r in out).values()) == 1
 
 
+@pytest.mark.parametrize("target", [mixing.Target(), mixing.Target(entropy=0.97, repeats=3.0), mixing.Target(entropy=1.0, repeats=1.5), mixing.Target(entropy=0.7, tokens=900), mixing.Target(entropy=1.0, tokens=50_000, repeats=40.0)])
+def test_mixture_equals_brute_force(spark, target):
+    """Every row's passes, from each source's rows sorted by their places; and the blocks of its passes."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), "en", rng.choice(["a"] * 40 + ["b"] * 10 + ["c", None]), 0) for i in range(500)] + [(3, "same", "en", "b", 0)] * 4
+    df = spark.createDataFrame(rows, DOCS)
+    places = df.select("doc_id", "text", "source", F.shiftrightunsigned(F.xxhash64(F.lit(target.seed), "doc_id", "text"), 1).alias("chance")).collect()
+    total, by = Counter(), {}
+    for r in places:
+        n = len(r.text.split()) + 1
+        total[r.source] += n
+        by.setdefault(r.source, Counter())[r.chance] += n
+    plan = mixing.plan(dict(total), target)
+    want = Counter()
+    for s, (_, budget) in plan.items():
+        whole, left = divmod(budget, total[s])
+        used, last = 0, -1
+        for chance, n in sorted(by[s].items()):
+            if used < left:
+                last = chance
+            used += n
+        for r in places:
+            if r.source == s:
+                want[r.doc_id, r.text, s] += whole + (r.chance <= last)
+    out = mixing.mix(df, target=target).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == +want
+    epochs = {}
+    for r in out:
+        epochs.setdefault((r.doc_id, r.text, r.source), []).append(r.mix_epoch)
+        start = r.mix_epoch * total[r.source]
+        place = ((r.mix_order % 2**64) >> 11) / 2**53
+        along = (start + place * min(total[r.source], plan[r.source][1] - start)) / plan[r.source][1]
+        assert r.mix_block == min(int(along * target.blocks), target.blocks - 1)
+    assert all(max(v) + 1 == len(set(v)) for v in epochs.values())
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "l", 5, 6, 7, "r", 8)], "doc_id long, text string, source string, mix_label string, mix_block int, s int, n int, row string, total int")
+    out = mixing.mix(df)
+    assert out.columns == ["doc_id", "text", "source", "mix_label", "s", "n", "row", "total", "mix_epoch", "mix_block", "mix_order", "mix_tokens"]
+    assert [(r.mix_label, r.s, r.n, r.row, r.total, r.mix_epoch) for r in out.collect()] == [("l", 6, 7, "r", 8, 0)]
+    got = [(r.mix_block, r.mix_order) for p in mixing.in_order(mixing.mix(docs(spark, [f"t {i}" for i in range(200)]))).rdd.glom().collect() for r in p]
+    assert got == sorted(got) and len(got) >= 200
+
+
 # ------------------------------------------------------------------ packing
 
+def test_copies_are_told_apart(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, None), (None, "x"), (None, "x"), *[(7, "w " * 20_000)] * 3]
+    out = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({(r.doc_id, r["copy"], r.piece) for r in out}) == len(out) == 6 + 9
+    assert sorted((r["copy"], r.length) for r in out if r.doc_id == 1) == [(0, 3), (1, 3), (2, 2)]
+    own = packing.best_fit(spark.createDataFrame([(1, "a", 4), (1, "a", 9)], "doc_id long, text string, e int"), copy_col="e").collect()
+    assert sorted(r["copy"] for r in own) == [4, 9]
+
+
+def test_shards_hold_pieces_not_documents(spark):
+    out = packing.best_fit(docs(spark, ["w " * 40_000] * 12), bins=packing.Bins(lengths=(8, 64), shard_rows=1000))
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 12 * 626 and max(sizes) < 1200
+
+
 def naive_pack(sizes, bins):
     """Best fit by looking at every open bin; of equal ones the bin that was filled last."""
     touched = []
@@ -283,6 +343,13 @@ def test_packing_round_trip(spark):
     assert packing.best_fit(docs(spark, [])).count() == 0
 
 
+def test_scripts_hold_letters_alone():
+    for first, last, _ in language_spans.LETTERS:
+        assert all(chr(c).isalpha() for c in range(first, last + 1))
+    data, _ = common.text_parts(pa.array(["\u03f6\u1fbd\u0378 1 -"]))
+    assert not len(language_spans.letters(data)[0])
+
+
 # --------------------------------------------------------------- classifier
 
 def test_identity():
