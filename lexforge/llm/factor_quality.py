@@ -178,8 +178,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """(id, score) of each row, the score in 0..1. Null texts count as empty; empty texts get
-    the score of their statistics alone. Repeated rows are scored each; other columns are
-    dropped, so names cannot clash."""
+    the score of their statistics alone. Repeated rows are scored each; an empty table gives
+    an empty one; there are no ties to break. Other columns are dropped, so names cannot clash."""
     model = df.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

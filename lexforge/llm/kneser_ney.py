@@ -559,9 +559,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """``id, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of each row.
 
     ``score`` is the model's log10 probability of the text with its end, ``base_score`` that of
-    the smoothed word counts. Null texts are empty ones. Repeated rows are scored each; other
-    columns are dropped, so names cannot clash. A model of no rows gives every token the
-    same share.
+    the smoothed word counts. Null texts are empty ones. Repeated rows are scored each; an
+    empty table gives an empty one; there are no ties to break. Other columns are dropped, so
+    names cannot clash. A model of no rows gives every token the same share. A worker holds
+    the tokens of a slice of texts, or of the longest one: about 300 bytes a token.
     """
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -8,6 +8,7 @@ cut where they change; the language with the most letters is the text's own.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,14 @@ SCRIPTS = (
     (0xE01, 0xE30, 16), (0xE81, 0xEB0, 17), (0xF40, 0xF6C, 18), (0x1000, 0x102A, 19), (0x10A0, 0x10FF, 20), (0x1100, 0x11FF, 21), (0xAC00, 0xD7A3, 21), (0x1200, 0x135A, 22), (0x1780, 0x17B3, 23),
     (0x3041, 0x3096, 24), (0x30A1, 0x30FA, 24), (0x3400, 0x4DBF, 25), (0x4E00, 0x9FFF, 25), (0x20000, 0x323AF, 25),
 )
-_FROM, _TO, _KIND = (np.array(x) for x in zip(*sorted(SCRIPTS)))
+#: The parts of the blocks that Unicode counts as letters: marks, symbols and places without a character are none.
+LETTERS = tuple(
+    (run[0], run[-1], kind)
+    for first, last, kind in sorted(SCRIPTS)
+    for _, group in itertools.groupby(enumerate(c for c in range(first, last + 1) if chr(c).isalpha()), lambda x: x[1] - x[0])
+    for run in [[c for _, c in group]]
+)
+_FROM, _TO, _KIND = (np.array(x) for x in zip(*LETTERS))
 N_SCRIPTS = 26
 
 #: Letters as they are, lower-cased; bytes beyond ASCII as they are; all else is an edge (0).
@@ -146,7 +154,9 @@ def _scripted(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rule: Rule = Rule()) -> Languages:
     """Counts over all rows with a language: trigrams and scripts, summed in Spark.
 
-    What reaches the driver is (languages) x (buckets + scripts) sums at most.
+    What reaches the driver is (languages) x (buckets + scripts) sums at most. Rows with a null
+    language and null or empty texts add nothing (a language with nothing else is still one);
+    repeated rows count each; an empty table gives no language, and ``label`` then ``und``.
     """
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     width = (1 << BITS) + N_SCRIPTS
@@ -186,7 +196,9 @@ def label(df: DataFrame, languages: Languages, id_col: str = "doc_id", text_col:
     ``score`` is the share of letters in the language's words; ``lang_spans`` has
     (first word, end word, language). A text that is null or has no letter is ``und`` with
     score 0, and so is any text if no language was learned; a script that no language
-    has leaves all of them open. Ties go to the first name. Repeated rows are labelled each.
+    has leaves all of them open. Ties go to the first name. Repeated rows are labelled each;
+    an empty table gives an empty one; other columns are dropped, so names cannot clash. Texts
+    are read whole, some side by side: about 6 bytes a word and language of the longest one.
     """
     known = df.sparkSession.sparkContext.broadcast(languages)  # languages x buckets
     kind = df.schema[id_col].dataType.simpleString()

@@ -23,18 +23,22 @@ def op1_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and spans. Null and empty texts have none; an empty table gives an empty one."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document. Null and empty texts fail the base rules; repeated rows are judged each."""
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("cleaned_text")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in bins. Null and empty texts are one token; copies of an id are numbered."""
     return packing.best_fit(_table(spark, sf_dir, "documents"))
 
 
 def op5_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the held-out fold. Null and empty texts are scored too."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     machine = factor_quality.train(docs, labels.where(bucket_of("doc_id", 5) != 0), "doc_id", "text", "quality")
     out = factor_quality.score(docs, machine)
@@ -42,6 +46,7 @@ def op5_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold; ``und`` for texts without a letter."""
     docs = _table(spark, sf_dir, "documents")
     languages = language_spans.learn(docs.where(bucket_of("doc_id", 4) != 2))
     out = language_spans.label(docs, languages)
@@ -49,6 +54,7 @@ def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the others; null texts are empty ones, an end alone."""
     docs = _table(spark, sf_dir, "documents")
     model = kneser_ney.train(docs.where(bucket_of("doc_id", 10) != 0), order=3)
     out = kneser_ney.score(docs, model)
@@ -56,18 +62,22 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; empty for null and empty pages."""
     return site_style.extract(_table(spark, sf_dir, "pages"))
 
 
 def op9_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies over all documents; texts without a word are in no group."""
     return near_text.classify(_table(spark, sf_dir, "documents"), rule=near_text.Near(percent=85))
 
 
 def op10_vector_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near vectors over all rows; vectors without a direction or a label are in no group."""
     return near_vectors.classify(_table(spark, sf_dir, "embeddings"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over ``documents``."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
