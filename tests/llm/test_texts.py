@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -535,3 +536,35 @@ def test_kneser_ney_triples(spark):
 def test_discounts_stay_in_range():
     for n in ([0, 0, 0, 0], [10, 3, 2, 1], [1, 50, 50, 50], [100, 1, 0, 9]):
         assert all(0 < d < k for d, k in zip(kneser_ney.discounts(n), (1, 2, 3)))
+
+
+def test_a_lost_file_of_the_model_is_an_error(spark):
+    random.seed(21)
+    texts = [" ".join(random.choices([f"w{k}" for k in range(300)], k=60)) for _ in range(80)]
+    model = kneser_ney.train(docs(spark, texts), order=3)
+    assert math.isfinite(kneser_ney.score(docs(spark, texts), model).first().score)
+    for table in ("triples", "words", "contexts"):
+        k = next(k for k in range(64) if os.path.exists(f"{model.folder}/{table}-{k}"))
+        path = f"{model.folder}/{table}-{k}"
+        whole = open(path, "rb").read()
+        for broken in (None, whole[:-1], whole[:20]):
+            os.remove(path)
+            if broken is not None:
+                open(path, "wb").write(broken)
+            with pytest.raises(Exception, match="No such file|cut short|not the file"):
+                kneser_ney.score(docs(spark, texts), model).collect()
+            open(path, "wb").write(whole)
+    assert math.isfinite(kneser_ney.score(docs(spark, texts), model).first().score)
+
+
+def test_frequent_words_and_large_counts(spark):
+    """Words so frequent that their pairs and triples are dealt by themselves, and counts beyond a byte, against brute force."""
+    random.seed(22)
+    texts = [" ".join(random.choices(["the", "of", "a"], k=400) + random.choices([f"r{k}" for k in range(50)], k=20)) for _ in range(30)]
+    for order in (2, 3):
+        model = kneser_ney.train(docs(spark, texts), order=order, passes=3)
+        assert len(kneser_ney._hot(model.folder)[0]) > 3
+        got = kneser_ney.score(docs(spark, texts[:3]), model).orderBy("doc_id").collect()
+        for t, r in zip(texts, got):
+            want = brute(texts, t)[4] if order == 2 else brute_triples(texts, t)[0]
+            assert abs(r.score - want) < 1e-6 * r.n_tokens, order
