@@ -202,14 +202,17 @@ def _across(lists: DataFrame, rule: Near) -> DataFrame:
                 left, right = np.flatnonzero(~home), np.flatnonzero(home)
             else:
                 left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            byte = sig.astype(np.uint8)  # equal values have equal lowest bytes: most pairs are ruled out by an eighth of the data
             for x in left:
                 y = right[right > x] if kind and i == j else right
-                y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x]))]
-                y = y[~(np.abs(far[y] - far[x]) > reach)]
+                y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x])) & ~(np.abs(far[y] - far[x]) > reach)]
+                if len(y):
+                    y = y[(byte[y] == byte[x]).view(np.uint8).sum(1, dtype=np.uint8) >= rule.matches]
                 if len(y):
                     same = sig[y] == sig[x]
                     first = (same & mask[y] & mask[x]).argmax(1)
                     y = y[(same.sum(1) >= rule.matches) & (first == coordinate)]
+                if len(y):
                     y = y[(sketch[y] == sketch[x]).sum(1) >= rule.sketch_matches]
                     a_out += np.minimum(rep[x], rep[y]).tolist()
                     b_out += np.maximum(rep[x], rep[y]).tolist()
