@@ -17,9 +17,9 @@ WITH d AS (
     (n >= 4 OR regexp_matches(l, '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}]["''\x{{201D}}\x{{2019}}\x{{00BB}})\]]*(?:[\x20\x09-\x0D]|\z)'))
     AND 2 * len(regexp_extract_all(l, '[#*$%&|<>~^=_]+')) <= n
     AND 4 * len(regexp_extract_all(l, '[!?]{{2}}')) <= n + 3
-    AND NOT regexp_matches(l, '(?i)\A[\x20\x09-\x0D]*(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|back|back to top|read more|skip to content|site ?map|contact(?: us)?|about(?: us)?|share|print|subscribe)[\x20\x09-\x0D.:>|]*\z')
+    AND NOT regexp_matches(l, '(?i)\A[\x20\x09-\x0D]*(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|back|back to top|read more|skip to content|site ?map|contact(?: us)?|about(?: us)?|share|print|subscribe|products|services|blog|news|faq|careers|help|privacy|terms|startseite|impressum|kontakt|datenschutz|anmelden|suche|accueil|connexion|rechercher|mentions l[\x{{E9}}\x{{C9}}]gales|inicio|contacto|buscar|acerca de)(?:[\x20\x09-\x0D.:>|/\x{{B7}}-]+(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|back|back to top|read more|skip to content|site ?map|contact(?: us)?|about(?: us)?|share|print|subscribe|products|services|blog|news|faq|careers|help|privacy|terms|startseite|impressum|kontakt|datenschutz|anmelden|suche|accueil|connexion|rechercher|mentions l[\x{{E9}}\x{{C9}}]gales|inicio|contacto|buscar|acerca de))*[\x20\x09-\x0D.:>|]*\z')
     AND 4 * len(regexp_extract_all(l, '(?:\A|[\x20\x09-\x0D])[|\x{{00BB}}\x{{203A}}\x{{2022}}\x{{00B7}}>/](?:[\x20\x09-\x0D]|\z)')) <= n
-    AND NOT regexp_matches(l, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|use of cookies|enable javascript|lorem ipsum|copyright \x{{00A9}}|\x{{00A9}} ?[0-9]{{4}}')) AS good
+    AND NOT regexp_matches(l, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|use of cookies|enable javascript|lorem ipsum|copyright \x{{A9}}|\x{{A9}} ?[0-9]{{4}}|alle rechte vorbehalten|tous droits r[\x{{E9}}\x{{C9}}]serv[\x{{E9}}\x{{C9}}]s|todos los derechos reservados')) AS good
   FROM judged
 ), by_line AS (
   SELECT r, count(*) FILTER (WHERE n > 0) - count(DISTINCT l) FILTER (WHERE n > 0) AS n_dup_lines,

@@ -169,6 +169,16 @@ def test_quality_verdicts(spark):
     assert quality_rules.clean(clashing(spark, texts)).count() == 2
 
 
+def test_menus_and_notices(spark):
+    bad = ["Home Products Services About Contact Login", "Startseite | Impressum | Kontakt", "Accueil - Connexion", "home", "© 2020 Someone and all the others here", "Tous droits réservés par la maison de la ville.", "See our PRIVACY POLICY for what we do."]
+    fine = ["Home is where the heart is for most of us.", "The services that we offer are many, and so are products.", "He asked about the policy of the house.", "A line of prose without any end", "a/b and c d e f"]
+    good = [f"{i} " + " ".join(f"w{i}x{k}" for k in range(20)) + "." for i in range(4)]
+    text = "\n".join([*good, *bad, *fine])
+    row = quality_rules.judge(docs(spark, [text])).first()
+    assert row.cleaned_text == "\n".join([*good, *fine]) and row.n_lines_removed == len(bad) and row.kept
+    assert row.n_words_removed == sum(len(x.split()) for x in bad)
+
+
 def test_wrapped_prose_is_left_alone(spark):
     random.seed(12)
     text = " ".join(("w" + str(random.randint(0, 5000))) + ("." if k % 17 == 16 else "") for k in range(400))
