@@ -236,9 +236,6 @@ FROM parent_rows WHERE rank <= 2 GROUP BY query""",
 SELECT event_type, round(avg(s) FILTER (WHERE s BETWEEN 0 AND 1), 6) AS mean_score, count(*) FILTER (WHERE s BETWEEN 0 AND 1) AS n_valid, count(*) FILTER (WHERE s = 0) AS n_zero
 FROM (SELECT *, {_SCORE} AS s FROM events) GROUP BY event_type""",
     "complete_pair_rows": f"WITH {_PAIRS} SELECT q, round(oF, 6) AS oF, round(oAR, 6) AS oAR, round(gF, 6) AS gF, round(gAR, 6) AS gAR FROM pairs",
-    "complete_pair_summary": f"""
-WITH {_PAIRS} SELECT count(*) AS n, round(avg(oF), 6) AS mean_oF, round(avg(oAR), 6) AS mean_oAR, round(avg(gF), 6) AS mean_gF, round(avg(gAR), 6) AS mean_gAR, round(avg(gF - oF), 6) AS delta_F
-FROM pairs WHERE oF IS NOT NULL AND oAR IS NOT NULL AND gF IS NOT NULL AND gAR IS NOT NULL""",
     "metric_summary": f"""
 WITH {_METRICS} SELECT count(*) AS total, count(*) FILTER (WHERE good) AS complete_count, count(*) FILTER (WHERE faithfulness BETWEEN 0 AND 1) AS n_faithfulness,
   count(*) FILTER (WHERE answer_relevancy BETWEEN 0 AND 1) AS n_answer_relevancy, count(*) FILTER (WHERE context_precision BETWEEN 0 AND 1) AS n_context_precision, count(*) FILTER (WHERE context_recall BETWEEN 0 AND 1) AS n_context_recall FROM ok""",
@@ -250,16 +247,12 @@ WITH {_METRICS}, f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q
 SELECT f.question, f.position, coalesce(f.faithfulness BETWEEN 0 AND 1, false) OR coalesce(l.answer_relevancy BETWEEN 0 AND 1, false) AS has_faithfulness,
        coalesce(f.context_precision BETWEEN 0 AND 1, false) OR coalesce(l.context_precision BETWEEN 0 AND 1, false) AS has_precision FROM f JOIN l USING (question)""",
     "composite_score": f"WITH {_METRICS} SELECT position, round((0.0 + faithfulness + answer_relevancy + context_precision + context_recall) / 4, 9) AS composite FROM m",
-    "relay_merge": f"""
-WITH {_METRICS} SELECT round(avg(faithfulness) FILTER (WHERE faithfulness BETWEEN 0 AND 1), 6) AS faithfulness, round(avg(answer_relevancy) FILTER (WHERE answer_relevancy BETWEEN 0 AND 1), 6) AS answer_relevancy,
-  round(avg(context_precision) FILTER (WHERE context_precision BETWEEN 0 AND 1), 6) AS context_precision, round(avg(context_recall) FILTER (WHERE context_recall BETWEEN 0 AND 1), 6) AS context_recall FROM m""",
     "judge_cell_counts": f"""
 WITH {_METRICS}, c AS (SELECT judge, unnest(['faithfulness', 'answer_relevancy', 'context_precision', 'context_recall']) AS metric, unnest([faithfulness, answer_relevancy, context_precision, context_recall]) AS v FROM m)
 SELECT judge, metric, count(*) AS n FROM c WHERE v BETWEEN 0 AND 1 GROUP BY judge, metric""",
     "score_histogram": f"""
 SELECT CASE WHEN s IS NULL THEN 'none' WHEN s = 0 THEN '=0' WHEN s < 0.2 THEN '<0.2' WHEN s < 0.4 THEN '<0.4' WHEN s < 0.6 THEN '<0.6' WHEN s < 0.8 THEN '<0.8' ELSE '>=0.8' END AS bucket, count(*) AS n
 FROM (SELECT {_SCORE} AS s FROM events) GROUP BY 1""",
-    "legacy_zero_means": f"WITH {_METRICS} SELECT judge, round(avg(coalesce(faithfulness, 0)), 6) AS faithfulness, round(avg(coalesce(answer_relevancy, 0)), 6) AS answer_relevancy FROM m GROUP BY judge",
     "quartile_strata": """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_id, event_type, (SELECT max(b) FROM range(4) t(b) WHERE i >= b * n // 4)::INT AS stratum FROM r""",
@@ -271,8 +264,8 @@ SELECT event_id, event_type, (SELECT max(b) FROM range(4) t(b) WHERE i >= b * n
     "asked_semi_join": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "resume_union": "SELECT doc_id, 'cached' AS origin FROM labels UNION ALL SELECT doc_id, 'fresh' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "ground_truth_join": """
-WITH t AS (SELECT substr(text, 1, 12) AS q, 't' || max(doc_id) AS g FROM documents WHERE lang = 'en' GROUP BY 1)
-SELECT doc_id, coalesce(g, '') AS ground_truth FROM documents LEFT JOIN t ON substr(text, 1, 12) = q""",
+WITH t AS (SELECT text AS q, 't' || max(doc_id) AS g FROM documents WHERE lang = 'en' GROUP BY 1)
+SELECT doc_id, coalesce(g, '') AS ground_truth FROM documents LEFT JOIN t ON text = q""",
     "frozen_context_check": "SELECT 'q' || doc_id AS question, source || ',' || lang AS contexts FROM documents",
     "template_cross_join": "SELECT r_name || ' has ' || n_name AS text FROM region, nation",
     "arm_coverage": "SELECT 1::BIGINT AS missing, 0::BIGINT AS extra, false AS complete",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import models, parsing, scores as sc, text as tx
+from ..functions import parsing, scores as sc, text as tx
 from ..operators import cache, chunking, cleaning, evaluation, html_text, lexical, merging, sampling, sessions, vectors
 from ..plans import ingest, retrieve, route
 from ..sources import corpus, reports, stores
@@ -135,13 +135,6 @@ def markdown_normalized(spark, sf):
     return d.select("doc_id", html_text.markdown_text(F.col("content")).alias("content"))
 
 
-@query
-def integrity_missing(spark, sf):
-    d = documents(spark, sf)
-    gone = cleaning.missing_parts(F.col("content"), F.array(F.substring_index("content", "\n", 1)), F.substring(F.col("content"), 1, 500))
-    return d.select("doc_id", F.size(gone).alias("n_missing"))
-
-
 # ------------------------------------------------------- chunking (C)
 
 @query
@@ -386,12 +379,6 @@ def complete_pair_rows(spark, sf):
     return _pairs(spark, sf).select("q", *[r6(F.col(c), c) for c in ("oF", "oAR", "gF", "gAR")])
 
 
-@query
-def complete_pair_summary(spark, sf):
-    full = _pairs(spark, sf).where("oF is not null and oAR is not null and gF is not null and gAR is not null")
-    return full.agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(c), f"mean_{c}") for c in ("oF", "oAR", "gF", "gAR")], r6(F.avg(F.col("gF") - F.col("oF")), "delta_F"))
-
-
 def _metric_rows(spark, sf):
     s = score_rows(spark, sf)
     k = lambda n: F.when(F.col("event_id") % n > 0, F.col("score"))
@@ -438,13 +425,6 @@ def composite_score(spark, sf):
     return _metric_rows(spark, sf).select("position", sc.composite(*[F.col(m) for m in evaluation.METRICS], digits=9).alias("composite"))
 
 
-@query
-def relay_merge(spark, sf):
-    rows = _metric_rows(spark, sf)
-    means = rows.agg(*[F.avg(sc.valid_or_null(F.col(m))).alias(m) for m in evaluation.METRICS])
-    return means.select(*[r6(F.col(m), m) for m in evaluation.METRICS])
-
-
 @query
 def judge_cell_counts(spark, sf):
     return evaluation.judge_counts(_metric_rows(spark, sf))
@@ -455,12 +435,6 @@ def score_histogram(spark, sf):
     return evaluation.histogram(score_rows(spark, sf), "score")
 
 
-@query
-def legacy_zero_means(spark, sf):
-    s = _metric_rows(spark, sf)
-    return s.groupBy("judge").agg(*[r6(F.avg(F.coalesce(F.col(m), F.lit(0.0))), m) for m in evaluation.METRICS[:2]])
-
-
 @query
 def quartile_strata(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
@@ -513,8 +487,8 @@ def resume_union(spark, sf):
 
 @query
 def ground_truth_join(spark, sf):
-    answers = documents(spark, sf).select(F.substring(F.col("content"), 1, 12).alias("question"), "doc_id")
-    truth = documents(spark, sf).where("lang = 'en'").select(F.substring(F.col("content"), 1, 12).alias("question"), F.col("doc_id").alias("seq"), F.concat(F.lit("t"), F.col("doc_id")).alias("ground_truth"))
+    answers = documents(spark, sf).select(F.col("content").alias("question"), "doc_id")
+    truth = documents(spark, sf).where("lang = 'en'").select(F.col("content").alias("question"), F.col("doc_id").alias("seq"), F.concat(F.lit("t"), F.col("doc_id")).alias("ground_truth"))
     return evaluation.with_ground_truth(answers, truth).select("doc_id", "ground_truth")
 
 
@@ -538,12 +512,6 @@ def arm_coverage(spark, sf):
     return evaluation.arms_complete(rows.where("not (index = 7 and arm = 'control')"))
 
 
-@query
-def paired_bootstrap_ci(spark, sf):
-    d = _pairs(spark, sf).where("dF is not null").select(F.col("dF").alias("diff"))
-    return evaluation.paired_bootstrap(d, rounds=400)
-
-
 @query
 def stratified_split_counts(spark, sf):
     rows = table(spark, sf, "labels").select(F.concat(F.lit("t"), "doc_id").alias("text"), F.col("quality").alias("label"))
@@ -769,11 +737,5 @@ def ingest_rows(spark, sf):
     return out.select("id", "chunk_type", "source", "hash_id", F.size("dense").alias("n_dense"))
 
 
-@query
-def intent_classifier_predict(spark, sf):
-    d = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").select("doc_id", F.col("content").alias("text"), F.col("quality").alias("label"))
-    return models.predict_intent(models.train_intent(d, size=1 << 10), d).select("doc_id", "intent", r6(F.col("intent_probability"), "intent_probability"))
-
-
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -168,23 +168,35 @@ def merge_plain(reports: list[DataFrame], metrics: tuple[str, ...] = METRICS) ->
     return out.join(F.broadcast(one)).where("_z = 0 or _z is null").drop("_z")  # one row
 
 
+#: A prime below 2^31: products of two numbers below it are exact in 64 bits.
+PRIME = 2147483647
+
+
+def draw(round_: Column, k: Column, n: Column, seed: int) -> Column:
+    """The place in 0..n-1 that draw ``k`` of a round takes: two squarings modulo a prime, which any engine computes alike."""
+    prime = F.lit(PRIME)
+    x = (round_ * 48271 + k * 69621 + seed) % prime
+    x = (x * x + x * 16807 + k) % prime
+    return (x * x + x * 48271 + round_) % prime % n
+
+
 def paired_bootstrap(diffs: DataFrame, column: str = "diff", rounds: int = 5000, seed: int = 42) -> DataFrame:
     """One row: mean difference, and elements 2.5 % from either end of the sorted means of resamples.
 
-    ``diffs`` is one row a pair. A resample counts how often it drew each pair (by hash), so pairs meet
-    draws by position, not each other; the sums of all rounds are one aggregate.
+    ``diffs`` is one row a pair; null differences are left out, and without any there is no
+    row. A draw takes the pair at a place that its round and number give, so rounds are
+    dealt to tasks and nothing is shuffled but their means. The pairs, one number each, are
+    one sorted array in every task: a set of judged answers, not a corpus.
     """
-    w = Window.orderBy("d")
-    placed = diffs.where(F.col(column).isNotNull()).select(F.col(column).alias("d")).withColumn("i", F.row_number().over(w) - 1)  # an evaluation set, asked by hand
-    n = placed.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"))
-    spark = diffs.sparkSession
-    draws = spark.range(rounds).withColumnRenamed("id", "b").join(F.broadcast(n.select("n"))).where("n > 0")
-    draws = draws.select("b", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
-    draws = draws.select("b", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.col("n")).alias("i"))
-    means = draws.join(placed, "i").groupBy("b").agg(F.avg("d").alias("m"))
+    pairs = diffs.where(F.col(column).isNotNull()).agg(F.array_sort(F.collect_list(F.col(column).cast("double"))).alias("d"), F.avg(column).alias("mean")).where("size(d) > 0")
+    parts = diffs.sparkSession.sparkContext.defaultParallelism * 4
+    n = F.size("d").cast("long")
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.get("d", draw(F.col("b"), k, n, seed).cast("int")))
+    means = diffs.sparkSession.range(0, rounds, 1, parts).withColumnRenamed("id", "b").join(F.broadcast(pairs))
+    means = means.select("mean", n.alias("n"), (F.aggregate(drawn, F.lit(0.0), lambda s, x: s + x) / n).alias("m"))
     low, high = int(rounds * 0.025), int(rounds * 0.975) - 1
-    ranked = means.agg(F.array_sort(F.collect_list("m")).alias("all"))  # ``rounds`` numbers
-    return ranked.join(n).select("n", F.col("mean").alias("mean_diff"), F.get("all", F.lit(low)).alias("low"), F.get("all", F.lit(high)).alias("high"))
+    ranked = means.groupBy("n", "mean").agg(F.array_sort(F.collect_list("m")).alias("all"))  # ``rounds`` numbers
+    return ranked.select("n", F.col("mean").alias("mean_diff"), F.get("all", F.lit(low)).alias("low"), F.get("all", F.lit(high)).alias("high"))
 
 
 def run_stats(results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
 from ..functions.text import normalize_query, same_question, utokens
+from ..shared import written
 
 
 def tokens_of(text: Column) -> Column:
@@ -16,10 +17,7 @@ def tokens_of(text: Column) -> Column:
 
 
 def postings(df: DataFrame, id_col: str, text_col: str, tokens=tokens_of) -> DataFrame:
-    """(doc, token, tf, length), one row per distinct token of a document.
-
-    Counted within the row: a document's tokens never leave it.
-    """
+    """(doc, token, tf, length), one row per distinct token of a document."""
     rows = df.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("w"))
     rows = rows.select("doc", F.size("w").alias("length"), F.explode("w").alias("token"))
     return rows.groupBy("doc", "token", "length").agg(F.count(F.lit(1)).alias("tf")).select("doc", "token", "tf", "length")
@@ -45,18 +43,23 @@ def query_tokens(queries: DataFrame, id_col: str, text_col: str, tokens=tokens_o
 def scores(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, rule: Settings = DEFAULT, tokens=tokens_of) -> DataFrame:
     """(query, doc, score) of every pair that shares a token.
 
-    Only tokens that some query has are kept before documents are counted, so the posting
-    table that is shuffled is as large as the queries' vocabulary makes it, not the corpus.
+    Documents are read and cut into tokens once: what is written to the shared folder is a
+    row of each document with its length, and its counts of the tokens that some query has,
+    so the table is as large as the queries' vocabulary makes it, not the corpus. Size, mean
+    length and idf come from that table. It lies by document, so sums over a document's
+    tokens are made before they are shuffled, whatever the frequency of a token.
     """
     asked = query_tokens(queries, query_id, query_text, tokens)
-    wanted = asked.select("token").distinct()
+    wanted = asked.select("token").distinct().withColumn("wanted", F.lit(True))
     rows = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("w"))
-    rows = rows.select("doc", F.size("w").alias("length"), F.explode("w").alias("token")).join(wanted, "token", "left_semi")
-    table = rows.groupBy("doc", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
-    size = corpus(docs, doc_text, tokens)
-    weights = idf(table, size)
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (rule.k1 + 1) / (F.col("tf") + rule.k1 * (1 - rule.b + rule.b * F.col("length") / F.col("mean_length")))
-    joined = table.join(weights, "token").join(F.broadcast(size.select("mean_length"))).join(asked, "token")  # size is one row
+    rows = rows.select("doc", F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("token"))
+    rows = rows.join(wanted, "token", "left").where("wanted or token is null").drop("wanted")
+    table = written(rows.repartition("doc").groupBy("doc", "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    size = table.where("token is null").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))  # one row
+    table = table.where("token is not null")
+    weights = written(asked.join(idf(table, size), "token").select("token", "query", (F.col("weight") * F.col("idf") * (rule.k1 + 1)).alias("weight")), "weights")
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + rule.k1 * (1 - rule.b + rule.b * F.col("length") / F.col("mean_length")))
+    joined = table.join(F.broadcast(size.select("mean_length"))).join(weights, "token")
     return joined.groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))  # ties must not hang on the order of a sum
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import written
+
 #: Substitutions that turn a question's meaning round, in order of preference.
 OPPOSITES = (
     ("升高", "降低"), ("增加", "减少"), ("成人", "儿童"), ("男性", "女性"), ("可以", "不可以"), ("能", "不能"), ("需要", "不需要"), ("会", "不会"),
@@ -14,15 +16,36 @@ OPPOSITES = (
 
 
 def numbered(df: DataFrame, *order: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``row`` from 0 in ``order`` within ``by``."""
-    return df.withColumn("row", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """Adds ``row`` from 0 in ``order`` within ``by``.
+
+    Without ``by`` the whole table is sorted by ranges and written once; a row's number is its
+    place in its range and the rows of the ranges before, so no task sees more than a range.
+    """
+    if by:
+        return df.withColumn("row", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    name = "_place"
+    while name in df.columns:
+        name += "_"
+    placed = written(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(name, 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = F.broadcast(sizes.select(F.struct("_part", before.alias("_before")).alias("_start")))
+    rows = placed.join(starts, part == F.col("_start._part"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start._before") + F.col(name).bitwiseAND((1 << 33) - 1)).alias("row"))
+
+
+def _counted(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Adds ``_n``, the rows within ``by``."""
+    if by:
+        return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    return df.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))  # one row
 
 
 def quartiles(df: DataFrame, score: str, index: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``stratum`` 0 to 3: row i of n in order of (score, index) lies in slice [b n // 4, (b + 1) n // 4)."""
-    rows = numbered(df, F.col(score), F.col(index), by=by)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return rows.withColumn("stratum", (F.ceil(4 * (F.col("row") + 1) / n) - 1).cast("int")).drop("row")
+    rows = _counted(numbered(df, F.col(score), F.col(index), by=by), by)
+    return rows.withColumn("stratum", (F.ceil(4 * (F.col("row") + 1) / F.col("_n")) - 1).cast("int")).drop("row", "_n")
 
 
 def sample_strata(df: DataFrame, index: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -42,7 +65,12 @@ def chunks_by_size(df: DataFrame, order: str, size: int, by: tuple[str, ...] = (
 
 def chunks_by_count(df: DataFrame, order: str, n: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``chunk``: n runs of nearly equal length, the longer ones first."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.partitionBy(*by).orderBy(order)) - 1)
+    if by:
+        return df.withColumn("chunk", F.ntile(n).over(Window.partitionBy(*by).orderBy(order)) - 1)
+    rows = _counted(numbered(df, F.col(order)), ())
+    short, longer = F.expr(f"_n div {n}"), F.col("_n") % n
+    chunk = F.when(F.col("row") < longer * (short + 1), F.floor(F.col("row") / (short + 1))).otherwise(longer + F.floor((F.col("row") - longer * (short + 1)) / F.greatest(short, F.lit(1))))
+    return rows.withColumn("chunk", chunk.cast("int")).drop("row", "_n")
 
 
 def at_indices(df: DataFrame, order: str, indices: list[int]) -> DataFrame:

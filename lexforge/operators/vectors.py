@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
+from ..shared import written
 from .lexical import top
 
 #: Most bytes of query vectors that are sent to every task; more queries go in several such blocks.
@@ -28,8 +29,9 @@ def dense_top(docs: DataFrame, queries: DataFrame, doc_id: str, doc_vector: str,
     """(query, doc, score, rank): the ``k`` largest inner products of each query, ties to the smallest doc.
 
     The filter comes before the search, so rows it drops take no place. Queries are read in
-    blocks of bounded size; each task multiplies its rows with a block as matrices and keeps
-    ``k`` a query, so what is shuffled is tasks x queries x k rows, whatever the table.
+    blocks of bounded size, one at a time: the table is read once for each full block, whose
+    hits are written before the next one is sent. Each task multiplies its rows with a block
+    as matrices and keeps ``k`` a query, so what is shuffled is tasks x queries x k rows.
     """
     rows = docs if where is None else docs.where(where)
     rows = rows.select(F.col(doc_id).alias("doc"), F.col(doc_vector).cast("array<double>").alias("v")).where("v is not null")
@@ -61,6 +63,9 @@ def dense_top(docs: DataFrame, queries: DataFrame, doc_id: str, doc_vector: str,
                 yield pa.RecordBatch.from_arrays([pa.array(query, asked_type), pa.array(best_doc.reshape(-1).tolist(), kind), pa.array(best_score.reshape(-1))], names=["query", "doc", "score"])
 
         parts.append(rows.mapInArrow(run, f"query {query_kind}, doc {doc_kind}, score double"))
+        if len(matrix) * matrix.itemsize * matrix.shape[1] >= QUERY_BYTES:  # there may be more: this block's hits are written, and its vectors go
+            parts[-1] = written(parts[-1], "hits")
+            sent.destroy()
     if not parts:
         return top(asked.join(rows, F.lit(False)).select("query", "doc", F.lit(0.0).alias("score")), k)
     out = parts[0]
@@ -85,9 +90,15 @@ def _blocks(asked: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.array(held)
 
 
-def sparse_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, doc, score) from (doc, token, weight) and (query, token, weight): inner products over shared tokens."""
+def sparse_scores(docs: DataFrame, queries: DataFrame, drop: float = 0.0) -> DataFrame:
+    """(query, doc, score) from (doc, token, weight) and (query, token, weight): inner products over shared tokens.
+
+    ``drop``: this part of each query's tokens, those of the least weight (ties by token), is not searched for.
+    """
     q = queries.select("query", "token", F.col("weight").alias("query_weight"))
+    if drop:
+        w = Window.partitionBy("query")
+        q = q.withColumn("_k", F.row_number().over(w.orderBy("query_weight", "token"))).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_k") > F.floor(F.lit(drop) * F.col("_n"))).drop("_k", "_n")
     return docs.join(q, "token").groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 

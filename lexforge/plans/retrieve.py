@@ -10,28 +10,21 @@ from ..operators.chunking import children, parents
 from ..operators.cleaning import clean_documents
 from ..operators.lexical import scores, top
 from ..operators.merging import rerank, to_parents
-
-
-#: Most hits whose ids are sent to every task; more are joined by shuffle.
-BROADCAST_HITS = 200_000
+from ..shared import written
 
 
 def lexical_small_to_big(docs: DataFrame, questions: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, rule: Settings = DEFAULT) -> DataFrame:
     """The best parents of each question by BM25 over cleaned children.
 
-    Texts stay out of the search: the shuffle carries tokens and ids. Only documents with a
-    hit are then read, cleaned and cut again for their texts.
+    Documents are cleaned and cut once; the parents are written to the shared folder, and
+    children are cut from them where they are read. Texts stay out of the search: the
+    shuffle carries tokens and ids, and only hits meet their texts. The hits are written too,
+    so the planner knows whether they are few enough to be sent to every task.
     """
-
-    def chunked(rows: DataFrame) -> DataFrame:
-        cleaned = clean_documents(rows.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), "source"), "_text")
-        return children(parents(cleaned, "_doc", "_text", rule), rule)
-
-    hits = top(scores(chunked(docs), questions, "id", "content", query_id, query_text, rule), rule.top_retrieve).withColumnRenamed("doc", "id")
-    few = questions.count() * rule.top_retrieve <= BROADCAST_HITS
-    sent = F.broadcast if few else (lambda df: df)
-    # a chunk's id begins with its document's, before four parts of its own
-    wanted = hits.select(F.regexp_replace("id", "(_[^_]*){4}$", "").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    texts = chunked(docs.join(sent(wanted), id_col, "left_semi"))
-    found = texts.select("id", "content", "source", "parent_id", "parent_content").join(sent(hits), "id")
+    cleaned = clean_documents(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), "source"), "_text")
+    whole = written(parents(cleaned, "_doc", "_text", rule), "parents")
+    small = children(whole, rule)
+    hits = top(scores(small, questions, "id", "content", query_id, query_text, rule), rule.top_retrieve).withColumnRenamed("doc", "id")
+    hits = written(hits, "hits")
+    found = small.select("id", "content", "source", "parent_id", "parent_content").join(hits, "id")
     return rerank(to_parents(found, rule.top_children), F.col("score"), rule.top_rerank)

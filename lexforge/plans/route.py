@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache import acceptable, alive, cacheable
@@ -84,3 +84,16 @@ def by_strategy(requests: DataFrame, hyde: Column, simpler: Column, parts: Colum
     texts = F.when(F.col("strategy") == "hyde", F.array(F.coalesce(F.nullif(hyde, F.lit("")), q))).when(F.col("strategy") == "backtracking", F.array(F.coalesce(F.nullif(simpler, F.lit("")), q)))
     texts = texts.when(F.col("strategy") == "subquery", F.when(F.size(parts) > 0, parts).otherwise(F.array(q))).otherwise(F.array(q))
     return requests.select("query", F.posexplode(texts).alias("branch", "text"))
+
+
+def health(spark: SparkSession, checks: dict[str, Callable[[], bool]]) -> DataFrame:
+    """(service, up) of each check, and ``all``; one that fails by an exception is down."""
+
+    def up(check: Callable[[], bool]) -> bool:
+        try:
+            return bool(check())
+        except Exception:  # a service that can't be asked is not up
+            return False
+
+    rows = [(name, up(check)) for name, check in checks.items()]
+    return spark.createDataFrame([*rows, ("all", all(x for _, x in rows))], "service string, up boolean")

@@ -138,3 +138,11 @@ def test_stream(spark, tmp_path):
     run.awaitTermination(120)
     last = spark.sql("select * from turns").collect()[-1]
     assert last.turns == 7 and last.history.startswith("q2\na") and last.history.endswith("q6\na")
+
+
+def test_health(spark):
+    def broken():
+        raise OSError
+
+    assert {(r.service, r.up) for r in route.health(spark, {"a": lambda: True, "b": broken}).collect()} == {("a", True), ("b", False), ("all", False)}
+    assert [r.up for r in route.health(spark, {}).collect()] == [True]
