@@ -1,4 +1,4 @@
-"""Shared parts: tables in the shared folder, and NumPy kernels over Arrow text buffers.
+"""Shared parts: NumPy kernels over Arrow text buffers, and tables in the shared folder.
 
 The kernels work on whole texts in slices of a few MB, so memory is bounded by the
 slice (or by one text, if it alone is longer), never by a partition.
@@ -6,12 +6,7 @@ slice (or by one text, if it alone is longer), never by a partition.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,73 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import Workspace  # noqa: F401
+
 SLICE_BYTES = 1 << 20
 HASH_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
-#: With this setting a query's shuffle files are removed when it ends, not when the driver collects garbage.
-SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@functools.cache
-def _own_folder() -> str:
-    """A temporary folder of this process, for sessions on one machine alone; it goes when the process ends."""
-    path = tempfile.mkdtemp(prefix="lexforge-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-class Workspace:
-    """A folder below ``spark.checkpoint.dir`` for tables that cut lineage.
-
-    The folder is the cluster's shared one. A session on one machine that names none
-    (tests) gets a temporary folder, and its settings stay as they are; on a cluster that is
-    an error. Written tables survive the loss of executors.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            base = _own_folder()
-        self.spark = spark
-        self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        folder, fs = self._hadoop(self.root)
-        fs.mkdirs(folder)
-        fs.deleteOnExit(folder)  # when the application ends; until then plans may read it
-
-    def _hadoop(self, path: str):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def local(self, name: str) -> str:
-        """The same folder as a POSIX path, for files that workers memory-map."""
-        path = self.path(name)
-        if path.startswith("file:"):
-            return "/" + path[len("file:"):].lstrip("/")
-        if "://" in path:
-            raise ValueError(f"memory-mapped files need a mounted spark.checkpoint.dir, not {path}")
-        return path
-
-    def stow(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: lineage ends here, and its shuffles go with the write."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        conf, before = self.spark.conf, self.spark.conf.get(SHUFFLES_GO, None)
-        conf.set(SHUFFLES_GO, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.unset(SHUFFLES_GO) if before is None else conf.set(SHUFFLES_GO, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table made by ``stow`` that no later plan reads."""
-        for file in df.inputFiles()[:1]:
-            path, fs = self._hadoop(file)
-            fs.delete(path.getParent(), True)
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
