@@ -198,6 +198,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, id)
 SELECT "group", id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 16""",
     "small_to_big_parents": f"""
 WITH {_TO_PARENTS} SELECT query, id, content, rerank_content, source, array_to_string(children_ids, ',') AS children_ids, rank::INT AS rank, round(score, 6) AS score FROM parent_rows""",
+    "ingest_rows": f"""
+WITH {_CLEANED}, {_parents('content', 'cleaned', extra='source,')}, {_CHILDREN}
+SELECT id, 'parent' AS chunk_type, source, md5(content) AS hash_id, 64::INT AS n_dense FROM parents UNION ALL SELECT id, 'child', source, md5(content), 64 FROM children""",
+    "sampled_fragment": r"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: NOT starts_with(x, '#') AND length(x) >= 30) AS l FROM documents),
+b AS (SELECT doc_id, array_to_string(l, chr(10)) AS b FROM l),
+w AS (SELECT doc_id, substr(b, (('0x' || substr(md5(doc_id || ':0'), 1, 15))::BIGINT % greatest(length(b) - 1599, 1) + 1)::BIGINT, 1600) AS w FROM b),
+f AS (SELECT doc_id, CASE WHEN instr(w, '。') BETWEEN 1 AND 120 THEN substr(w, instr(w, '。') + 1) ELSE w END AS fragment FROM w)
+SELECT doc_id, length(fragment)::INT AS n, fragment FROM f""",
+    "cache_key_sha256": r"""
+SELECT item_id AS query, 'query:v3:' || sha256('[' || to_json(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''))::VARCHAR || ', null, "direct", []]') AS key FROM benchmark""",
     "small_to_big_lexical": f"""
 WITH {_CLEANED}, {_parents('content', 'cleaned', extra='source,')}, {_CHILDREN}, {_bm25('children', 'id', 'content', 'benchmark', 'item_id', 'text')},
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm25) WHERE rank <= 16),

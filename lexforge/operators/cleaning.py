@@ -204,13 +204,13 @@ def long_enough(df: DataFrame, text_col: str = "content", least: int = 100) -> D
 
 
 def sample_fragment(df: DataFrame, id_col: str, text_col: str, size: int = 1600, seed: int = 0) -> DataFrame:
-    """A window of each text without headings and short lines; where it starts is a hash of id and seed.
+    """A window of each text without headings and short lines; where it starts is a hash (MD5) of id and seed.
 
     The window starts after its first full stop, if that is among the first 120 characters.
     """
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), ustrip), lambda x: ~F.startswith(x, F.lit("#")) & (F.length(x) >= 30))
     body = F.array_join(lines, "\n")
-    start = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.greatest(F.length(body) - size + 1, F.lit(1)))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long") % F.greatest(F.length(body) - size + 1, F.lit(1))
     window = _let(body, lambda b: F.substring(b, (start + 1).cast("int"), F.lit(size)))
     stop = lambda w: F.instr(w, "。")
     cut = _let(window, lambda w: F.when((stop(w) > 0) & (stop(w) <= 120), F.substring(w, stop(w) + 1, F.lit(size))).otherwise(w))

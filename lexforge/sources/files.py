@@ -28,6 +28,16 @@ def use_pdf_reader(reader: Callable[[bytes], list[str]] | None) -> None:
     _pdf_reader = reader
 
 
+_page_reader: Callable[[bytes, int], str] | None = None
+
+
+def use_page_reader(reader: Callable[[bytes, int], str] | None) -> None:
+    """Plug in a function from a PDF's bytes and a page's number (from 1) to its text, for pages without any: scans.
+    Without one such pages have an empty text."""
+    global _page_reader
+    _page_reader = reader
+
+
 def docx_paragraphs(data: bytes) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(data)) as parts:
         body = ElementTree.fromstring(parts.read("word/document.xml")).find(f"{WORD}body")
@@ -52,13 +62,15 @@ def plain_text(data: bytes) -> str:
         return data.decode("gbk")
 
 
-def _rows(path: str, data: bytes, kind: str, time: int, reader) -> Iterator[dict]:
+def _rows(path: str, data: bytes, kind: str, time: int, reader, scans=None) -> Iterator[dict]:
     row = {"path": path, "file_type": kind, "timestamp": time}
     if kind == "pdf":
         if reader is None:
             raise RuntimeError("no PDF reader is plugged in")
         pages = reader(data)
-        yield from ({**row, "content": text, "page_number": k, "total_pages": len(pages)} for k, text in enumerate(pages, 1))
+        for k, text in enumerate(pages, 1):
+            text = scans(data, k) if scans and not text.strip() else text
+            yield {**row, "content": text, "page_number": k, "total_pages": len(pages)}
     elif kind == "docx":
         paragraphs = [p for p in docx_paragraphs(data) if p.strip()]
         yield {**row, "content": "\n".join(paragraphs), "paragraph_count": len(paragraphs)}
@@ -84,14 +96,14 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
         return empty.drop("error"), empty.select("path", "error")
     ending = "|".join(KINDS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(rf"(?i)\.(?:{ending})$"))
-    reader = _pdf_reader
+    reader, scans = _pdf_reader, _page_reader
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
             for path, data, time in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    out += _rows(path, data, KINDS[path.rsplit(".", 1)[1].lower()], int(time), reader)
+                    out += _rows(path, data, KINDS[path.rsplit(".", 1)[1].lower()], int(time), reader, scans)
                 except Exception as e:  # one bad file is a row of failures
                     out.append({"path": path, "error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in out], types[k]) for c, k in columns.items()], names=list(columns))

@@ -146,3 +146,15 @@ def test_health(spark):
 
     assert {(r.service, r.up) for r in route.health(spark, {"a": lambda: True, "b": broken}).collect()} == {("a", True), ("b", False), ("all", False)}
     assert [r.up for r in route.health(spark, {}).collect()] == [True]
+
+
+def test_scanned_pages(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x|" + b"|z")
+    files.use_pdf_reader(lambda data: data.decode().split("|"))
+    files.use_page_reader(lambda data, k: f"read from page {k}")
+    try:
+        good, bad = files.read_documents(spark, str(tmp_path))
+        assert [(r.page_number, r.content) for r in good.orderBy("page_number").collect()] == [(1, "x"), (2, "read from page 2"), (3, "z")] and bad.count() == 0
+    finally:
+        files.use_pdf_reader(None)
+        files.use_page_reader(None)
