@@ -86,7 +86,7 @@ class Cut:
     ``variants``: a branch with so many equally likely texts on a host has an importance of
     one half. ``gamma``: how slowly presentations outweigh content. ``outside``, ``inside``:
     least importance of a branch, and ``outside_pages``, ``inside_pages``: least pages for it
-    to be judged, on pages without and in a marked article. Priors: ``frame`` elements and
+    to be judged, outside and inside of a marked article. Priors: ``frame`` elements and
     roles, ``readers`` (what readers write), other ``name``, ``apart`` (outside of a marked
     article). ``unknown``: the importance of a branch on too few pages. ``trust``: least part
     of the text in articles that are marks. ``priors`` False: entropies alone decide.
@@ -123,6 +123,7 @@ class Page:
         self.held: list[str] = []
         self.prior: dict[int, float] = {}  # of branches; 0 of none
         self.framed: set[int] = set()
+        self.inside: set[int] = set()  # branches in a marked article
         self.apart: set[int] = set()  # named branches outside of an article
         self.around: tuple[set[int], set[int]] = (set(), set())  # branches that hold an article, a main element
         for m in TOKEN.finditer(html):
@@ -193,6 +194,8 @@ class Page:
         marked = self.rule.priors and (main or tag == "article") and not prior
         if marked and not any(x[1] in self.framed for x in self.stack):
             self.around[main].update(x[1] for x in self.stack)
+        if up[2] or marked:
+            self.inside.add(path)
         if prior:
             self.prior[path] = prior
             if prior == self.rule.frame:
@@ -247,17 +250,17 @@ class Page:
         """Branches that fail against their prior; those of ``good`` and ``bad`` are judged by their host."""
         return {p for p, prior in self.prior.items() if p not in self.stands and p not in good and (p in bad or self.rule.unknown + self.part[p] - prior < self.rule.outside)}
 
+    def low(self, low: frozenset[int], high: frozenset[int]) -> list[bool]:
+        """Of each block, whether its deepest judged branch (of ``low`` or ``high``) is of ``low``."""
+        return [bool(low) and next((p for p in reversed(paths) if p in low or p in high), 0) in low for _, paths, _ in self.blocks]
+
     def main(self, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset(), good: frozenset[int] = frozenset(), bad: frozenset[int] = frozenset()) -> str:
-        """Blocks that no failing branch holds, and whose deepest judged branch (of ``low`` or ``high``) is not of ``low``."""
+        """Blocks that neither entropy nor a prior cuts."""
         cut = self.cut(good, bad)
-        out = []
-        for text, paths, _ in self.blocks:
-            if cut.isdisjoint(paths) and (not low or next((p for p in reversed(paths) if p in low or p in high), 0) not in low):
-                out.append(text)
-        return " ".join(out)
+        return " ".join(text for (text, paths, _), is_low in zip(self.blocks, self.low(low, high)) if not is_low and cut.isdisjoint(paths))
 
     def branches(self) -> Iterator[tuple[int, int, int, bool, float, float]]:
-        """(path, content, presentation, on a marked page, part of the text, prior) of each path with text.
+        """(path, content, presentation, in a marked article, part of the text, prior) of each path with text.
 
         The presentation of a leaf is 0, and so are the last two of a path without a prior.
         Text of a failing branch counts in that branch alone.
@@ -270,7 +273,7 @@ class Page:
             for p in dict.fromkeys(paths[top:]):
                 content[p] = _h(f"{content.get(p, 0)} {h}")
         for p, h in content.items():
-            yield p, h, _h("|".join(self.children[p])) if p in self.children else 0, self.marked, self.part.get(p, 0.0), self.prior.get(p, 0.0)
+            yield p, h, _h("|".join(self.children[p])) if p in self.children else 0, self.marked and p in self.inside, self.part.get(p, 0.0), self.prior.get(p, 0.0)
 
 
 SEEN = "host string, path long, page long, content long, style long, marked boolean, part double, prior double"
@@ -332,7 +335,8 @@ def style_tree(seen: DataFrame, rule: Cut = Cut()) -> DataFrame:
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rule: Cut = Cut()) -> DataFrame:
-    """``id, url, text, n_chars`` of each page: blocks in page order, joined by one space.
+    """``id, url, text, n_chars, n_blocks, n_low`` of each page: blocks in page order, joined by one space; how
+    many blocks the page has, and how many of them the host's entropies cut, whatever their names.
 
     Null and empty pages, and pages of nothing but frame, have an empty text. Pages with a
     null url, or one without a host, form a host of their own. Repeated pages are extracted
@@ -356,8 +360,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(html, rule).main(*(frozenset(x or ()) for x in lists)) for html, *lists in zip(*(batch.column(k).to_pylist() for k in range(2, 7)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
+            pages, sets = [Page(x, rule) for x in batch.column(2).to_pylist()], [[frozenset(x or ()) for x in batch.column(k).to_pylist()] for k in range(3, 7)]
+            texts = [p.main(*x) for p, *x in zip(pages, *sets)]
+            counts = [len(p.blocks) for p in pages], [sum(p.low(low, high)) for p, low, high in zip(pages, *sets[:2])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in counts)], names=["id", "url", "text", "n_blocks", "n_low"])
 
-    out = pages.join(cut, "host", "left").select("id", "url", "html", "low", "high", "good", "bad").mapInArrow(keep, f"id {kind}, url string, text string")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    out = pages.join(cut, "host", "left").select("id", "url", "html", "low", "high", "good", "bad").mapInArrow(keep, f"id {kind}, url string, text string, n_blocks long, n_low long")
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_low")

@@ -106,8 +106,9 @@ def drawn(n, seed=3):
 @pytest.mark.parametrize("n", [25, 300])
 def test_entropy_alone_finds_the_article(spark, n):
     rows = drawn(n)
-    got = texts(spark, [r[:3] for r in rows])
-    assert got == {i: story for i, _, _, story in rows}
+    got = site_style.extract(spark.createDataFrame([r[:3] for r in rows], ROW)).collect()
+    assert {r.page_id: r.text for r in got} == {i: story for i, _, _, story in rows}
+    assert all(r.n_low == 5 for r in got)  # four entries of the menu, and the footer
     assert texts(spark, [r[:3] for r in rows[:4]]) == {i: " ".join(" ".join(site_style.Page(html).blocks[k][0] for k in range(len(site_style.Page(html).blocks))).split()) for i, _, html, _ in rows[:4]}
 
 
