@@ -108,6 +108,19 @@ class Machine:
         s = sums(vx, starts)
         return self.bias + sums(self.w[number] * value, starts) + 0.5 * ((s * s).sum(1) - sums((vx * vx).sum(1), starts))
 
+    def gradient(self, number: np.ndarray, value: np.ndarray, starts: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the logistic loss summed over rows: by the bias, the features met, and by their weights and vectors."""
+        row = np.repeat(np.arange(len(label)), np.diff(starts))
+        vx = self.v[number] * value[:, None]
+        s = sums(vx, starts)
+        z = self.bias + sums(self.w[number] * value, starts) + 0.5 * ((s * s).sum(1) - sums((vx * vx).sum(1), starts))
+        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - label).astype(np.float32)
+        used, inv = np.unique(number, return_inverse=True)
+        dw, dv = np.zeros(len(used), np.float32), np.zeros((len(used), self.v.shape[1]), np.float32)
+        np.add.at(dw, inv, g[row] * value)
+        np.add.at(dv, inv, (g[row] * value)[:, None] * (s[row] - vx))
+        return float(g.sum()), used, dw, dv
+
     def fit(self, number, value, starts, label, rule: Fit) -> Machine:
         rng = np.random.default_rng(rule.seed)
         gw, gv, gb = np.full(self.w.shape, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
@@ -119,24 +132,16 @@ class Machine:
                 n = starts[part + 1] - starts[part]
                 row = np.repeat(np.arange(len(part)), n)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[part][row]
-                f, x = number[at], value[at]
                 cut = np.concatenate([[0], np.cumsum(n)])
-                vx = self.v[f] * x[:, None]
-                s = sums(vx, cut)
-                z = self.bias + sums(self.w[f] * x, cut) + 0.5 * ((s * s).sum(1) - sums((vx * vx).sum(1), cut))
-                g = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - label[part]).astype(np.float32)
-                used, inv = np.unique(f, return_inverse=True)
-                dw, dv = np.zeros(len(used), np.float32), np.zeros((len(used), self.v.shape[1]), np.float32)
-                np.add.at(dw, inv, g[row] * x)
-                np.add.at(dv, inv, (g[row] * x)[:, None] * (s[row] - vx))
+                db, used, dw, dv = self.gradient(number[at], value[at], cut, label[part])
                 dw += rule.decay * self.w[used]
                 dv += rule.decay * self.v[used]
                 gw[used] += dw * dw
                 gv[used] += dv * dv
-                gb += float(g.sum()) ** 2
+                gb += db**2
                 self.w[used] -= rule.rate * dw / np.sqrt(gw[used])
                 self.v[used] -= rule.rate * 0.3 * dv / np.sqrt(gv[used])
-                self.bias -= 0.02 * float(g.sum()) / np.sqrt(gb)
+                self.bias -= 0.02 * db / np.sqrt(gb)
         return self
 
 

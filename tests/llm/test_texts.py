@@ -376,6 +376,30 @@ def test_identity():
         assert abs(got[k] - slow) < 1e-3
 
 
+def test_gradient():
+    """Against differences of the loss in double precision."""
+    m = factor_quality.Machine(factor_quality.Fit())
+    m.w = np.random.default_rng(1).normal(0, 0.3, m.w.shape)
+    m.v, m.bias = m.v.astype(np.float64), 0.2
+    number, value, starts = factor_quality.featurise(pa.array(["a b c a", "b d", "", "Only | two a"]), np.array([7, 4, -1, 3]))
+    value, label = value.astype(np.float64), np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss() -> float:
+        z = m.raw(number, value, starts)
+        return float(np.sum(np.log1p(np.exp(z)) - label * z))
+
+    db, used, dw, dv = m.gradient(number, value, starts, label)
+    step, here = 1e-5, loss()
+    m.bias += step
+    assert abs((loss() - here) / step - db) < 1e-3
+    m.bias -= step
+    for k in range(0, len(used), 3):
+        for array, place, want in ((m.w, used[k], dw[k]), (m.v, (used[k], 2), dv[k, 2])):
+            array[place] += step
+            assert abs((loss() - here) / step - want) < 1e-3
+            array[place] -= step
+
+
 def test_quality_learned(spark):
     random.seed(6)
     word = lambda: "".join(random.choices("abcdefgh", k=random.randint(2, 7)))
@@ -400,6 +424,36 @@ def corpus_of(letters, n, seed):
     return [" ".join("".join(random.choices(letters, k=random.randint(2, 8))) for _ in range(40)) + "." for _ in range(n)]
 
 
+def test_word_scores_equal_brute_force():
+    """Log odds of each word's trigrams, cut at the bound, and scripts that rule a language out."""
+    rng = np.random.default_rng(4)
+    rule = language_spans.Rule()
+    counts = rng.integers(0, 50, (3, 1 << language_spans.BITS)).astype(float)
+    scripts = np.zeros((3, language_spans.N_SCRIPTS))
+    scripts[:, 0] = 1000, 1000, 3
+    scripts[2, 2] = 1000
+    langs = language_spans.Languages(["a", "b", "c"], counts, scripts, rule)
+    words = ["word", "z\u00e9ro", "\u043f\u0440\u0438\u0432\u0435\u0442", "x1y", "12", "Word"]
+    data, offs = common.text_parts(pa.array([" ".join(words)]))
+    begin, end, _ = common.word_spans(data, offs)
+    got = langs.word_scores(data, begin, end, language_spans._scripted(data, begin, end)[0])
+    table = np.log((counts + rule.smooth) / (counts.sum(1, keepdims=True) + rule.smooth * counts.shape[1]))
+    table -= table.mean(0)
+    for word, row in zip(words, got):
+        fold = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 0 for b in word.encode()]
+        if not any(fold):
+            assert (row == 0).all()
+            continue
+        s = np.zeros(3)
+        for left, mid, right in zip([0, *fold], fold, [*fold[1:], 0]):
+            if mid:
+                s += table[:, ((left << 16 | mid << 8 | right) * 0x9E3779B1 % 2**32) >> (32 - language_spans.BITS)]
+        out = [True, True, False] if word[0] == "\u043f" else [False, False, True]  # less than one letter in 100 is no script of a language
+        best = max(x for x, no in zip(s, out) if not no)
+        want = [-rule.most - 50 if no else max(x - best, -rule.most) for x, no in zip(s, out)]
+        assert np.allclose(row, want, atol=1e-3), word
+
+
 def test_languages(spark):
     sets = {"aa": "abcdefg", "bb": "nopqrstu", "cy": "абвгдежз"}
     rows = [(t, lang) for k, (lang, letters) in enumerate(sets.items()) for t in corpus_of(letters, 30, k)] + [("x y", None)]
