@@ -16,7 +16,7 @@ from ..operators import cache, cleaning, evaluation, html_text, merging, samplin
 from ..plans import ingest, route
 from ..shared import Workspace
 from ..sources import files
-from .oracles import _METRICS, _PAIRS, _tokens
+from .oracles import _HITS, _METRICS, _PAIRS, _tokens
 from .queries import _child_hits, _metric_rows, _pairs, _weights, documents, questions, r6, score_rows, table, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,6 +263,21 @@ def rerank_with_bad_scores(spark, sf):
     return out.select("query", F.col("rank").cast("int").alias("rank"), F.col("was").cast("int").alias("was"))
 
 
+@query(f"""
+WITH {_HITS}, a AS (
+  SELECT query, parent_id AS id, max(score) AS score, min(rank) AS place, least(count(*), 5) AS n FROM hits WHERE query % 300 = 0 AND query % 900 <> 0 AND rank % 4 <> 0 GROUP BY query, parent_id
+  UNION ALL SELECT query, id::VARCHAR, score, rank, 1 FROM hits WHERE query % 300 = 100 AND rank <= 5)
+SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, place)::INT AS rank, n::INT AS n_children, round(score, 6) AS score FROM a""")
+def tiered_parents(spark, sf):
+    """Parents of child hits, or of the pieces of relaxed hits; none of a query whose search failed or found nothing."""
+    hits = _child_hits(spark, sf).withColumn("id", F.col("id").cast("string"))
+    q = vector_queries(spark, sf).select("query")
+    child = hits.where("query % 300 = 0").withColumn("parent_id", F.when(F.col("rank") % 4 == 0, "").otherwise(F.col("parent_id")))
+    wide = hits.where("query % 300 = 100").withColumn("parent_id", F.lit(""))
+    _, parents = merging.tiered(q, child, wide, q.where("query % 900 = 0"))
+    return parents.select("query", "id", F.col("rank").cast("int").alias("rank"), F.size("children_ids").alias("n_children"), r6(F.col("score"), "score"))
+
+
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 > 0")
 def child_rows(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 > 0, "p").alias("parent_id"), F.lit("child").alias("chunk_type"))

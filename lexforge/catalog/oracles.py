@@ -211,13 +211,13 @@ SELECT doc_id, length(fragment)::INT AS n, fragment FROM f""",
 SELECT item_id AS query, 'query:v3:' || sha256('[' || to_json(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''))::VARCHAR || ', null, "direct", []]') AS key FROM benchmark""",
     "html_article_text": r"""
 WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM pages),
-t AS (SELECT page_id, list_transform(regexp_split_to_array(a, '(?s)<!--.*?-->|<[a-zA-Z/][^>]*>'), lambda x: replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&')) AS t FROM a)
+t AS (SELECT page_id, list_transform(regexp_split_to_array(a, '(?s)<!--.*?-->|<[a-zA-Z/][^>]*>'), lambda x: replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&lt', '<'), '&gt;', '>'), '&gt', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '&amp', '&')) AS t FROM a)
 SELECT page_id, array_to_string(list_filter(list_transform(t, lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> ''), chr(10)) AS text FROM t""",
     "html_article_markdown": r"""
 WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM pages),
-h AS (SELECT page_id, title, trim(replace(replace(replace(replace(replace(replace(regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), ' ' || chr(10)) AS h1, regexp_replace(a, '(?s)^.*?</h1>', '') AS rest FROM a),
+h AS (SELECT page_id, title, trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&lt', '<'), '&gt;', '>'), '&gt', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '&amp', '&'), ' ' || chr(10)) AS h1, regexp_replace(a, '(?s)^.*?</h1>', '') AS rest FROM a),
 m AS (SELECT page_id, title, CASE WHEN h1 = title OR h1 = '' THEN '' ELSE '## ' || h1 || chr(10) || chr(10) END
-  || replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(rest, '</?p>', chr(10) || chr(10), 'g'), '<br>', chr(10), 'g'), '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') AS m FROM h)
+  || replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(rest, '</?p>', chr(10) || chr(10), 'g'), '<br>', chr(10), 'g'), '</?b>', '', 'g'), '&lt;', '<'), '&lt', '<'), '&gt;', '>'), '&gt', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '&amp', '&') AS m FROM h)
 SELECT page_id, '# ' || title || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(m, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') || chr(10) AS markdown FROM m""",
     "markdown_normalized": r"""
 SELECT doc_id, regexp_replace('# a' || regexp_replace(chr(10) || chr(10) || coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '\s+$', '') AS content FROM documents""",
