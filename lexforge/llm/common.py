@@ -218,3 +218,22 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
     if rest is not None:
         yield rest
     trim()
+
+
+def join_by_share(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each value of ``key`` (null is a value) and in
+    ``count`` how many of the rows have it.
+
+    Values that more than one row in ``share`` has are fewer than ``share``, so they are sent to every task;
+    all others meet their rows by a shuffle in which no value is hot. ``table`` is read three times: have it written.
+    """
+    total = table.agg(F.sum(count).alias("_total"))  # one row
+    body = F.struct(*[F.col(c) for c in table.columns if c not in (key, count)]).alias("_body")
+    parts = table.join(F.broadcast(total)).select(F.col(key).alias("_key"), body, (F.col(count) * share > F.col("_total")).alias("_hot"))
+    hot = parts.where("_hot").select(F.col("_key").alias("_hot_key"), F.col("_body").alias("_hot_body"), F.lit(True).alias("_met"))
+    cold = parts.where("not _hot").select("_key", "_body", F.lit(0).cast("long").alias("_cold"))
+    met = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+    # rows that have met theirs look for nothing, and are spread over all tasks
+    met = met.withColumn("_spread", F.when(F.col("_met"), 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(1 << 20))).otherwise(F.lit(0)).cast("long"))
+    out = met.join(cold, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_spread") == F.col("_cold")), "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col("_hot_body")[c], F.col("_body")[c]).alias(c) for c in table.columns if c not in (key, count)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factor_quality, kneser_ney, language_spans, mixing, near_text, near_vectors, packing, quality_rules, secret_scan, site_style
+from . import factor_quality, fill_middle, kneser_ney, language_spans, mixing, near_text, near_vectors, packing, quality_rules, secret_scan, site_style, url_filter, vector_codes
 from .common import bucket_of
 from .sql import ORACLES
 
@@ -76,6 +76,28 @@ def op10_vector_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.classify(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors, those of their labels, and the codebooks' digest."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every document is cut, and digests of its output and of the text rebuilt from that."""
+    out = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+#: The rules that op13 is to follow.
+URL_RULES = [url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
+
+
+def op13_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by the rules or by its host's reputation among labelled pages."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.page_outcomes(pages, _table(spark, sf_dir, "labels")), URL_RULES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over ``documents``."""
     import corpus_pipeline
@@ -84,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_temperature_mix, op2_secret_scan, op3_quality_rules, op4_best_fit_packing, op5_factor_quality, op6_language_spans, op7_kneser_ney, op8_site_style, op9_minhash_near, op10_vector_near, pipeline)
+    ops = (op1_temperature_mix, op2_secret_scan, op3_quality_rules, op4_best_fit_packing, op5_factor_quality, op6_language_spans, op7_kneser_ney, op8_site_style, op9_minhash_near, op10_vector_near, op11_vector_codes, op12_fill_middle, op13_url_reputation, pipeline)
     return {f.__name__: f for f in ops}
 
 
