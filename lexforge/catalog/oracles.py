@@ -172,7 +172,8 @@ SELECT p.query, faq.id AS faq_id, faq.answer, 0.95::DOUBLE AS confidence, 'faq'
 FROM p JOIN faq ON p.doc = faq.id JOIN benchmark b ON p.query = b.item_id
 WHERE p.rank = 1 AND p.p >= 0.5 AND {_TRIM.format('b.text')} = {_TRIM.format('faq.question')}""",
     "faq_category_stats": "SELECT event_type AS category, count(*) AS n, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY) AS recent FROM events GROUP BY event_type",
-    "faq_upsert": f"WITH {_FAQ} SELECT id, question, CASE WHEN length(question) < 80 THEN 'new' ELSE answer END AS answer FROM faq WHERE length(question) < 80 OR length(question) >= 120",
+    "faq_upsert": f"WITH {_FAQ} SELECT id, question, CASE WHEN length(question) < 80 THEN 'new' WHEN length(question) < 140 THEN 'old' ELSE answer END AS answer FROM faq WHERE length(question) < 80 OR length(question) >= 120",
+    "bm25_best_all_pairs": f"WITH {_bm25('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text')} SELECT query, count(*) AS n, round(max(score), 6) AS best FROM bm25 GROUP BY query",
     "dense_topk": f"WITH {_DENSE_ALL} SELECT query, doc, rank::INT AS rank, round(score, 6) AS score FROM dense",
     "dense_topk_filtered": f"WITH {_DENSE.replace('{where}', 'AND v.label = 3')} SELECT query, doc, rank::INT AS rank, round(score, 6) AS score FROM dense",
     "sparse_topk": f"""

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import parsing, scores as sc, text as tx
-from ..operators import cache, chunking, cleaning, evaluation, html_text, lexical, merging, sampling, sessions, vectors
+from ..functions import models, parsing, scores as sc, text as tx
+from ..operators import cache, chunking, cleaning, evaluation, html_text, inverted, lexical, merging, sampling, sessions, vectors
 from ..plans import ingest, retrieve, route
+from ..shared import written
 from ..sources import corpus, reports, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,20 +189,27 @@ def bm25_idf(spark, sf):
     return out.select("token", "df", r6(F.col("idf"), "idf"))
 
 
-def _bm25(spark, sf):
+def _bm25(spark, sf, k=5):
     d, q = documents(spark, sf), questions(spark, sf)
-    return lexical.scores(d, q, "doc_id", "content", "query", "question")
+    return lexical.ranked(d, q, "doc_id", "content", "query", "question", k)
 
 
 @query
 def bm25_top5(spark, sf):
-    return lexical.top(_bm25(spark, sf), 5).select("query", "doc", "rank", r6(F.col("score"), "score"))
+    return _bm25(spark, sf).select("query", "doc", "rank", r6(F.col("score"), "score"))
+
+
+@query
+def bm25_best_all_pairs(spark, sf):
+    """Every pair of a question and a document that share a token is scored, and summed up by question."""
+    pairs = lexical.scores(documents(spark, sf), questions(spark, sf), "doc_id", "content", "query", "question")
+    return pairs.groupBy("query").agg(F.count(F.lit(1)).alias("n"), r6(F.max("score"), "best"))
 
 
 @query
 def bm25_softmax(spark, sf):
     d = documents(spark, sf)
-    out = lexical.softmax_top(_bm25(spark, sf), lexical.corpus(d, "content"))
+    out = lexical.softmax_top(_bm25(spark, sf).drop("rank"), lexical.corpus(d, "content"))
     return out.select("query", "doc", "rank", r6(F.col("probability"), "probability"))
 
 
@@ -218,7 +227,7 @@ def faq_exact_gate(spark, sf):
 @query
 def faq_ranked_gate(spark, sf):
     q, faq = questions(spark, sf), _faq(spark, sf)
-    ranked = lexical.scores(faq, q, "id", "indexed", "query", "question")
+    ranked = lexical.ranked(faq, q, "id", "indexed", "query", "question", 5).drop("rank")
     return lexical.faq_answers(q, faq, lexical.softmax_top(ranked), Settings(faq_threshold=0.5)).select("query", "faq_id", "answer", "confidence", "intent", "strategy", "cache_key")
 
 
@@ -232,8 +241,9 @@ def faq_category_stats(spark, sf):
 @query
 def faq_upsert(spark, sf):
     faq = _faq(spark, sf).select("id", "question", "answer")
-    changes = faq.where(F.length("question") < 120).select("id", "question", F.lit("new").alias("answer"), F.when(F.length("question") < 80, "put").otherwise("delete").alias("op"))
-    return lexical.upsert(faq, changes)
+    old = faq.where(F.length("question") < 140).select("id", "question", F.lit("old").alias("answer"), F.lit("put").alias("op"), F.lit(1).alias("seq"))
+    new = faq.where(F.length("question") < 120).select("id", "question", F.lit("new").alias("answer"), F.when(F.length("question") < 80, "put").otherwise("delete").alias("op"), F.lit(2).alias("seq"))
+    return lexical.upsert(faq, new.unionByName(old))
 
 
 # -------------------------------------------------------- vectors (D)
@@ -260,8 +270,20 @@ def _weights(df, key, text_col, name):
 
 @query
 def sparse_topk(spark, sf):
-    out = vectors.sparse_scores(_weights(documents(spark, sf), "doc_id", "content", "doc"), _weights(questions(spark, sf), "query", "question", "query"))
-    return lexical.top(out.withColumn("score", F.round("score", 9)), 16).select("query", "doc", "rank", r6(F.col("score"), "score"))
+    d = documents(spark, sf).select(F.col("doc_id").alias("doc"), lexical.tokens_of(F.col("content")).alias("tokens"))
+    asked = written(_weights(questions(spark, sf), "query", "question", "query"), "asked")
+    blocks = written(inverted.build(d, asked, np.log1p), "blocks")
+    return lexical.top(inverted.search(blocks, asked, 16), 16).select("query", "doc", "rank", r6(F.col("score"), "score"))
+
+
+@query
+def sparse_map_topk(spark, sf):
+    """Maps of a token's hash to its weight, as a sparse model gives them; a fifth of a query's lightest tokens is dropped."""
+    weights = lambda c: models.model("sparse")(F.col(c))
+    d = documents(spark, sf).select("doc_id", weights("content").alias("w"))
+    q = questions(spark, sf).select("query", weights("question").alias("w"))
+    out = vectors.sparse_top(d, q, "doc_id", "w", "query", "w", k=16, drop=0.2)
+    return out.select("query", "doc", "rank", r6(F.col("score"), "score"))
 
 
 @query
@@ -269,8 +291,9 @@ def hybrid_fusion_topk(spark, sf):
     """Dense scores of vectors, and as the sparse branch BM25 of the documents of the same number."""
     dense = _dense(spark, sf)
     q = table(spark, sf, "benchmark").select((F.col("item_id") * 100).alias("query"), F.col("text").alias("question"))
-    sparse = lexical.scores(documents(spark, sf), q, "doc_id", "content", "query", "question")
-    both = vectors.fuse(dense, sparse.join(vector_queries(spark, sf).select("query"), "query", "left_semi"))
+    q = q.join(vector_queries(spark, sf).select("query"), "query", "left_semi")
+    sparse = lexical.ranked(documents(spark, sf), q, "doc_id", "content", "query", "question", 16).drop("rank")
+    both = vectors.fuse(dense.drop("rank"), sparse)
     return both.withColumn("score", F.round("score", 6)).select("query", "doc", "score")
 
 

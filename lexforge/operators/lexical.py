@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..config import DEFAULT, Settings
 from ..functions.text import normalize_query, same_question, utokens
 from ..shared import written
+from . import inverted
 
 
 def tokens_of(text: Column) -> Column:
@@ -63,6 +64,17 @@ def scores(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, quer
     return joined.groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))  # ties must not hang on the order of a sum
 
 
+def ranked(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, rule: Settings = DEFAULT, tokens=tokens_of) -> DataFrame:
+    """(query, doc, score, rank): the ``k`` best documents of each query by BM25, as the best of ``scores``.
+
+    Documents become blocks of postings of the queries' tokens, written once; a task keeps ``k`` hits a query.
+    """
+    asked = written(query_tokens(queries, query_id, query_text, tokens), "asked")
+    rows = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("tokens"))
+    blocks = written(inverted.build(rows, asked), "blocks")
+    return top(inverted.bm25(blocks, asked, k, rule), k)
+
+
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query",), order: tuple[Column, ...] | None = None) -> DataFrame:
     """The first ``k`` rows of each group, with ``rank`` from 1; ties go to the smallest doc."""
     order = order or (F.desc("score"), F.asc("doc"))
@@ -107,6 +119,14 @@ def exact_matches(questions: DataFrame, faq: DataFrame) -> DataFrame:
     return left.join(right, "_k").select("query", "faq_id", "answer")
 
 
+def last_by_key(rows: DataFrame, key: str, *ties: Column) -> DataFrame:
+    """One row of each key, the last by the column ``seq`` if there is one, then by ``ties``; one row a key on each side of the shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    order = F.struct(*([F.col("seq").alias("s")] if "seq" in rows.columns else []), *[c.alias(f"t{i}") for i, c in enumerate(ties)])
+    last = rows.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max_by(row, order).alias("_row"))
+    return last.select(*[F.col("_row")[c].alias(c) for c in rows.columns])
+
+
 def faq_stats(faq: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """(category, n, recent): entries a category and those of the last days, the largest first."""
     recent = F.count_if(F.col("created_at") >= now - F.make_interval(days=F.lit(days)))
@@ -114,6 +134,11 @@ def faq_stats(faq: DataFrame, now: Column, days: int = 7) -> DataFrame:
 
 
 def upsert(faq: DataFrame, changes: DataFrame) -> DataFrame:
-    """``faq`` with rows of ``changes`` (same columns and ``op``: put or delete) applied by id."""
-    kept = faq.join(changes.select("id"), "id", "left_anti")
-    return kept.unionByName(changes.where("op = 'put'").select(*faq.columns))
+    """``faq`` with rows of ``changes`` (same columns and ``op``: put or delete) applied by id.
+
+    Of several changes of one id the last by ``seq`` counts; without that column, or where it ties,
+    a delete goes before a put and the puts in order of their values. Changes without an id are ignored.
+    """
+    last = last_by_key(changes.where("id is not null"), "id", F.col("op") == "put", *[F.col(f"`{c}`") for c in faq.columns if c != "id"])
+    kept = faq.join(last.select("id"), "id", "left_anti")
+    return kept.unionByName(last.where("op = 'put'").select(*faq.columns))

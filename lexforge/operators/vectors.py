@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
 from ..shared import written
+from . import inverted
 from .lexical import top
 
 #: Most bytes of query vectors that are sent to every task; more queries go in several such blocks.
@@ -95,13 +96,30 @@ def sparse_scores(docs: DataFrame, queries: DataFrame, drop: float = 0.0) -> Dat
 
     ``drop``: this part of each query's tokens, those of the least weight (ties by token), is not searched for.
     """
-    q = queries.select("query", "token", F.col("weight").alias("query_weight"))
-    if drop:
-        w = Window.partitionBy("query")
-        q = q.withColumn("_k", F.row_number().over(w.orderBy("query_weight", "token"))).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_k") > F.floor(F.lit(drop) * F.col("_n"))).drop("_k", "_n")
+    q = kept_weights(queries, drop).select("query", "token", F.col("weight").alias("query_weight"))
     return docs.join(q, "token").groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
+def sparse_top(docs: DataFrame, queries: DataFrame, doc_id: str, doc_weights: str, query_id: str, query_weights: str, k: int = DEFAULT.top_retrieve, drop: float = 0.0) -> DataFrame:
+    """(query, doc, score, rank): the ``k`` largest inner products of maps (token to weight); weights that are not above 0 don't count.
+
+    Rows become blocks of postings of the queries' tokens, written once; a task keeps ``k`` hits a
+    query and skips blocks that cannot reach them. ``drop`` as in ``sparse_scores``.
+    """
+    asked = written(kept_weights(exploded_weights(queries, query_id, query_weights, "query"), drop).select("query", F.col("token").cast("string").alias("token"), "weight"), "asked")
+    rows = docs.select(F.col(doc_id).alias("doc"), F.map_keys(doc_weights).cast("array<string>").alias("tokens"), F.map_values(doc_weights).cast("array<double>").alias("weights"))
+    return top(inverted.search(written(inverted.build(rows, asked), "blocks"), asked, k), k)
+
+
+def kept_weights(queries: DataFrame, drop: float = 0.0) -> DataFrame:
+    """(query, token, weight) without the ``drop`` part of each query's tokens, those of the least weight (ties by token)."""
+    if not drop:
+        return queries
+    w = Window.partitionBy("query")
+    numbered = queries.withColumn("_k", F.row_number().over(w.orderBy("weight", "token"))).withColumn("_n", F.count(F.lit(1)).over(w))
+    return numbered.where(F.col("_k") > F.floor(F.lit(drop) * F.col("_n"))).drop("_k", "_n")
+
+
 def exploded_weights(df: DataFrame, id_col: str, weights_col: str, name: str = "doc") -> DataFrame:
     """(id, token, weight) of a map column; only positive weights count."""
     return df.select(F.col(id_col).alias(name), F.explode(weights_col).alias("token", "weight")).where("weight > 0")
