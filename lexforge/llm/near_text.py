@@ -98,6 +98,17 @@ def signatures(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return tokens
 
 
+def _names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two numbers a run of shingles, by which its set is known; zero for an empty run."""
+    full = np.diff(first) > 0
+    keys = np.zeros((2, len(full)), np.uint64)
+    if full.any():
+        at = first[:-1][full]
+        keys[0, full] = np.add.reduceat(h, at)
+        keys[1, full] = np.bitwise_xor.reduceat(h * np.uint64(0xD6E8FEB86659FD93), at)
+    return keys.view(np.int64)
+
+
 def _signed(df: DataFrame, rule: Near) -> DataFrame:
     """(id, n, k1, k2, sig) of each row of (id, text); k1 and k2 name the set."""
     kind = df.schema["id"].dataType.simpleString()
@@ -106,29 +117,28 @@ def _signed(df: DataFrame, rule: Near) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, first = shingle_sets(*text_words(part.column(1)), rule.shingle)
-                n = np.diff(first)
-                full = n > 0
-                keys = np.zeros((2, len(n)), np.uint64)
-                if full.any():
-                    at = first[:-1][full]
-                    keys[0, full] = np.add.reduceat(h, at)
-                    keys[1, full] = np.bitwise_xor.reduceat(h * np.uint64(0xD6E8FEB86659FD93), at)
+                n, keys = np.diff(first), _names(h, first)
                 sig = pa.FixedSizeListArray.from_arrays(pa.array(signatures(h, first, rule.coordinates).reshape(-1)), rule.coordinates).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), sig], names=["id", "n", "k1", "k2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), sig], names=["id", "n", "k1", "k2", "sig"])
 
     return df.mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, sig array<long>")
 
 
 def _sets(df: DataFrame, rule: Near) -> DataFrame:
-    """(rep, shingles, sketch) of each row of (rep, text), as bytes: the sorted set, and one byte of each of more least values."""
+    """(rep, shingles, sketch) of rows (rep, text, k1, k2), as bytes: the sorted set, and one byte of each of more least values.
+
+    A row whose text has another set than the one that k1 and k2 name is left out: its id has several texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, first = shingle_sets(*text_words(part.column(1)), rule.shingle)
+                keys = _names(h, first)
+                own = (keys[0] == part.column(2).to_numpy()) & (keys[1] == part.column(3).to_numpy())
                 blobs = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 sketch = [x.tobytes() for x in _least(h, first, rule.sketch, 19970611).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), pa.array(sketch, pa.binary())], names=["rep", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), pa.array(sketch, pa.binary())], names=["rep", "shingles", "sketch"]).filter(pa.array(own))
 
     return df.mapInArrow(run, f"rep {df.schema['rep'].dataType.simpleString()}, shingles binary, sketch binary")
 
@@ -229,8 +239,8 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     reachable by links (its own included), and whether that is its own.
 
     Texts that are null or have no word have empty sets and link with nothing. A null id links
-    with nothing, has a null component and is kept. Rows that repeat an id (and so its text)
-    are classed each, and kept alike. Ids are integers. A pair at the very threshold links; of
+    with nothing, has a null component and is kept. Rows that repeat an id are classed each, by
+    their own text; those of one text cost no more than one row once sets are made. Ids are integers. A pair at the very threshold links; of
     equal ids none is smaller, so there is no tie to break. An empty table gives an empty one.
     Other columns are dropped, so names cannot clash. A text is read whole: a worker holds a
     slice of texts or the longest one, with about 100 bytes a word of it.
@@ -241,7 +251,8 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     signed = space.stow(_signed(docs, rule), "signed")
 
     sets = signed.where("id is not null and n > 0")
-    classes = space.stow(sets.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = sets.groupBy("k1", "k2", "n").agg(F.min("id").alias("least"), F.first("sig").alias("sig"))
+    classes = space.stow(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers hold, since they are written
     tokens = classes.select("rep", F.explode("sig").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = tokens.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("posts"))  # one a coordinate at most
@@ -259,8 +270,12 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     sig = found.select("rep", "sig")
     near = near.join(sig.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "y"}), "b").where(_agree("x", "y") >= rule.matches).select("a", "b")
     # a hash of ids is built and texts stream by it: they need no sort
-    texts = docs.join(found.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id").select(F.col("id").alias("rep"), "text")
+    wanted = found.select("rep").join(classes.select("rep", F.col("least").alias("id"), "k1", "k2"), "rep")
+    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("rep", "text", "k1", "k2")
     full = space.stow(_sets(texts, rule), "sets")
+    if full.count() > found.count():  # repeated rows: one set a class goes on
+        repeated, full = full, space.stow(full.dropDuplicates(["rep"]), "sets-once")
+        space.drop(repeated)
     measured = space.stow(_measured(near, full, rule), "measured")
     links = measured.where("link").select("a", "b")
 
@@ -278,7 +293,9 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     for done in (measured, more):
         space.drop(done)
 
-    named = classes.select("k1", "k2", "n", "rep").join(groups, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
+    lowest = groups.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("lowest"))
+    named = classes.select("k1", "k2", "n", "rep", "least").join(groups.join(lowest, "component").select("rep", "lowest"), "rep", "left")
+    named = named.select("k1", "k2", "n", F.coalesce("lowest", "least").alias("component"))
     out = signed.select("id", "n", "k1", "k2").join(named.withColumnRenamed("n", "n2"), ["k1", "k2"], "left").where("n2 is null or n = n2 or n = 0")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
     component = F.when(F.col("id").isNotNull(), component)

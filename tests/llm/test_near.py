@@ -96,6 +96,37 @@ def test_text_edges(spark):
     assert near_text.classify(df.limit(0), "id").count() == 0
 
 
+def test_repeated_rows_make_one_set(spark, monkeypatch):
+    """Rows that repeat an id add nothing to the lists: k rows of two near texts post what one row of each does."""
+    random.seed(11)
+    base = words(200)
+    near = [*base[:190], "x", *base[191:]]
+    sizes, stow = {}, Workspace.stow
+
+    def counted(self, df, name):
+        out = stow(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "stow", counted)
+    seen = []
+    for k in (1, 10, 1000):
+        rows = [(1, " ".join(base)), (2, " ".join(near))] * k
+        got = near_text.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == 2 * k and {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False)}
+        seen.append((sizes["posted"], sizes["classes"], sizes["found"]))
+    assert len(set(seen)) == 1
+
+
+def test_an_id_with_several_texts(spark):
+    """Each row goes by its own text; another text under the same id adds no link to it."""
+    random.seed(12)
+    a, b = words(120), words(120)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (7, " ".join([*a, "end"])), (3, " ".join([*b, "end"])), (9, " ".join(words(80)))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_text.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 117, 3), (5, 116, 3), (5, 116, 3), (5, 116, 5), (7, 117, 5), (9, 76, 9)]
+
+
 def test_thin_with_any_names(spark):
     rows = [(1, "a b c d e f", "x", "y", 3), (2, "A b c d e f", "x", "y", 3), (3, None, "x", "y", 3), (None, "a b c d e f", "x", "y", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, gone string, gone_ int")
