@@ -694,7 +694,8 @@ def cache_alive(spark, sf):
 def cache_put_get(spark, sf):
     now = F.lit("2020-01-01 00:00:00").cast("timestamp")
     rows = table(spark, sf, "events").where("value < 20").select(F.concat(F.lit("k"), F.col("event_id")).alias("key"), F.lit("new").alias("value"))
-    after = cache.put(cache.delete_prefix(_cache(spark, sf, now), "k9"), rows, now)
+    twice = rows.withColumn("seq", F.lit(2)).unionByName(rows.select("key", F.lit("older").alias("value"), F.lit(1).alias("seq")))  # the last write wins
+    after = cache.put(cache.delete_prefix(_cache(spark, sf, now), "k9"), twice, now)
     keys = table(spark, sf, "events").select(F.concat(F.lit("k"), F.col("event_id")).alias("key"))
     return cache.get(after, keys, now)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.text import normalize_query
+from .lexical import last_by_key
 
 #: Key, value as JSON, and when it expires; null: never.
 SCHEMA = "key string, value string, expires_at timestamp"
@@ -38,9 +39,13 @@ def alive(table: DataFrame, now: Column) -> DataFrame:
 
 
 def put(table: DataFrame, rows: DataFrame, now: Column, ttl: int = DEFAULT.cache_ttl) -> DataFrame:
-    """``table`` with (key, value) rows in place of what their keys had; a ttl of 0 or less never expires."""
+    """``table`` with (key, value) rows in place of what their keys had; a ttl of 0 or less never expires.
+
+    Of several rows of a key the last by ``seq`` counts; without that column, or where it ties, the
+    greatest value. Rows without a key are ignored.
+    """
     expires = F.lit(None).cast("timestamp") if ttl <= 0 else now + F.make_interval(secs=F.lit(ttl))
-    fresh = rows.select("key", "value", expires.alias("expires_at"))
+    fresh = last_by_key(rows.where("key is not null"), "key", F.col("value")).select("key", "value", expires.alias("expires_at"))
     return table.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
 
 
@@ -66,8 +71,13 @@ def increment(table: DataFrame, amounts: DataFrame, now: Column) -> DataFrame:
 
 
 def hash_set(table: DataFrame, fields: DataFrame) -> DataFrame:
-    """Fields (key, field, value) merged into JSON objects, one object a key."""
+    """Fields (key, field, value) merged into JSON objects, one object a key.
+
+    Of several values of a field the last by ``seq`` counts; without that column, or where it ties, the
+    greatest. Fields without a key or a name are ignored. An object is one value, so its fields are in one row.
+    """
     kind = "map<string,string>"
+    fields = last_by_key(fields.where("key is not null and field is not null"), ("key", "field"), F.col("value"))
     new = fields.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("value").alias("v")))).alias("n"))
     both = new.join(table, "key", "left")
     kept = F.map_filter(F.coalesce(F.from_json("value", kind), F.create_map().cast(kind)), lambda k, v: ~F.map_contains_key("n", k))
@@ -76,8 +86,11 @@ def hash_set(table: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def list_push(table: DataFrame, items: DataFrame) -> DataFrame:
-    """Items (key, seq, item) appended in order to JSON lists, one list a key."""
-    new = items.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "item"))), lambda x: x["item"]).alias("n"))
+    """Items (key, seq, item) appended in order to JSON lists, one list a key; where seq ties, in order of the items.
+
+    A list is one value, so its items are in one row. Items without a key are ignored.
+    """
+    new = items.where("key is not null").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "item"))), lambda x: x["item"]).alias("n"))
     out = new.join(table, "key", "left").select("key", F.to_json(F.concat(F.coalesce(F.from_json("value", "array<string>"), F.array().cast("array<string>")), "n")).alias("value"), "expires_at")
     return table.join(new.select("key"), "key", "left_anti").unionByName(out)
 

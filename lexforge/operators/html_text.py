@@ -129,6 +129,8 @@ TAGS = frozenset(
 )
 #: Fixed value: the heading of a column without one, and its number.
 COLUMN = "列"
+#: The greatest spans that HTML knows.
+SPANS = {"colspan": 1000, "rowspan": 65534}
 BLOCKS = ("p", "div", "section", "blockquote", "dl", "figure", "figcaption")
 
 
@@ -241,8 +243,9 @@ def _caption(writer: Writer, own: _Open, inner: str) -> str:
 
 
 def _times(cell: _Open, name: str) -> int:
+    """A span as written, at most as many as HTML allows."""
     value = cell.attrs.get(name, "").strip()
-    return max(1, int(value)) if value.isdecimal() else 1
+    return min(max(1, int(value.lstrip("0")[:6] or 0)), SPANS[name]) if value.isdecimal() else 1
 
 
 def _table(writer: Writer, own: _Open, inner: str) -> str:

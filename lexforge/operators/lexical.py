@@ -119,11 +119,12 @@ def exact_matches(questions: DataFrame, faq: DataFrame) -> DataFrame:
     return left.join(right, "_k").select("query", "faq_id", "answer")
 
 
-def last_by_key(rows: DataFrame, key: str, *ties: Column) -> DataFrame:
+def last_by_key(rows: DataFrame, key: str | tuple[str, ...], *ties: Column) -> DataFrame:
     """One row of each key, the last by the column ``seq`` if there is one, then by ``ties``; one row a key on each side of the shuffle."""
+    keys = (key,) if isinstance(key, str) else key
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     order = F.struct(*([F.col("seq").alias("s")] if "seq" in rows.columns else []), *[c.alias(f"t{i}") for i, c in enumerate(ties)])
-    last = rows.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max_by(row, order).alias("_row"))
+    last = rows.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, order).alias("_row"))
     return last.select(*[F.col("_row")[c].alias(c) for c in rows.columns])
 
 

@@ -33,6 +33,18 @@ def test_cache_table(spark):
     assert pushed.first().value == '["a","b","c"]'
 
 
+def test_cache_repeated_keys(spark):
+    """The last write of a key or a field wins, by seq, then by value; rows without a key are ignored."""
+    empty = spark.createDataFrame([], cache.SCHEMA)
+    rows = spark.createDataFrame([("a", "9", 1), ("a", "1", 2), ("a", "0", 2), ("b", None, 1), (None, "x", 1)], "key string, value string, seq int")
+    assert sorted((r.key, r.value) for r in cache.put(empty, rows, now()).collect()) == [("a", "1"), ("b", None)]
+    assert [r.value for r in cache.put(empty, rows.where("key = 'a'").drop("seq"), now()).collect()] == ["9"]
+    fields = spark.createDataFrame([("h", "f", "z", 1), ("h", "f", "y", 3), ("h", "f", "x", 3), ("h", "g", "1", 1), ("h", None, "1", 1), (None, "f", "1", 1)], "key string, field string, value string, seq int")
+    h = cache.hash_set(empty, fields)
+    assert [r.m for r in h.select(F.from_json("value", "map<string,string>").alias("m")).collect()] == [{"f": "y", "g": "1"}]
+    assert cache.hash_set(h, fields.limit(0)).collect() == h.collect()
+
+
 def test_sessions(spark):
     rows = [("s", i, datetime(2024, 1, 1) + timedelta(minutes=i // 2), f"q{i}", "a") for i in range(8)] + [("t", 1, datetime(2024, 1, 1), "q", "a")]
     df = spark.createDataFrame(rows, "session_id string, id int, timestamp timestamp, question string, answer string")
