@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models, parsing, text as tx
-from ..operators import cache, cleaning, evaluation, html_text, merging, sampling, sessions, vectors
+from ..operators import cache, cleaning, evaluation, html_text, inverted, merging, sampling, sessions, vectors
 from ..plans import ingest, route
 from ..shared import Workspace
 from ..sources import files
@@ -289,7 +289,7 @@ def files_ingested(spark, sf):
 
 def _letters(spark, sf):
     """Each document's runs of letters A to Z, those of the whole text."""
-    return documents(spark, sf).select("doc_id", F.regexp_extract_all("content", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    return inverted.spread(documents(spark, sf).select("doc_id", "content")).select("doc_id", F.regexp_extract_all("content", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
 
 
 _LETTERS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents)"
@@ -318,7 +318,7 @@ def tables_of_documents(spark, sf):
     return _letters(spark, sf).select("doc_id", html_text.markdown_text(table_).alias("content"))
 
 
-@query("SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1), lambda x: '- ' || x), chr(10)) AS menu FROM pages")
+@query("SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1), lambda x: '- ' || x), chr(10) || chr(10)) AS menu FROM pages")
 def page_menus(spark, sf):
     """The list of links in each page's menu as a Markdown list of their names."""
     menu = F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<nav>(.*?)</nav>", 1)
