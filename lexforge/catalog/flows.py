@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models, parsing, text as tx
-from ..operators import cache, cleaning, evaluation, html_text, inverted, merging, sampling, sessions, vectors
+from ..operators import cache, cleaning, evaluation, html_text, inverted, ivf, merging, sampling, sessions, vectors
 from ..plans import ingest, route
 from ..shared import Workspace
 from ..sources import files
 from . import oracles
-from .oracles import _HITS, _METRICS, _PAIRS, _tokens
-from .queries import _child_hits, _metric_rows, _pairs, _weights, documents, questions, r6, score_rows, table, vector_queries
+from .oracles import _DENSE, _DENSE_ALL, _HITS, _METRICS, _PAIRS, _tokens
+from .queries import _child_hits, _metric_rows, _pairs, _weights, documents, questions, r6, score_rows, table, vector_queries, vector_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -227,6 +227,30 @@ def service_health(spark, sf):
     return route.health(spark, {"store": lambda: table(spark, sf, "region").limit(1).count() == 1, "cache": broken})
 
 
+# ---------------------------------------------------------------- vectors by lists
+
+def _ivf(spark, sf, probes=None, where=None):
+    index = ivf.build(vector_rows(spark, sf), "id", "embedding")
+    probes = probes or max(ivf.Lists.probes, ivf.probes_for(index, spark))
+    out = ivf.search(index, vector_queries(spark, sf), "query", "embedding", probes=probes, where=where)
+    return out.select("query", "doc", "rank", r6(F.col("score"), "score"))
+
+
+@query()  # which lists are read is k-means' choice: tests measure recall
+def ivf_topk(spark, sf):
+    return _ivf(spark, sf)
+
+
+@query(f"WITH {_DENSE_ALL} SELECT query, doc, rank::INT AS rank, round(score, 6) AS score FROM dense")
+def ivf_all_lists_topk(spark, sf):
+    return _ivf(spark, sf, ivf.Lists.count)
+
+
+@query(f"WITH {_DENSE.replace('{where}', 'AND v.label = 3')} SELECT query, doc, rank::INT AS rank, round(score, 6) AS score FROM dense")
+def ivf_filtered_topk(spark, sf):
+    return _ivf(spark, sf, ivf.Lists.count, F.col("label") == 3)
+
+
 # ----------------------------------------------------------------- retrieval
 
 @query(f"""

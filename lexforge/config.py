@@ -22,6 +22,8 @@ class Settings:
     answer_without_context: bool = False
     alert_level: int = 1
     embed_dim: int = 1024
+    nlist: int = 256
+    nprobe: int = 16
     k1: float = 1.2
     b: float = 0.75
 
