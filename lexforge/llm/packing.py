@@ -21,10 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, sorted_groups
 
 
+#: Most copies of a text that one row stands for when copies become rows again.
+COPIES = 1 << 14
+
+
 @dataclass(frozen=True)
 class Bins:
     """Permitted lengths, and the cost of a bin: ``fixed`` tokens, its length, and
@@ -80,6 +85,22 @@ def pack(sizes: np.ndarray, bins: Bins) -> tuple[np.ndarray, np.ndarray, np.ndar
     return bin_of, at, shrunk[bin_of] if len(shrunk) else at
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(_id, copy, _n): ``copy`` numbers the rows of an id from 0, the longest first.
+
+    Rows alike are counted before they meet, so an id has a row a length however often it repeats. A
+    length's copies are a range of numbers that begins after the longer ones'; ranges are
+    dealt to all tasks in parts of ``COPIES`` and only there become rows again.
+    """
+    alike = rows.groupBy("_id", "_n").agg(F.count(F.lit(1)).alias("k"))
+    longer = Window.partitionBy("_id").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = alike.withColumn("first", F.coalesce(F.sum("k").over(longer), F.lit(0)))
+    zero = F.lit(0).cast("long")
+    parts = ranges.select("_id", "_n", "k", "first", F.explode(F.sequence(zero, F.expr(f"(k - 1) div {COPIES}"))).alias("part"))
+    begin, end = F.col("part") * COPIES, F.least((F.col("part") + 1) * COPIES, F.col("k"))
+    return parts.repartition("_id", "_n", "part").select("_id", F.explode(F.sequence(F.col("first") + begin, F.col("first") + end - 1)).alias("copy"), "_n")
+
+
 def best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None, bins: Bins = Bins()) -> DataFrame:
     """One row per piece: the id, ``copy``, ``piece``, its ``start`` and ``length`` in tokens of its text, and
     ``shard, bin, at, capacity``.
@@ -94,13 +115,10 @@ def best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy
     """
     longest = max(bins.lengths)
     tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    copy = F.col(f"`{copy_col}`").cast("int") if copy_col else F.lit(0)
+    copy = F.col(f"`{copy_col}`").cast("long") if copy_col else F.lit(0)
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), copy.alias("copy"), tokens.cast("long").alias("_n"))
     if copy_col is None:
-        # rows alike count before they meet, so an id with many rows is a row or two
-        alike = rows.groupBy("_id", "_n").agg(F.count(F.lit(1)).alias("k")).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "k"))).alias("all"))
-        copies = F.flatten(F.transform("all", lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["k"]), lambda _: -x["n"])))
-        rows = alike.select("_id", F.posexplode(copies).alias("copy", "_n"))
+        rows = _numbered(rows.select("_id", "_n"))
     rows = Workspace(df.sparkSession, "packing").stow(rows, "lengths")
     count = rows.agg(F.sum(F.expr(f"(_n - 1) div {longest} + 1"))).first()[0] or 0
     shards = -(-count // bins.shard_rows) or 1

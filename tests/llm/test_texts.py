@@ -293,6 +293,22 @@ def test_shards_hold_pieces_not_documents(spark):
     assert len(sizes) == 8 and sum(sizes) == 12 * 626 and max(sizes) < 1200
 
 
+def test_copies_are_ranges(spark, monkeypatch):
+    """Many rows of one id, most without an id: numbers are whole, the longest first, and no row stands for more than COPIES."""
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(None, n % 5) for n in range(203)] + [(1, 2), (1, 9), (1, 2), (2, 1)]
+    got = packing._numbered(spark.createDataFrame(rows, "_id long, _n long")).collect()
+    want: dict = {}
+    for i, n in sorted(rows, key=lambda r: -r[1]):
+        want.setdefault(i, []).append(n)
+    assert {i: [r["_n"] for r in sorted((r for r in got if r["_id"] == i), key=lambda r: r["copy"])] for i in want} == want
+    assert all(sorted(r["copy"] for r in got if r["_id"] == i) == list(range(len(want[i]))) for i in want)
+    texts = [(None, "w " * (k % 3)) for k in range(300)] + [(7, "a"), (7, None)]
+    out = packing.best_fit(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len({(r.doc_id, r["copy"], r.piece) for r in out}) == len(out) == 302
+    assert sorted((r.doc_id or 0, r.length) for r in out) == sorted((i or 0, len((t or "").split()) + 1) for i, t in texts)
+
+
 def naive_pack(sizes, bins):
     """Best fit by looking at every open bin; of equal ones the bin that was filled last."""
     touched = []
@@ -388,6 +404,12 @@ def test_gradient():
         z = m.raw(number, value, starts)
         return float(np.sum(np.log1p(np.exp(z)) - label * z))
 
+    for r, z in enumerate(m.raw(number, value, starts)):  # the factorised form against an explicit sum over pairs
+        own = range(starts[r], starts[r + 1])
+        linear = sum(float(m.w[number[i]]) * value[i] for i in own)
+        pairs = sum(float(m.v[number[i]] @ m.v[number[j]]) * value[i] * value[j] for i in own for j in own if i < j)
+        assert abs(z - (m.bias + linear + pairs)) < 1e-9
+
     db, used, dw, dv = m.gradient(number, value, starts, label)
     step, here = 1e-5, loss()
     m.bias += step
