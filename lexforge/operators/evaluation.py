@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -172,12 +176,26 @@ def merge_plain(reports: list[DataFrame], metrics: tuple[str, ...] = METRICS) ->
 PRIME = 2147483647
 
 
-def draw(round_: Column, k: Column, n: Column, seed: int) -> Column:
-    """The place in 0..n-1 that draw ``k`` of a round takes: two squarings modulo a prime, which any engine computes alike."""
-    prime = F.lit(PRIME)
-    x = (round_ * 48271 + k * 69621 + seed) % prime
-    x = (x * x + x * 16807 + k) % prime
-    return (x * x + x * 48271 + round_) % prime % n
+def _below_prime(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME in place, for 0 <= x < 2^63: 2^31 is 1 there, so the bits above the 31st are added to those below."""
+    for _ in range(2):
+        high = x >> 31
+        x &= PRIME
+        x += high
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def draw(round_: int, k: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The places in 0..n-1 that draws ``k`` of a round take: two squarings modulo a prime, which any engine computes alike."""
+    x = _below_prime(k * 69621 + (round_ * 48271 + seed))
+    x = _below_prime(x * x + x * 16807 + k)
+    x = _below_prime(x * x + x * 48271 + round_)
+    return x - x // n * n
+
+
+#: Draws of a round that are computed at a time.
+DRAWS = 1 << 16
 
 
 def paired_bootstrap(diffs: DataFrame, column: str = "diff", rounds: int = 5000, seed: int = 42) -> DataFrame:
@@ -185,18 +203,31 @@ def paired_bootstrap(diffs: DataFrame, column: str = "diff", rounds: int = 5000,
 
     ``diffs`` is one row a pair; null differences are left out, and without any there is no
     row. A draw takes the pair at a place that its round and number give, so rounds are
-    dealt to tasks and nothing is shuffled but their means. The pairs, one number each, are
-    one sorted array in every task: a set of judged answers, not a corpus.
+    dealt to tasks and nothing is shuffled but their means. Every task holds the distinct differences
+    with how many pairs have each (differences of four decimals have 20001 at most), and of each
+    place in their order the number of its difference, in as few bytes as that takes: two for up to 65536.
     """
-    pairs = diffs.where(F.col(column).isNotNull()).agg(F.array_sort(F.collect_list(F.col(column).cast("double"))).alias("d"), F.avg(column).alias("mean")).where("size(d) > 0")
-    parts = diffs.sparkSession.sparkContext.defaultParallelism * 4
-    n = F.size("d").cast("long")
-    drawn = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.get("d", draw(F.col("b"), k, n, seed).cast("int")))
-    means = diffs.sparkSession.range(0, rounds, 1, parts).withColumnRenamed("id", "b").join(F.broadcast(pairs))
-    means = means.select("mean", n.alias("n"), (F.aggregate(drawn, F.lit(0.0), lambda s, x: s + x) / n).alias("m"))
+    runs = diffs.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").toArrow()
+    values, counts = runs.column("d").to_numpy(), runs.column("n").to_numpy()
+    n = int(counts.sum())
+    mean = float(values @ counts) / n if n else 0.0
+    spark = diffs.sparkSession
+    sent = spark.sparkContext.broadcast((values, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = sent.value
+        at = np.repeat(np.arange(len(values), dtype=np.min_scalar_type(len(values))), counts)
+        for batch in batches:
+            means = []
+            for b in batch.column(0).to_pylist() if n else []:
+                total = sum(float(values[at[draw(b, np.arange(k, min(k + DRAWS, n)), n, seed)]].sum()) for k in range(0, n, DRAWS))
+                means.append(total / n)
+            yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], names=["m"])
+
+    means = spark.range(0, rounds, 1, spark.sparkContext.defaultParallelism * 4).mapInArrow(run, "m double")
     low, high = int(rounds * 0.025), int(rounds * 0.975) - 1
-    ranked = means.groupBy("n", "mean").agg(F.array_sort(F.collect_list("m")).alias("all"))  # ``rounds`` numbers
-    return ranked.select("n", F.col("mean").alias("mean_diff"), F.get("all", F.lit(low)).alias("low"), F.get("all", F.lit(high)).alias("high"))
+    ranked = means.agg(F.array_sort(F.collect_list("m")).alias("all")).where(F.size("all") > 0)  # ``rounds`` numbers
+    return ranked.select(F.lit(n).cast("long").alias("n"), F.lit(mean).alias("mean_diff"), F.get("all", F.lit(low)).alias("low"), F.get("all", F.lit(high)).alias("high"))
 
 
 def run_stats(results: DataFrame) -> DataFrame:

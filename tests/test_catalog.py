@@ -1,5 +1,8 @@
 """Rows that SQL compares must be there, and numbering must hold over ranges."""
 
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexforge.catalog import flows, oracles, queries
@@ -40,3 +43,21 @@ def test_bootstrap_equals_brute_force(spark):
     assert row.n == n and abs(row.mean_diff - sum(values) / n) < 1e-12 and abs(row.low - means[10]) < 1e-12 and abs(row.high - means[389]) < 1e-12
     assert len({round(m, 6) for m in means}) > 100
     assert evaluation.paired_bootstrap(spark.createDataFrame([], "diff double")).count() == 0
+
+
+def test_bootstrap_draws_many_pairs_of_few_values(spark):
+    """A round over many pairs is some vectors' work, and tasks hold the distinct values alone: a million pairs within half a minute."""
+    n = 1_000_000
+    diffs = spark.range(n).select(F.when(F.col("id") % 4 == 0, None).otherwise((F.col("id") % 7 - 3) / 100).alias("diff"))
+    began = time.monotonic()
+    row = evaluation.paired_bootstrap(diffs, rounds=200).first()
+    assert time.monotonic() - began < 30
+    d = np.sort(np.array([(i % 7 - 3) / 100 for i in range(n) if i % 4]))
+    k = np.arange(len(d))
+    means = []
+    for b in range(200):
+        x = (b * 48271 + k * 69621 + 42) % 2147483647
+        x = (x * x + x * 16807 + k) % 2147483647
+        means.append(d[(x * x + x * 48271 + b) % 2147483647 % len(d)].sum() / len(d))
+    means.sort()
+    assert row.n == len(d) and abs(row.mean_diff - d.sum() / len(d)) < 1e-12 and abs(row.low - means[5]) < 1e-12 and abs(row.high - means[194]) < 1e-12
