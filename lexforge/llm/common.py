@@ -11,25 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import Workspace  # noqa: F401
+from ..shared import BATCH_BYTES, Workspace, bound_batches  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 HASH_BYTES = 1 << 19
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Arrow batches of at most ``size`` bytes in this session: both the JVM and its Python workers hold a
-    batch at a time, and rows here are whole texts. A smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None) or "64m"
-    digits = "".join(c for c in now if c.isdigit())
-    unit = {"k": 10, "m": 20, "g": 30}.get(now.lower().removesuffix("b")[-1:], 0)
-    if int(digits or 0) << unit > size or now.startswith("-"):
-        spark.conf.set(name, str(size))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -172,3 +172,36 @@ def test_filtered_article():
     html = f"<main><h1>Harbours</h1>{''.join(gone)}<h2>Depth</h2><p>Ask the <button>pilot</button> first.</p><table><tr><th>quay</th></tr><tr><td>12.5</td></tr></table></main>"
     assert html_text.article_markdown(html, "Harbours") == "## Depth\n\nAsk the pilot first.\n\n| quay |\n| --- |\n| 12.5 |"
 
+
+
+def test_markup_read_by_expressions_equals_the_parser():
+    """Plain tags and rows are told apart without the parser, which a comment in front turns to; both write the same."""
+    row = '<tr><td rowspan="2">a | b</td><th COLSPAN="2"> c  d </th></tr><TR><td></td></tr>'
+    texts = (
+        f"<table><caption>t</caption>{row}<tr><td>x &amp; y</td><td><b>z</b></td></tr></table>", f"{row}<p>a<br/>b<foo x=\"1\">c</foo></p>", "<ul><li>a <sub>1</sub></li><li/></ul>&lt;b> <img alt=\"i\">",
+        '<a href="u">[n]</a> ![i](u) [!](u)[b](v) \\[x](y) [p](q(r)s)!\n\n[n]: http://t', "<b>a < b</b> <td>c</td>", "<script>a<b</script>c<style>d", f"<div><table>{row}",
+    )
+    for text in texts:
+        parsed = html_text.Writer(lambda x: x)
+        parsed.feed("<!---->" + text)
+        parsed.close()
+        own = html_text.Writer(lambda x: x)
+        own.feed(text)
+        own.close()
+        assert own.written() == parsed.written()
+
+
+def test_long_tables_are_read_quickly():
+    rows = "".join(f'<tr><td rowspan="2">w{i}</td><td>{i}</td><td>4</td></tr><tr><td colspan="2">-</td></tr>' for i in range(20_000))
+    calls = 0
+
+    class Counted(html_text.Writer):
+        def handle_starttag(self, tag, attrs):
+            nonlocal calls
+            calls += 1
+            super().handle_starttag(tag, attrs)
+
+    writer = Counted()
+    writer.feed(f"<table>{rows}</table>")
+    writer.close()
+    assert calls == 1 and writer.written().count("\n| ") == 40_002
