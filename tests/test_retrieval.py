@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,21 @@ def test_contexts_and_metrics(spark):
     got = merging.degrade_metrics(log).first()
     assert (got.total, got.l1_rate, got.l2_rate) == (3, 0.3333, 0.3333)
     assert merging.degrade_metrics(log.where("degrade_level > 9")).first().l1_rate == 0.0
+
+
+def test_best_of_tiles_equal_brute_force(spark):
+    """Scores are held by the tile; ties across tiles go to the smallest doc, and a score that is no number is the greatest."""
+    rng = np.random.default_rng(7)
+    scores = rng.integers(0, 6, (5, 4000)).astype(float)
+    doc = rng.permutation(4000)
+    held = None
+    for at in range(0, 4000, 700):
+        held = vectors._best(scores[:, at : at + 700], doc[at : at + 700], 16, held)
+        assert len(held[0]) == 5 * 16
+    row, docs, score = held
+    for i in range(5):
+        want = np.lexsort((doc, -scores[i]))[:16]
+        assert docs[row == i].tolist() == doc[want].tolist() and score[row == i].tolist() == scores[i][want].tolist()
+    rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [float("nan"), 0.0]), (3, [1.0, 0.0])], "d int, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "q int, v array<double>")
+    assert [r.doc for r in vectors.dense_top(rows, asked, "d", "v", "q", "v", k=2).orderBy("rank").collect()] == [2, 1]
