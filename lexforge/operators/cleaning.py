@@ -223,9 +223,11 @@ def missing_parts(html_text: Column, headings: Column, markdown: Column) -> Colu
     """Headings (letters and digits alone) and numbers of a page that its Markdown lacks."""
     bare = lambda x: F.regexp_replace(x, r"(?U)[\W_]+", "")
     visible = F.regexp_replace(markdown, r"!?\[([^\]]*)\]\([^\n]*?\)", "$1")
-    lost = F.filter(headings, lambda h: (bare(h) != "") & ~F.contains(bare(visible), bare(h)))
+    # the page's letters are told once, not for each heading
+    lost = _let(F.struct(headings.alias("h"), bare(visible).alias("b")), lambda p: F.filter(p["h"], lambda h: ~F.contains(p["b"], bare(h))))  # an empty heading is in any text
     numbers = F.array_distinct(F.regexp_extract_all(html_text, F.lit(r"((?<![\d.])[+-]?\d+(?:\.\d+)?(?:/\d+)?)"), F.lit(1)))
-    return F.concat(lost, F.filter(numbers, lambda n: ~F.contains(visible, n)))
+    gone = _let(F.struct(numbers.alias("n"), visible.alias("v")), lambda p: F.filter(p["n"], lambda n: ~F.contains(p["v"], n)))
+    return F.concat(lost, gone)
 
 
 def titled(markdown: Column, name: Column) -> Column:

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.config import Settings
-from lexforge.operators import chunking, lexical, merging, vectors
+from lexforge.operators import chunking, cleaning, lexical, merging, vectors
 
 
 def test_windows_cover_and_repair(spark):
@@ -197,3 +198,23 @@ def test_best_of_tiles_equal_brute_force(spark):
     rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [float("nan"), 0.0]), (3, [1.0, 0.0])], "d int, v array<double>").coalesce(1)
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "q int, v array<double>")
     assert [r.doc for r in vectors.dense_top(rows, asked, "d", "v", "q", "v", k=2).orderBy("rank").collect()] == [2, 1]
+
+
+def test_documents_are_cut_once_in_small_batches(spark):
+    df = spark.createDataFrame([(1, "ab cd " * 900, "s"), (2, "", "s"), (3, None, "t")], "doc_id int, content string, source string")
+    rows = chunking.split_documents(df, "doc_id", "content", recursive=True)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "Union" not in plan
+    up = chunking.parents(df, "doc_id", "content", recursive=True)
+    both = up.withColumn("parent_id", F.lit("")).withColumn("parent_content", F.lit("")).unionByName(chunking.children(up, recursive=True))
+    assert rows.columns == both.columns and rows.exceptAll(both).count() == 0 == both.exceptAll(rows).count()
+
+
+def test_letters_of_a_page_are_told_once(spark):
+    """Each of many headings is looked for in letters that were told once: time does not grow with headings x text."""
+    text = "\n".join(f"line {i} of some words and 1{i}" for i in range(6000))
+    df = spark.createDataFrame([(text, "x\n" + text.replace("line 7 of", "line of"))], "t string, m string")
+    began = time.monotonic()
+    row = df.select(cleaning.missing_parts(F.col("t"), F.split("t", "\n"), F.col("m")).alias("p")).first()
+    assert row.p == ["line 7 of some words and 17"] and time.monotonic() - began < 30
