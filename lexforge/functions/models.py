@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import bound_batches
 from .text import utokens
 
 KINDS = ("embedder", "sparse", "reranker", "classifier", "generator", "judge", "tokenizer", "rewriter")
@@ -41,6 +42,7 @@ def _per_text(kind: str, make):
         for texts in batches:
             yield texts.map(lambda t: make((t or "").lower().split()))
 
+    bound_batches()
     return run
 
 
