@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import bound_batches
+
 #: Words that every task may hold; a longer dictionary is an error.
 MOST_WORDS = 1 << 21
 #: Runs of Latin letters and digits, numbers with their decimals and per cent, and runs of any other letters.
@@ -154,6 +156,7 @@ def segmenter(words: DataFrame, runs: re.Pattern[str] = MIXED) -> Callable[[Colu
     A null or empty text has no tokens. With ``ANY``, runs of Latin letters are cut too, as in
     text that lost its spaces.
     """
+    bound_batches(words.sparkSession)
     sent = words.sparkSession.sparkContext.broadcast(dictionary(words))
 
     @F.pandas_udf("array<string>")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULT, Settings
+from ..shared import bound_batches
 
 #: Documents, and tokens, of a block at most.
 BLOCK_DOCS = 2048
@@ -46,6 +47,7 @@ def build(rows: DataFrame, vocabulary: DataFrame | None = None, weigh: Callable[
     that are not above 0 are left out. A null list of tokens is an empty one; a document without tokens
     is in a block all the same. Documents are told apart by row, so ids may repeat and may be null.
     """
+    bound_batches(rows.sparkSession)
     weighted = "weights" in rows.columns
     body = rows.select("doc", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), *([F.coalesce(F.col("weights").cast("array<double>"), F.array().cast("array<double>")).alias("weights")] if weighted else []))
     known = None
@@ -118,6 +120,7 @@ def search(blocks: DataFrame, weights: DataFrame, k: int, saturation: tuple[floa
     Documents that share no token with a query are no hits. ``skipped``: an accumulator for blocks that bounds ruled out.
     """
     spark = blocks.sparkSession
+    bound_batches(spark)
     asked = weights.select("query", "token", F.col("weight").cast("double").alias("weight")).where("weight > 0 and token is not null and query is not null")
     doc_type = blocks.schema["docs"].dataType.elementType
     query_type = to_arrow_type(asked.schema["query"].dataType)

@@ -4,6 +4,7 @@ import math
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from lexforge.operators import inverted
 from lexforge.functions import segment
 from lexforge.operators import lexical
 
@@ -97,3 +98,15 @@ def test_text_that_lost_its_spaces(spark):
     cut = segment.segmenter(words, segment.ANY)
     docs = spark.createDataFrame([(1, "TheCatSatOnTheMat")], "id int, text string")
     assert docs.select(cut(docs.text).alias("w")).first().w == ["the", "cat", "sat", "on", "the", "mat"]
+
+
+def test_texts_and_blocks_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name, None)
+    words = spark.createDataFrame([("ab", 1)], "word string, n long")
+    rows = spark.createDataFrame([(1, ["ab"])], "doc int, tokens array<string>")
+    for use in (lambda: segment.segmenter(words), lambda: inverted.build(rows)):
+        spark.conf.set(name, "64m")
+        use()
+        assert int(spark.conf.get(name)) == 4 << 20
+    spark.conf.unset(name) if had is None else spark.conf.set(name, had)
