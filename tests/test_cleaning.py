@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,3 +206,12 @@ def test_long_tables_are_read_quickly():
     writer.feed(f"<table>{rows}</table>")
     writer.close()
     assert calls == 1 and writer.written().count("\n| ") == 40_002
+
+
+def test_labels_step_from_mark_to_mark():
+    """Long prose between links is one step: a megabyte of it is read in the time of its few marks."""
+    text = "".join(f"[x{i}](u{'(' * (i % 3)}{')' * (i % 3)}) {'word ' * 20_000}! ![y](z) \\[k\\]\n\n" for i in range(10))
+    began = time.process_time()
+    out = html_text._labels(text, set())
+    assert time.process_time() - began < 0.1
+    assert out == "".join(f"x{i} {'word ' * 20_000}! y \\[k\\]\n\n" for i in range(10))
