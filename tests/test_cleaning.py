@@ -215,3 +215,30 @@ def test_labels_step_from_mark_to_mark():
     out = html_text._labels(text, set())
     assert time.process_time() - began < 0.1
     assert out == "".join(f"x{i} {'word ' * 20_000}! y \\[k\\]\n\n" for i in range(10))
+
+
+PIECES = (
+    "a b \n \n\n ! [ ] ( ) \\ & <5 [x](y) ![i](u) [x](y(z)w) [w][far] [w][no] [far] [!](q) [a!](q) [](q) [][far] [w][] <b> </b> <b>t</b> <sub>2</sub> <I>x</I> <b>a<i>b</i></b> "
+    "<code>q</code> &amp <foo> <p> </p> <script> </script> <table><tr><td> </td></tr></table> [q[r](s)](t) ]:"
+).split(" ") + ["\n[far]: u\n", "\n[far]: u\n 't'\n", "[w] [far]", " "]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25))
+def test_runs_of_markup_are_as_if_read_one_by_one(pieces):
+    text = "".join(pieces)
+    got = html_text.normalize_markdown(text)
+    with pytest.MonkeyPatch.context() as patch:
+        never = re.compile("(?!)")
+        patch.setattr(html_text, "INLINE_RUN", never)
+        patch.setattr(html_text, "LINK_RUN", never)
+        assert html_text.normalize_markdown(text) == got
+
+
+def test_runs_of_markup_take_no_step_an_element(monkeypatch):
+    calls = []
+    for home, name in ((html_text.Writer, "handle_starttag"), (html_text, "_past")):
+        monkeypatch.setattr(home, name, lambda *a, f=getattr(home, name): calls.append(1) or f(*a))
+    text = "# [t](u)\n\n" + "".join(f"- w<sub>{i}</sub>\n- [w](http://h/(a)/{i} \"of it\")\n- <b>w</b> [v][far]\n" for i in range(2000)) + "\n[far]: u\n"
+    assert html_text.normalize_markdown(text) == "# t\n\n" + "".join(f"- w_{i}\n- w\n- w v\n" for i in range(2000)).strip()
+    assert len(calls) < 10
