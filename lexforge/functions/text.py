@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str methods see it: Java's class, the information separators
-#: and the next-line mark.
-WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: ``trim`` removes spaces alone; this removes all of WS.
-EDGES = rf"\A{WS}+|{WS}+\z"
+#: White space as Python's str methods see it: Java's class, the information separators and the next-line mark.
+#: Java looks single characters below 256 up in one table, and most others are told by the one outer range.
+WS = r"[\t\n\x0B\f\r \x1C\x1D\x1E\x1F\x85\xA0[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
+#: The same characters by themselves.
+WS_CHARS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def ustrip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGES, "")
+    """``trim`` by itself removes spaces alone; this removes all white space, and looks at the edges only."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def utokens(text: Column) -> Column:
     """Parts between white space; none for an empty text."""
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{WS}+"), "")
 
 
 def normalize_query(text: Column) -> Column:

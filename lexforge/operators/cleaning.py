@@ -11,6 +11,8 @@ from ..functions.text import WS, ustrip, utokens
 PAGE_NUMBERS = (rf"第{WS}*\d+{WS}*页", rf"-{WS}*\d+{WS}*-", rf"Page{WS}*\d+", rf"page{WS}*\d+")
 PAGE_NUMBER = rf"(?U)\A(?:{'|'.join(PAGE_NUMBERS)})\z"
 REPEATS = 3
+#: Control characters, byte order marks, zero-width characters and soft hyphens, within ranges that tell most others at once.
+UNSEEN = r"[\x00-\x1F\x7F-\xAD\x{200B}-\x{FEFF}&&[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FEFF}\x{200B}-\x{200D}\x{AD}]]"
 #: Words that are no keywords.
 STOP_WORDS = ("的", "了", "和", "是", "在", "我", "有", "就", "不", "人", "都", "一", "个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这")
 
@@ -23,7 +25,7 @@ def _let(value: Column, use) -> Column:
 def clean_characters(text: Column) -> Column:
     """One kind of line end; no control characters, byte order marks, zero-width characters or soft hyphens."""
     text = F.regexp_replace(text, "\r\n?", "\n")
-    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FEFF}\x{200B}-\x{200D}\x{AD}]", "")
+    return F.regexp_replace(text, UNSEEN, "")
 
 
 def candidate_lines(text: Column) -> Column:

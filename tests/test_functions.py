@@ -1,11 +1,13 @@
 import hashlib
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions import models, parsing, scores, text
-from lexforge.operators import cache
+from lexforge.operators import cache, cleaning
 
 
 def test_strip_and_tokens_follow_unicode(column):
@@ -95,3 +97,21 @@ def test_models(spark, column):
     assert out.where(F.col("intent") != F.col("label")).count() == 0
     with pytest.raises(RuntimeError):
         models.predict_intent(None, rows)
+
+
+def test_white_space_is_pythons_and_runs_within_a_text_cost_little(column):
+    """Every character by itself, then a run between letters: stripping looks at the edges only, and cleaning goes on from there."""
+    every = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    ends = [c + "a" + c + "b" + c for c in every]
+    assert column(text.ustrip, *ends) == [x.strip() for x in ends]
+    assert column(text.utokens, *ends) == [x.split() for x in ends]
+    assert column(lambda x: F.regexp_replace(x, "(?U)" + text.WS, ""), *ends) == ["".join(x.split()) for x in ends]
+    unseen = [c for c in every if re.fullmatch("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufeff\u200b-\u200d\xad]", c)]
+    assert column(cleaning.clean_characters, "".join(unseen) + "a" + "".join(unseen)) == ["a"]
+    kept = "".join(c for c in every if c not in unseen and c != "\r")
+    assert column(cleaning.clean_characters, kept) == [kept]
+    wide = "a" + " " * 300_000 + "b"
+    began = time.monotonic()
+    assert column(text.ustrip, " " + wide) == [wide] and column(lambda x: cleaning.joined(F.array(x)), wide) == ["a b"]
+    assert time.monotonic() - began < 10
+    assert column(text.ustrip, None, "", " \u3000") == [None, "", ""] and column(text.utokens, None, "", " \u3000") == [None, [], []]
