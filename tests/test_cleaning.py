@@ -1,5 +1,7 @@
+import gc
 import re
 import time
+import weakref
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -242,3 +244,16 @@ def test_runs_of_markup_take_no_step_an_element(monkeypatch):
     text = "# [t](u)\n\n" + "".join(f"- w<sub>{i}</sub>\n- [w](http://h/(a)/{i} \"of it\")\n- <b>w</b> [v][far]\n" for i in range(2000)) + "\n[far]: u\n"
     assert html_text.normalize_markdown(text) == "# t\n\n" + "".join(f"- w_{i}\n- w\n- w v\n" for i in range(2000)).strip()
     assert len(calls) < 10
+
+
+def test_a_pages_tree_goes_without_the_collector(monkeypatch):
+    trees = []
+    monkeypatch.setattr(html_text, "tree", lambda html, f=html_text.tree: (trees.append(weakref.ref(root := f(html))), root)[1])
+    gc.collect()
+    gc.disable()
+    try:
+        assert html_text.article_lines("<html><nav>menu</nav><article><h1>Tides</h1><p>high<br/>and <b>low</i></b></p></article></html>") == "Tides\nhigh\nand\nlow"
+        assert html_text.article_markdown("<article><p>a</b> b</p>") == "a b"
+        assert len(trees) == 2 and all(t() is None for t in trees)
+    finally:
+        gc.enable()
