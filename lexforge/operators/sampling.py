@@ -81,14 +81,18 @@ def at_indices(df: DataFrame, order: str, indices: list[int]) -> DataFrame:
     return out.withColumn("place", F.when(F.col("_found"), F.col("place")).otherwise(F.raise_error(F.lit("index out of range")).cast("long"))).drop("_found", "row")
 
 
-def intent_samples(df: DataFrame) -> DataFrame:
-    """Distinct stripped texts with their label 0 or 1; blank texts and texts with two labels are errors."""
+def intent_samples(df: DataFrame, keep_blank: bool = False) -> DataFrame:
+    """Distinct stripped texts with their label 0 or 1; blank texts and texts with two labels are errors.
+
+    With ``keep_blank`` an empty and a null text are texts as others are, and a null one may lack a label.
+    """
     from ..functions.text import ustrip
 
     rows = df.select(ustrip(F.col("text")).alias("text"), F.col("label").cast("int").alias("label"))
     out = rows.groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("_hi"), F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("_bad"))
     fail = lambda why: F.raise_error(F.lit(why)).cast("int")
-    label = F.when(F.coalesce("text", F.lit("")) == "", fail("blank text")).when(F.col("_bad") > 0, fail("label is not 0 or 1")).when(F.col("label") != F.col("_hi"), fail("a text has two labels")).otherwise(F.col("label"))
+    blank = F.when(F.col("text").isNull(), F.col("label")) if keep_blank else F.when(F.coalesce("text", F.lit("")) == "", fail("blank text"))
+    label = blank.when(F.col("_bad") > 0, fail("label is not 0 or 1")).when(F.col("label") != F.col("_hi"), fail("a text has two labels")).otherwise(F.col("label"))
     return out.select("text", label.alias("label"))
 
 

@@ -61,3 +61,17 @@ def test_bootstrap_draws_many_pairs_of_few_values(spark):
         means.append(d[(x * x + x * 48271 + b) % 2147483647 % len(d)].sum() / len(d))
     means.sort()
     assert row.n == len(d) and abs(row.mean_diff - d.sum() / len(d)) < 1e-12 and abs(row.low - means[5]) < 1e-12 and abs(row.high - means[194]) < 1e-12
+
+
+def test_intent_samples_of_odd_texts(spark, tmp_path):
+    """Copies that differ in outer white space are one sample with one label; blank and null texts are counted as SQL does."""
+    import duckdb
+
+    texts = ["one two", "one two ", "\n one two", "even", " even", "odd", " odd\n\n", "", "  ", "\n", None, None]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = set(db.sql(oracles.oracle_sql()["intent_distinct_samples"]).fetchall())
+    got = {tuple(r) for r in queries.queries()["intent_distinct_samples"](spark, str(tmp_path)).collect()}
+    assert got == want == {(0, 2), (1, 2), (None, 1)}
