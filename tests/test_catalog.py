@@ -75,3 +75,19 @@ def test_intent_samples_of_odd_texts(spark, tmp_path):
     want = set(db.sql(oracles.oracle_sql()["intent_distinct_samples"]).fetchall())
     got = {tuple(r) for r in queries.queries()["intent_distinct_samples"](spark, str(tmp_path)).collect()}
     assert got == want == {(0, 2), (1, 2), (None, 1)}
+
+
+def test_articles_with_cut_references(spark, tmp_path):
+    """Headings and titles are cut at a length, and so within references: all three extractions equal their SQL at each place."""
+    import duckdb
+
+    whole = "q &quot;a&quot; &lt;b&gt; &amp; &#x27;c&#39; &amp;quot; d"
+    pages = [f"<html><head><title>{whole[:n]}</title></head><body><nav>m</nav><article><h1>{whole[:n]}</h1><p><b>Th {whole[:n]}</b><br>{whole} e</p></article></body></html>" for n in range(1, len(whole) + 1)]
+    spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    names, sql = {**queries.queries(), **flows.queries()}, {**oracles.oracle_sql(), **flows.oracle_sql()}
+    for name in ("html_article_text", "html_article_markdown", "page_chapters"):
+        want = dict(db.sql(sql[name]).fetchall())
+        got = {r[0]: r[1] for r in names[name](spark, str(tmp_path)).collect()}
+        assert got == want, name
