@@ -210,6 +210,38 @@ def test_long_tables_are_read_quickly():
     assert calls == 1 and writer.written().count("\n| ") == 40_002
 
 
+CELLS = [f"<{k}{a}>{t}</{k}>" for k in ("td", "th") for a in ("", ' rowspan="2"', ' colspan="2"', ' rowspan="3" COLSPAN="2"', ' class="x"  rowspan="0"') for t in ("a", "", " b | c  d\xa0", "-", "e>f")]
+BREAKS = ["</tr><tr>", "</tr>\n<tr>", "</tr> <tr>\t", "</tr><tr><td>x</td></tr><tr>"] * 3 + ["<tr>", "</tr>", "</tr>q<tr>", "<td>x</th>", "<td>&amp;</td>", "</tr></table><table><tr>", "<table><tr>", "</table>", "<b>", "<TABLE>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(CELLS), min_size=1, max_size=3), st.sampled_from(BREAKS), st.integers(1, 5)), min_size=1, max_size=6), st.sampled_from(["", "<caption>t | u</caption>", "\n", "x"]))
+def test_tables_read_whole_equal_the_parser(rows, lead):
+    """Plain tables, of which blocks of rows come again and again, and those with something else in them."""
+    body = "".join(("".join(cells) + end) * n for cells, end, n in rows)
+    text = f"<p>{lead}<table>{lead}<tr>{body}<td>z</td></tr> </table><table><tr>{body}"
+    parsed = html_text.Writer(lambda x: x)
+    parsed.feed("<!---->" + text)
+    parsed.close()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(html_text, "BLOCK_TIMES", 1)
+        own = html_text.Writer(lambda x: x)
+        own.feed(text)
+        own.close()
+    assert own.written() == parsed.written()
+
+
+def test_long_tables_take_no_step_a_cell(monkeypatch):
+    """A table of 40000 rows in blocks of two is laid out by the plan of one block, whatever its texts."""
+    rows = "".join(f'<tr><td rowspan="2">w {i}</td><td>{i}</td><td>4|</td></tr><tr><td colspan="2">-</td></tr>' for i in range(20_000))
+    calls = []
+    for name in ("_written_cell", "_row_plan", "_times"):
+        monkeypatch.setattr(html_text, name, lambda *a, f=getattr(html_text, name): calls.append(1) or f(*a))
+    out = html_text.normalize_markdown(f"<table>{rows}</table>")
+    assert len(calls) < 200
+    assert out == "\n".join(["| 列1 | 列2 | 列3 |", "| --- | --- | --- |"] + [f"| w {i} | {i} | 4\\| |\n| w {i} | - | - |" for i in range(20_000)])
+
+
 def test_labels_step_from_mark_to_mark():
     """Long prose between links is one step: a megabyte of it is read in the time of its few marks."""
     text = "".join(f"[x{i}](u{'(' * (i % 3)}{')' * (i % 3)}) {'word ' * 20_000}! ![y](z) \\[k\\]\n\n" for i in range(10))
